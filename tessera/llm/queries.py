@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, warc
+from . import line_chunks, packing, quality, sharding, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
+    "op5_line_dedup": substring.op5_line_dedup,
+    "op6_sharding": sharding.op6_sharding,
     "op7_warc": warc.op7_warc,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_quality_rules": quality.op9_quality_rules,
+    "op10_line_chunk_dedup": line_chunks.op10_line_chunk_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": substring.ORACLE,
+    "op6_sharding": sharding.ORACLE,
     "op7_warc": warc.ORACLE,
 }
