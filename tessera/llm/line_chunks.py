@@ -42,14 +42,15 @@ def chunks(text: Column, divisor: int) -> Column:
     return bind(F.split(text, "\n", -1), cut)
 
 
-def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 3) -> DataFrame:
-    """One row per row of docs: doc_id, n_chunks, n_removed, removed_chars and kept_text.
+def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 3, carried: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, n_chunks, n_removed, removed_chars and kept_text, and as a struct `carried`
+    the columns of docs that are named.
 
     A null text is an empty one. Chunks with fewer than two lines with words always stay. Rows with a null id
     rank last; rows that repeat an id and a text count as one occurrence and get the same result; rows that
     share an id only are ranked by the digest of their text. Further columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), (F.struct(*carried) if carried else F.lit(None)).alias("carried"))
     cut = rows.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"), chunks(F.col("text"), divisor).alias("chunks"))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_sha", "place")
     multi = cut.select("doc_id", "text_sha", F.posexplode("chunks").alias("place", "c")).where("c.multi")
@@ -63,8 +64,24 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         places = F.array_sort(F.concat(single, F.coalesce(F.col("firsts"), F.array().cast("array<int>"))))
         return bind(places, lambda p: F.struct(F.size(c).cast("long").alias("n_chunks"), (F.size(c) - F.size(p)).cast("long").alias("n_removed"), F.array_join(F.transform(p, lambda i: c[i]["chunk"]), "\n").alias("kept_text")))
 
-    done = joined.select("doc_id", F.length("text").alias("chars"), bind(chunks(F.col("text"), divisor), left_over).alias("r"))
-    return done.select("doc_id", "r.n_chunks", "r.n_removed", (F.col("chars") - F.length("r.kept_text")).cast("long").alias("removed_chars"), "r.kept_text")
+    done = joined.select("doc_id", F.length("text").alias("chars"), bind(chunks(F.col("text"), divisor), left_over).alias("r"), "carried")
+    named = ["doc_id", "r.n_chunks", "r.n_removed", (F.col("chars") - F.length("r.kept_text")).cast("long").alias("removed_chars"), "r.kept_text"]
+    return done.select(*named, *(["carried"] if carried else []))
+
+
+def without_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, divisor: int = 3) -> DataFrame:
+    """docs, all columns, with the text that is left (chars_col: its length); rows of which nothing is left go.
+
+    Rows whose text was null or empty before stay as they were.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    kept = dedup_line_chunks(docs, id_col, text_col, divisor, [F.col(c) for c in others] + [F.col(text_col).isNull().alias("_null")])
+    kept = kept.where("kept_text <> '' OR n_removed = 0")
+    text = F.when(F.col("carried._null"), F.lit(None)).otherwise(F.col("kept_text"))
+    columns = {c: F.col("carried").getField(c) for c in others} | {text_col: text}
+    if chars_col in columns:
+        columns[chars_col] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema[chars_col].dataType)).otherwise(columns[chars_col])
+    return kept.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def op10_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

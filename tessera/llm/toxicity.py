@@ -31,7 +31,8 @@ MOST_LABELLED, MOST_EVIDENCE, MOST_CHAINS = 20_000, 50_000, 60_000
 #: Evidence is the lower bound of a log odds ratio; these limits cut it into levels, and below the first is none.
 LEVELS = np.array([2.5, 3.5, 4.5, 5.5])
 N_LEVELS = len(LEVELS) + 1
-WORDS_KEPT = 1 << 18
+#: Words whose evidence a task remembers; documents tagged at once.
+WORDS_KEPT, SLICE = 1 << 18, 256
 
 
 def marks(word: str) -> list[str]:
@@ -155,6 +156,13 @@ class Tagger:
         return out
 
 
+def tagged(texts: list[str | None], evidence: Evidence, tagger: Tagger) -> list[np.ndarray]:
+    """The marginals of each text's tokens."""
+    chains = [level_chains(t or "", evidence) for t in texts]
+    done = iter(tagger([c for own in chains for c in own]))
+    return [np.concatenate([next(done) for _ in own]) if own else np.zeros(0) for own in chains]
+
+
 def offending(text: str, p: np.ndarray, limit: float) -> list[dict]:
     """Spans of neighbouring tokens of at least limit, in code points."""
     spans: list[dict] = []
@@ -183,15 +191,11 @@ def tag_documents(docs: DataFrame, level: dict[str, int], field: Field, id_col:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evidence, tagger = Evidence(level), Tagger(field)
         for whole in batches:
-            for begin in range(0, whole.num_rows, 256):
-                batch = whole.slice(begin, 256)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                chains = [level_chains(t, evidence) for t in texts]
-                done = iter(tagger([c for own in chains for c in own]))
-                rows = []
-                for text, own in zip(texts, chains):
-                    p = np.concatenate([next(done) for _ in own]) if own else np.zeros(0)
-                    most = float(p.max()) if len(p) else 0.0
+            for begin in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(begin, SLICE)
+                texts, rows = batch.column(1).to_pylist(), []
+                for text, p in zip(texts, tagged(texts, evidence, tagger)):
+                    most = float(p.max(initial=0.0))
                     rows.append((len(p), most, float(p.sum()), offending(text, p, limit) if most >= limit else []))
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
@@ -277,26 +281,64 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLE
     return written(texts.join(F.broadcast(ids), "doc_id"), "labelled")
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, score, and its tokens, marginals and spans, from a model of the labels given.
+@dataclass
+class Model:
+    """Evidence levels of marks, the field, and the score's weights; weights of None: every score is the share."""
 
-    Without labels, or with those of one class only, every score is the share of toxic ones (0 without any).
-    """
+    level: dict[str, int]
+    field: Field
+    weights: np.ndarray | None
+    share: float = 0.0
+
+    def score(self) -> Column:
+        return F.lit(self.share) if self.weights is None else score_of(self.weights)
+
+    def score_row(self, n_tokens: int, most: float, expected: float) -> float:
+        """The same for one tagged document in a task."""
+        if self.weights is None:
+            return self.share
+        x = np.array([most, np.log1p(expected), expected / max(n_tokens, 1), 1.0])
+        return float(1 / (1 + np.exp(-(x @ self.weights))))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from the labelled documents among docs. Without labels, or with one class only, it knows a share."""
     sample = labelled_sample(docs, labels)
     level = evidence_levels(sample)
     levels, sizes, tags = labelled_chains(sample, level)
     field = fit_field(levels, sizes, tags) if len(sizes) else Field.zero()
-    fitted = tag_documents(sample, level, field).join(sample.select("doc_id", "toxic"), "doc_id").selectExpr(*(f"{f} AS f{k}" for k, f in enumerate(FEATURES)), "toxic").toPandas()
+    told = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    fitted = tag_documents(sample, level, field).join(told, "doc_id").selectExpr(*(f"{f} AS f{k}" for k, f in enumerate(FEATURES)), "toxic").toPandas()
     y = fitted["toxic"].to_numpy(float)
-    tagged = tag_documents(docs, level, field)
     if len(y) == 0 or y.min() == y.max():
-        return tagged.withColumn("score", F.lit(float(y[0]) if len(y) else 0.0))
-    weights = fit_logistic(fitted[[f"f{k}" for k in range(len(FEATURES))]].to_numpy(float), y)
-    return tagged.withColumn("score", score_of(weights))
+        return Model(level, field, None, float(y[0]) if len(y) else 0.0)
+    return Model(level, field, fit_logistic(fitted[[f"f{k}" for k in range(len(FEATURES))]].to_numpy(float), y))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per row of docs: doc_id, score, and its tokens, marginals and spans, from a model of the labels given."""
+    model = fit(docs, labels)
+    return tag_documents(docs, model.level, model.field).withColumn("score", model.score())
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", limit: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score is under limit."""
+    model, at = fit(docs, labels), docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evidence, tagger = Evidence(model.level), Tagger(model.field)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(begin, SLICE)
+                found = tagged(batch.column(at).to_pylist(), evidence, tagger)
+                yield batch.filter(pa.array([model.score_row(len(p), float(p.max(initial=0.0)), float(p.sum())) < limit for p in found], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
 
 
-def held_out(doc_id: str | Column) -> Column:
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1
+def held_out(doc_id: str) -> Column:
+    """Whether a document's labels are kept from learning; those without an id are not asked for any."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
