@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_chunks, minhash, packing, quality, sharding, substring, toxicity, warc
+from . import decontaminate, line_chunks, minhash, packing, quality, sharding, substring, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op2_minhash": minhash.op2_minhash,
+    "op3_suffix_dedup": suffixes.op3_suffix_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_line_dedup": substring.op5_line_dedup,
     "op6_sharding": sharding.op6_sharding,
