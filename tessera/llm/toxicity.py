@@ -27,7 +27,7 @@ TOKEN = re.compile(r"[^\W\d_]+")
 CHAIN = 64
 BEGINNINGS = (4, 5, 6)
 #: Bounds of what is fitted on: labelled documents (those whose ids hash lowest), evidence entries, chains.
-MOST_LABELLED, MOST_EVIDENCE, MOST_CHAINS = 20_000, 50_000, 60_000
+MOST_LABELLED, MOST_EVIDENCE, MOST_CHAINS = 20_000, 50_000, 8_000
 #: Evidence is the lower bound of a log odds ratio; these limits cut it into levels, and below the first is none.
 LEVELS = np.array([2.5, 3.5, 4.5, 5.5])
 N_LEVELS = len(LEVELS) + 1
@@ -98,7 +98,7 @@ def marginals(field: Field, levels: np.ndarray, sizes: np.ndarray) -> tuple[np.n
     return both / both.sum(2, keepdims=True), pairs, np.log(scale).sum(1)
 
 
-def fit_field(levels: np.ndarray, sizes: np.ndarray, tags: np.ndarray, rounds: int = 120, rate: float = 0.3, ridge: float = 1e-4) -> Field:
+def fit_field(levels: np.ndarray, sizes: np.ndarray, tags: np.ndarray, rounds: int = 60, rate: float = 0.3, ridge: float = 1e-4) -> Field:
     """Maximum likelihood with a ridge, by Adam on observed less expected counts."""
     field, n = Field.zero(), max(1, int(sizes.sum()))
     inside = np.arange(levels.shape[1])[None, :] < sizes[:, None]
