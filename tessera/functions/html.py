@@ -75,8 +75,7 @@ def plain_text(value: str | Column) -> Column:
     text = F.regexp_replace(text, BREAKING, "\n")
     text = F.regexp_replace(text, r"(?is)<(script|style)[^>]*?>.*?</\1>", "")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", "")
-    # an entity needs an ampersand; other texts don't go to Python
-    text = F.replace(unescaped(text), F.lit(" "), F.lit(" "))
+    text = F.replace(unescaped(text), F.lit("\u00a0"), F.lit(" "))
     text = F.regexp_replace(text, "[ \t]+", " ")
     text = F.regexp_replace(text, r"(?U)\s*\n\s*", "\n")
     return trim(F.regexp_replace(text, "\n{2,}", "\n"))

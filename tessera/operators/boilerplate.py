@@ -32,9 +32,11 @@ def boilerplate_keys(docs: DataFrame, ratio: float = RATIO) -> DataFrame:
 def marked_lines(docs: DataFrame, ratio: float = RATIO) -> DataFrame:
     """text_lines with `shared` (its key is boilerplate) and `whole` (its document keeps all: too much would go).
 
-    The frequent keys number 1 / ratio for each line of an average document at most, however many documents there are.
+    A key stands in a share of `ratio` of the documents, so there are 1 / ratio keys at most for each line of an
+    average document, however many documents there are; they are broadcast, as lines with such a key are many.
     """
-    lines = text_lines(docs).join(boilerplate_keys(docs, ratio).select("key", F.lit(True).alias("hit")), "key", "left").withColumn("shared", F.coalesce("hit", F.lit(False)))
+    keys = F.broadcast(boilerplate_keys(docs, ratio).select("key", F.lit(True).alias("hit")))
+    lines = text_lines(docs).join(keys, "key", "left").withColumn("shared", F.coalesce("hit", F.lit(False)))
     shares = lines.groupBy("post_id").agg((F.sum(F.when(F.col("shared"), F.length("line")).otherwise(0)) / F.sum(F.length("line"))).alias("share"))
     return lines.join(shares.select("post_id", (F.col("share") >= F.lit(PROTECTED)).alias("whole")), "post_id").select("post_id", "place", "line", "key", "shared", "whole")
 
