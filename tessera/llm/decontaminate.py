@@ -215,4 +215,27 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 9).alias("similarity"), "begin", "end")
+
+
+#: Expected pairs: every item-sized window of each document that shares a shingle with an item (all items have five
+#: words or more); and where the first best window stands.
+ORACLE = r"""
+WITH w AS (SELECT doc_id, text, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, text, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS a, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS spaced FROM w),
+g AS (SELECT doc_id, i, array_to_string(a[i:i + 4], ' ') AS g FROM (SELECT doc_id, a, unnest(range(1, len(a) - 3)) AS i FROM d)),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM benchmark),
+q AS (SELECT item_id, len(a) AS m, array_to_string(a[i:i + 4], ' ') AS g FROM (SELECT item_id, a, unnest(range(1, len(a) - 3)) AS i FROM b)),
+k AS (SELECT item_id, m, g, count(*) AS c FROM q GROUP BY ALL),
+pairs AS (SELECT DISTINCT doc_id, item_id, m FROM g JOIN k USING (g)),
+z AS (SELECT p.doc_id, p.item_id, p.m, len(a) AS n, least(p.m, len(a)) - 4 AS width FROM pairs p JOIN d USING (doc_id)),
+starts AS (SELECT doc_id, item_id, m, n, width, unnest(range(1, n - 4 - width + 2)) AS s FROM z),
+c AS (SELECT x.doc_id, x.item_id, s, g.g, count(*) AS c FROM starts x JOIN g ON g.doc_id = x.doc_id AND g.i BETWEEN s AND s + width - 1 GROUP BY ALL),
+v AS (SELECT c.doc_id, c.item_id, s, sum(least(c.c, coalesce(k.c, 0))) AS shared FROM c LEFT JOIN k ON k.item_id = c.item_id AND k.g = c.g GROUP BY ALL),
+r AS (SELECT v.doc_id, v.item_id, s, n, m, shared / (width + m - 4 - shared) AS sim FROM v JOIN z USING (doc_id, item_id)),
+best AS (SELECT doc_id, item_id, max(sim) AS sim, arg_max(s, (sim, -s)) AS s, any_value(n) AS n, any_value(m) AS m FROM r WHERE sim >= 0.75::DOUBLE GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, round(sim, 9) AS similarity,
+  (length(array_to_string(spaced[1:s], '')) - length(a[s]))::BIGINT AS begin, length(array_to_string(spaced[1:least(s + m - 1, n)], ''))::BIGINT AS "end"
+FROM best JOIN d USING (doc_id)
+"""

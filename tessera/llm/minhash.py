@@ -28,6 +28,8 @@ from .shingles import U, mixed, set_digest, shingle_set, similar
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 SALTS = 8
+#: Stands for no id in orders and joins.
+NO_ID = 2**63 - 1
 #: Members of a star in one piece of its verification; shingles and documents in a block of an unsettled group.
 STAR_PART, BLOCK_SHINGLES, BLOCK_DOCUMENTS = 64, 1 << 19, 256
 _BOUNDS = np.array([(k << 64) // BINS for k in range(BINS)], np.uint64)
@@ -147,17 +149,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     told = written(rows.mapInArrow(sketches, "doc_id long, n_shingles long, digest binary, node long, bands array<long>"), "sketches")
     # equal sets stand for each other: one node for a set, with its least id
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "bands")).alias("first")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "bands")).alias("first")
     nodes = written(told.where("n_shingles > 0").groupBy("digest", "node", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("id"), first).select("digest", "node", "n", "id", "first.bands"), "nodes")
-    order = F.coalesce("id", F.lit(2**63 - 1)).alias("id")
+    order = F.coalesce("id", F.lit(NO_ID)).alias("id")
     banded = nodes.select("node", order, F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
     stars = banded.groupBy("key").agg(F.min(F.struct("id", "node", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
     stars = stars.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"), all_salts(SALTS).alias("salt"))
     members = written(banded.withColumn("salt", salt_of("node", SALTS)).join(stars, ["key", "salt"]).select("key", "node", "n", "centre", "centre_n"), "members")
     edges = written(star_edges(members), "candidates")
     # full sets of the documents in buckets of two or more
-    needed = members.select("node").distinct().join(nodes.select("node", "id"), "node")
-    texts = rows.where("text IS NOT NULL").join(needed.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    needed = members.select("node").distinct().join(nodes.select("node", order), "node")
+    named = rows.where("text IS NOT NULL").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
+    texts = named.join(needed.select("id").distinct(), "id", "left_semi")
     sets = written(texts.select("text").mapInArrow(set_rows, "node long, own binary").groupBy("node").agg(F.min("own").alias("own")), "sets")
     degrees = edges.groupBy("a").agg(F.ceil(F.count("*") / STAR_PART).cast("int").alias("parts"))
     dealt = edges.withColumn("salt", salt_of("b", SALTS)).join(degrees.withColumn("salt", all_salts(SALTS)), ["a", "salt"]).withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
@@ -201,3 +204,16 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Expected rows: all pairs of documents with a shingle in common, their similarity, and what links reach.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(a[i:i + 4], ' ')) AS g FROM (SELECT doc_id, a, unnest(range(1, greatest(len(a) - 4, least(len(a), 1)) + 1)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+k AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

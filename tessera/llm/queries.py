@@ -22,6 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash": minhash.ORACLE,
+    "op3_suffix_dedup": suffixes.ORACLE,
+    "op4_decontaminate": decontaminate.ORACLE,
     "op5_line_dedup": substring.ORACLE,
     "op6_sharding": sharding.ORACLE,
     "op7_warc": warc.ORACLE,

@@ -290,4 +290,21 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    told = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["begin"], s["end"])), ",")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", told.alias("removed_spans"))
+
+
+#: Expected rows, over the hex digits of the texts: every 50-byte string with the least document it starts in.
+ORACLE = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, i, substr(x, 2 * i + 1, 2) AS byte, CASE WHEN i + 50 <= n THEN md5(substr(x, 2 * i + 1, 100)) END AS g FROM (SELECT doc_id, x, n, unnest(range(0, n)) AS i FROM h)),
+s AS (SELECT doc_id, i, byte, g IS NOT NULL AND min(doc_id) OVER (PARTITION BY g) < doc_id AS hit FROM p),
+b AS (SELECT doc_id, i, byte, coalesce(max(CASE WHEN hit THEN i END) OVER (PARTITION BY doc_id ORDER BY i) > i - 50, false) AS gone FROM s),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER w, false) AS first, gone AND NOT coalesce(lead(gone) OVER w, false) AS last FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+t AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (first) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), '') AS kept,
+  list(i ORDER BY i) FILTER (first) AS f, list(i + 1 ORDER BY i) FILTER (last) AS l FROM e GROUP BY doc_id)
+SELECT h.doc_id, h.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256,
+  coalesce(array_to_string(list_transform(range(1, len(f) + 1), lambda k: f[k] || '-' || l[k]), ','), '') AS removed_spans
+FROM h LEFT JOIN t USING (doc_id)
+"""

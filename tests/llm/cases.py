@@ -27,7 +27,7 @@ def texts(seed: int = 1) -> list[tuple[int | None, str | None]]:
     some = base + near + [base[1], base[1], base[2].upper()] + mixed + [long, long + " end"]
     some += ["", None, " \n\t", "one", "one two three", "one two three", "x" * 3000, "a b c d e", "  spaced \t out \r\n text  here now ", "\n\n\n", "<|endoftext|> é b 😀 end"]
     rows: list[tuple[int | None, str | None]] = list(enumerate(some))
-    rows += [(None, base[3]), (None, "only here without an id, five words and more"), (5, base[5]), (7, "another text under an id that is taken already")]
+    rows += [(None, base[3]), (None, "only here without an id, five words and more"), (None, near[1] + " tail"), (5, base[5]), (7, "another text under an id that is taken already")]
     dice.shuffle(rows)
     return rows
 
