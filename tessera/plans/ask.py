@@ -274,7 +274,7 @@ def pair_parse(spark, sf):
     return replies(spark, sf).select("conv_id", F.posexplode(Q.pairs_of("reply")).alias("place", "p")).select("conv_id", "place", "p.question", "p.answer")
 
 
-@query()
+@query(f"WITH {PAIRS}, d AS (SELECT DISTINCT conv_id, lower({sql_trim('question')}) AS q FROM pairs WHERE {sql_trim('question')} <> '' AND {sql_trim('answer')} <> '') SELECT conv_id, (SELECT count(*) FROM d WHERE d.conv_id = p.conv_id)::INTEGER AS found FROM (SELECT DISTINCT conv_id FROM pairs) p")
 def pair_extract(spark, sf):
     return replies(spark, sf).select("conv_id", F.size(Q.pairs_of("reply")).alias("found"))
 
@@ -332,9 +332,10 @@ def gen_params(spark, sf):
     return Q.generator_params(rows)
 
 
-@query()
+@query("SELECT vec_id, len(embedding)::INTEGER AS dims, true AS same FROM embeddings")
 def embedding_codec(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", V.encoded("embedding").alias("json"), (V.decoded(V.encoded("embedding")) == F.col("embedding")).alias("same"))
+    back = V.decoded(V.encoded("embedding"))
+    return table(spark, sf, "embeddings").select("vec_id", F.size(back).alias("dims"), (back == F.col("embedding")).alias("same"))
 
 
 @query()
@@ -388,10 +389,10 @@ def clean_content(spark, sf):
     return table(spark, sf, "pages").select("page_id", editor_text("html").alias("text"))
 
 
-@query()
+@query(f"WITH {PAIRS}, p AS (SELECT conv_id, count(*)::INTEGER AS n, arg_min(question, turn) AS q FROM pairs GROUP BY 1) SELECT conv_id, n AS pairs, CASE WHEN conv_id % 2 = 0 THEN q END AS previous_question FROM p")
 def publish_snapshot(spark, sf):
     from ..operators.waves import published
 
     now = pair_lists(spark, sf)
     before = now.where("conv_id % 2 = 0").select("conv_id", F.slice("pairs", 1, 1).alias("pairs"))
-    return published(before, now, ["conv_id"], "pairs")
+    return published(before, now, ["conv_id"], "pairs").select("conv_id", F.size("pairs").alias("pairs"), F.get(F.col("previous.question"), F.lit(0)).alias("previous_question"))
