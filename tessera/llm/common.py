@@ -44,3 +44,13 @@ def salt_of(column: str | Column, salts: int) -> Column:
 
 def all_salts(salts: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+
+
+def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """About `most` rows of df (all, if it has no more), chosen by the hash of a key, so that a rerun chooses alike.
+
+    A limit by rank would send that many rows of every task to the driver; this sends the chosen ones.
+    """
+    count = df.count()
+    parts = 1 << 40
+    return df if count <= most else df.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(parts)) < int(parts * most / count))

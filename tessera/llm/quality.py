@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import bounded_sample, table, written
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 STATISTICS = [*BASE, "n_lines", "n_punctuation", "n_upper"]
@@ -30,7 +30,7 @@ RATIOS = {
     "punctuation_a_word": "n_punctuation / greatest(n_words, 1)",
     "upper_a_word": "n_upper / greatest(n_words, 1)",
 }
-#: Labelled documents that a list is learned from: those with the smallest hashes of their ids, so many at most.
+#: Labelled documents that a list is learned from: about so many, chosen by the hashes of their ids, or all.
 MOST_LABELLED = 20_000
 WINDOW = 5
 
@@ -170,11 +170,11 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, least_precision: float = 0.
 
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The statistics and labels of at most `most` labelled documents: those whose ids hash lowest."""
+    """The statistics and labels of about `most` labelled documents, or of all if there are no more."""
     told = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("_label"))
-    rows = stats.join(told, "doc_id").orderBy(F.xxhash64("doc_id")).limit(most)
+    rows = bounded_sample(stats.join(told, "doc_id"), "doc_id", most)
     names = [*STATISTICS, *RATIOS]
-    frame = rows.select(*STATISTICS, *(F.expr(e).cast("double").alias(n) for n, e in RATIOS.items()), "_label").toPandas()
+    frame = rows.select(*STATISTICS, *(F.expr(e).cast("double").alias(n) for n, e in RATIOS.items()), "_label", "doc_id").orderBy("doc_id", *STATISTICS).toPandas()
     return {n: frame[n].to_numpy(float) for n in names}, frame["_label"].to_numpy() == 0
 
 

@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import bounded_sample, table, written
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Tokens in a chain at most.
 CHAIN = 64
 BEGINNINGS = (4, 5, 6)
-#: Bounds of what is fitted on: labelled documents (those whose ids hash lowest), evidence entries, chains.
+#: What is fitted on, about: labelled documents, evidence entries and chains, the first and last chosen by hash.
 MOST_LABELLED, MOST_EVIDENCE, MOST_CHAINS = 20_000, 50_000, 8_000
 #: Evidence is the lower bound of a log odds ratio; these limits cut it into levels, and below the first is none.
 LEVELS = np.array([2.5, 3.5, 4.5, 5.5])
@@ -238,7 +238,8 @@ def labelled_chains(sample: DataFrame, level: dict[str, int], seed: int = 3) ->
                         rows.append((doc_id, k, toxic, bytes(chain)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "k", "toxic", "levels"])
 
-    rows = sample.select("doc_id", "text", "toxic").mapInArrow(work, "doc_id long, k long, toxic long, levels binary").orderBy(F.xxhash64("doc_id", "k"), "doc_id", "k").limit(MOST_CHAINS).collect()
+    rows = sample.select("doc_id", "text", "toxic").mapInArrow(work, "doc_id long, k long, toxic long, levels binary").withColumn("key", F.concat_ws("-", "doc_id", "k"))
+    rows = bounded_sample(written(rows, "chains"), "key", MOST_CHAINS).orderBy("doc_id", "k", "levels").collect()
     sizes = np.array([len(r["levels"]) for r in rows], np.int64)
     levels = np.zeros((len(rows), CHAIN), np.int64)
     for i, r in enumerate(rows):
@@ -274,11 +275,12 @@ def score_of(weights: np.ndarray) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """doc_id, text, toxic of at most `most` labelled documents, those whose ids hash lowest. Repeated ids count once."""
+    """doc_id, text, toxic of about `most` labelled documents, or of all if there are no more."""
     told = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("toxic"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(told, "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(told, "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(texts.join(F.broadcast(ids), "doc_id"), "labelled")
+    # about `most` ids of 16 bytes
+    return written(texts.join(F.broadcast(bounded_sample(ids, "doc_id", most)), "doc_id"), "labelled")
 
 
 @dataclass
