@@ -8,8 +8,8 @@ are merged the same way: sorted in ranges, adjacent 50-byte prefixes compared, a
 document id found. A full ranking of all suffixes isn't needed for prefixes of a fixed length, so the recursion
 on names ends at this depth.
 
-Texts are dealt into blocks of bounded size; exact copies of a text are one text of its smallest document. What
-goes between blocks and ranges are sorted, packed arrays of hashes (64 bits decide equality).
+Texts are dealt into blocks of bounded size, like ones mostly to the same block, where what they share is counted
+once; exact copies of a text are one text of its smallest document. What goes between blocks and ranges are sorted, packed arrays of hashes (64 bits decide equality).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import all_salts, salt_of, written
-from .shingles import BASE, U, mixed, powers
+from .shingles import BASE, U, mixed, powers, windows, word_hashes
 
 LENGTH = 50
 #: A perfect difference cover: every remainder modulo 21 is a difference of two of these.
@@ -33,6 +33,7 @@ MODULUS, COVER = 21, np.array([0, 1, 6, 8, 18])
 PREFIX = LENGTH - MODULUS + 1
 BLOCK_BYTES = 8 << 20
 SALTS = 16
+MOST_SPLIT = 1_000_000
 NO_ID = 2**63 - 1
 BYTE = np.random.default_rng(41).integers(1, 2**63, 256, dtype=np.uint64)
 _BACK = pow(BASE, -1, 2**64)
@@ -238,22 +239,50 @@ def in_blocks(ranges: int, shift: int) -> tuple[Callable, Callable, Callable]:
     return samples, suffixes, cut
 
 
-def distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of texts of LENGTH bytes or more each distinct one once a task; of its other rows those with smaller ids, without it."""
-    least: dict[bytes, int] = {}
+def likeness(raw: bytes) -> int:
+    """A number that like texts mostly share: the least hash of their shingles."""
+    return int(windows(word_hashes(raw)[0]).min(initial=2**63 - 1) >> U(1))
+
+
+def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-            if len(raw) < LENGTH:
-                continue
-            sha, doc_id = hashlib.sha256(raw).digest(), NO_ID if doc_id is None else doc_id
-            if sha not in least:
-                rows.append((sha, doc_id, raw))
-            elif doc_id < least[sha]:
-                rows.append((sha, doc_id, None))
-            least[sha] = min(doc_id, least.get(sha, NO_ID))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 3, (pa.binary(), pa.int64(), pa.binary()))], names=["sha", "doc_id", "text"])
+        raws = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
+        columns = [[len(r) for r in raws], [hashlib.sha256(r).digest() for r in raws], [likeness(r) for r in raws]]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64())))], names=["doc_id", "n_bytes", "sha", "like"])
+
+
+def block_of(sha: bytes, like: int, splits: dict[int, int], blocks: int) -> int:
+    part = int.from_bytes(sha[:8], "little") % splits.get(like, 1)
+    return int(mixed(np.array([like + (part << 40)], U))[0] % U(blocks))
+
+
+def distinct_texts(splits: dict[int, int], blocks: int) -> Callable:
+    """Of texts of LENGTH bytes or more each distinct one once a task; of its other rows those with smaller ids, without it."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[bytes, int] = {}
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                if len(raw) < LENGTH:
+                    continue
+                sha, doc_id = hashlib.sha256(raw).digest(), NO_ID if doc_id is None else doc_id
+                if doc_id < least.get(sha, NO_ID + 1):
+                    rows.append((block_of(sha, likeness(raw), splits, blocks), sha, doc_id, None if sha in least else raw))
+                    least[sha] = doc_id
+            types = (pa.int32(), pa.binary(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, types)], names=["block", "sha", "doc_id", "text"])
+
+    return work
+
+
+def split_groups(told: DataFrame) -> dict[int, int]:
+    """Into how many parts the texts of one likeness are dealt, where they would overfill a block: of at most
+    MOST_SPLIT likenesses, those with most bytes, which is every one over a millionth part of the corpus."""
+    distinct = told.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.first("like").alias("like"), F.first("n_bytes").alias("n"))
+    heavy = distinct.groupBy("like").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK_BYTES // 4).orderBy(F.desc("n"), "like").limit(MOST_SPLIT)
+    return {r["like"]: math.ceil(4 * r["n"] / BLOCK_BYTES) for r in heavy.collect()}
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,13 +293,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     unless they hold equal texts, and then get the same result. Further columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    text = F.coalesce("text", F.lit(b""))
-    told = written(rows.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("sha")), "texts")
+    told = written(rows.mapInArrow(described, "doc_id long, n_bytes long, sha binary, like long"), "texts")
     total = told.agg(F.sum("n_bytes")).first()[0] or 0
     ranges = max(1, math.ceil(total / BLOCK_BYTES))
     shift = max(0, 64 - 12 - max(20, math.ceil(math.log2(total + 1))))
     samples, suffixes, cut = in_blocks(ranges, shift)
-    texts = rows.mapInArrow(distinct_texts, "sha binary, doc_id long, text binary").withColumn("block", F.pmod(F.xxhash64("sha"), F.lit(ranges)).cast("int"))
+    texts = rows.mapInArrow(distinct_texts(split_groups(told), ranges), "block int, sha binary, doc_id long, text binary")
     names = texts.groupBy("block").applyInArrow(samples, PACKED).groupBy("range").applyInArrow(shared_names, PACKED)
     found = texts.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(suffixes, PACKED).groupBy("range").applyInArrow(later_suffixes, PACKED)
     done = written(texts.groupBy("block").cogroup(names.unionByName(found).groupBy("block")).applyInArrow(cut, RESULT), "spans")
