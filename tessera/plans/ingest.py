@@ -140,6 +140,28 @@ def merge_sources(spark, sf):
     return S.merge_sources([first, second])
 
 
+def _merged(second: str) -> str:
+    return f"""u AS (SELECT post_id, ' ' AS title, url, text, 0 AS rank FROM posts UNION ALL SELECT post_id, 'page ' || post_id, url, text, 1 FROM {second}),
+k AS (SELECT * FROM u WHERE post_id > 0 AND {sql_trim('text')} <> ''),
+m AS (SELECT post_id, coalesce(arg_min(title, rank) FILTER ({sql_trim('title')} <> ''), '') AS title, coalesce(arg_min(url, rank) FILTER ({sql_trim('url')} <> ''), '') AS url, string_agg(text, chr(10) ORDER BY rank) AS text, min(rank) AS first_source FROM k GROUP BY post_id)
+SELECT post_id, title, url, first_source, coalesce({DEDUPED}, '') AS text FROM m"""
+
+
+_PAGES = f"every AS (SELECT page_id + 1 AS post_id, url, {_plain('html')} AS text FROM pages)"
+
+
+def _two_sources(spark, sf):
+    """Posts without titles, and every page."""
+    first = posts(spark, sf).select("post_id", F.lit(" ").alias("title"), "url", "text")
+    second = table(spark, sf, "pages").select((F.col("page_id") + 1).alias("post_id"), F.concat(F.lit("page "), F.col("page_id") + 1).alias("title"), "url", H.plain_text("html").alias("text"))
+    return [first, second]
+
+
+@query(f"WITH {POSTS}, {_PAGES}, {_merged('every')}")
+def merge_all_pages(spark, sf):
+    return S.merge_sources(_two_sources(spark, sf))
+
+
 @query(f"WITH {POSTS}, {META}, a AS (SELECT 'posts' AS source, text FROM posts WHERE {sql_trim('text')} <> '' UNION ALL SELECT 'meta', value FROM meta WHERE {sql_trim('value')} <> '') SELECT source, count(*) AS docs, sum(length(text))::BIGINT AS chars FROM a GROUP BY source")
 def source_stats(spark, sf):
     return S.source_stats({"posts": posts(spark, sf), "meta": meta(spark, sf).withColumnRenamed("value", "text")})
