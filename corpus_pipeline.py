@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts less their repeated multi-line chunks; n_chars follows. Documents of which nothing is left go."""
-    return line_chunks.without_repeated_chunks(docs, chars_col="n_chars")
+    """Texts less their repeated passages of whole lines; n_chars follows. Documents of which nothing is left go."""
+    return line_chunks.without_repeated_chunks(docs, chars_col="n_chars", pairs=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
