@@ -38,21 +38,30 @@ def byte_of() -> dict[str, int]:
 
 class Encoder:
     """Ids of a byte-level BPE tokenizer file. tiktoken merges by the file's own ranks: the ids are those of the
-    tokenizers library (tests compare them), at a sixth of the time. What tiktoken can't take goes to tokenizers."""
+    tokenizers library (tests compare them), at a sixth of the time. What tiktoken can't take goes to tokenizers.
 
-    def __init__(self, path: str, pattern: str):
+    With special, the file's special tokens are found in texts and get their own ids, as tokenizers does unless its
+    encode_special_tokens is set; without, they are text like any other.
+    """
+
+    def __init__(self, path: str, pattern: str, special: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
-        bytes_of, special = byte_of(), {t["content"] for t in told["added_tokens"]}
-        ranks = {bytes(bytes_of[c] for c in token): i for token, i in told["model"]["vocab"].items() if token not in special}
-        self.path, self.slow = path, None
-        self.fast = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        bytes_of, added = byte_of(), {t["content"]: t["id"] for t in told["added_tokens"]}
+        ranks = {bytes(bytes_of[c] for c in token): i for token, i in told["model"]["vocab"].items() if token not in added}
+        own = {t["content"]: t["id"] for t in told["added_tokens"] if t["special"]} if special else {}
+        if any(t[k] for t in told["added_tokens"] if t["content"] in own for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("special tokens that take blanks, need word ends or are normalised aren't supported")
+        if any(SAFE.search(t) for t in own):
+            raise ValueError("special tokens with a space between letters could be cut between parts")
+        self.path, self.slow, self.special = path, None, special
+        self.fast = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=own)
 
     def part(self, text: str) -> np.ndarray:
         try:
-            return np.asarray(self.fast.encode_to_numpy(text), dtype="<u4")
+            return np.asarray(self.fast.encode_to_numpy(text, allowed_special="all"), dtype="<u4")
         except BaseException as error:  # a panic of its Rust code is no Exception
             if not isinstance(error, Exception) and type(error).__name__ != "PanicException":
                 raise
@@ -60,7 +69,7 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.path)
-            self.slow.encode_special_tokens = True
+            self.slow.encode_special_tokens = not self.special
         return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def __call__(self, text: str) -> np.ndarray:
@@ -114,19 +123,20 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
 
-def pack(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, special: bool = False) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most capacity ids (a power of two).
 
     Returns per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and the sequence's
     length, which is capacity or a smaller power of two; no sequence has padding. A null or empty text is the
     end id alone; rows with a null or a repeated id are packed like others. Further columns are ignored. The
-    rows of a task depend on its input rows only, so a lost task is made again as it was.
+    rows of a task depend on its input rows only, so a lost task is made again as it was. With special, the
+    tokenizer's special tokens in texts get their own ids, the default of tokenizers; without, they are plain text.
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = Encoder(tokenizer, pattern), Packer(capacity, TaskContext.get().partitionId())
+        encode, packer = Encoder(tokenizer, pattern, special), Packer(capacity, TaskContext.get().partitionId())
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -141,4 +151,4 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id",
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, special=True)
