@@ -44,9 +44,11 @@ def scan_posts(posts: DataFrame) -> DataFrame:
     return shown.select("post_id", "title", "url", plain_text("text").alias("text")).where("text <> ''")
 
 
-def meta_text(meta: DataFrame, words: list[str] = KEY_WORDS) -> DataFrame:
-    """(post_id, text): accepted values, one a line, by key and place. A post bounds the group."""
-    kept = meta.where(key_accepted("key", words)).select("post_id", "key", "pos", clean_value("value").alias("text")).where("text <> ''")
+def meta_text(meta: DataFrame, words: list[str] = KEY_WORDS, gate: DataFrame | None = None) -> DataFrame:
+    """(post_id, text) of the posts that pass the gate: accepted values, one a line, by key and place. A post bounds
+    the group.
+    """
+    kept = gated(meta, gate).where(key_accepted("key", words)).select("post_id", "key", "pos", clean_value("value").alias("text")).where("text <> ''")
     ordered = F.array_sort(F.collect_list(F.struct("key", "pos", "text")))
     return kept.groupBy("post_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
 
@@ -67,6 +69,13 @@ def indexable(posts: DataFrame, excluded_slugs: list[str], own_pages: list[int]
     return posts.withColumn("indexable", F.coalesce(ok, F.lit(False)))
 
 
+def gated(source: DataFrame, gate: DataFrame | None) -> DataFrame:
+    """The rows of source whose post is open: gate is what indexable() returns. Posts that the gate lacks are closed;
+    without a gate all rows stay, which is for sources that have passed it already.
+    """
+    return source if gate is None else source.join(gate.where("indexable").select("post_id").distinct(), "post_id", "left_semi")
+
+
 def slug_excluded(slug: str | Column, tokens: str) -> Column:
     """Whether a slug is the last segment of an entry of the comma list."""
     wanted = [t.strip().strip("/ ").lower().split("/")[-1] for t in tokens.split(",")]
@@ -102,35 +111,35 @@ def fetch_verdict(status: str | Column, content_type: str | Column, url: str | C
     )
 
 
-def merge_sources(sources: list[DataFrame]) -> DataFrame:
+def merge_sources(sources: list[DataFrame], gate: DataFrame | None = None) -> DataFrame:
     """Documents (post_id, title, url, text) of several sources by id: texts joined in source order, first titles and
-    urls that aren't blank, repeated lines out. Ids must be positive and texts not blank. `place` orders them by
+    urls that aren't blank, repeated lines out. Ids must be positive, texts not blank and posts pass the gate. `place` orders them by
     first appearance: source, then id.
     """
     every = None
     for k, source in enumerate(sources):
         rows = source.select("post_id", "title", "url", "text", F.lit(k).alias("rank"))
         every = rows if every is None else every.unionByName(rows)
-    kept = every.where((F.col("post_id") > 0) & (trim("text") != ""))
+    kept = gated(every.where((F.col("post_id") > 0) & (trim("text") != "")), gate)
     first = lambda name: F.coalesce(F.min_by(F.when(trim(name) != "", F.col(name)), F.when(trim(name) != "", F.col("rank"))), F.lit("")).alias(name)
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n")
     merged = kept.groupBy("post_id").agg(first("title"), first("url"), texts.alias("text"), F.min("rank").alias("first_source"))
     return merged.withColumn("text", deduped_lines("text"))
 
 
-def source_stats(sources: dict[str, DataFrame]) -> DataFrame:
-    """(source, docs, chars) of each source's documents."""
+def source_stats(sources: dict[str, DataFrame], gate: DataFrame | None = None) -> DataFrame:
+    """(source, docs, chars) of each source's documents that pass the gate."""
     every = None
     for name, source in sources.items():
-        rows = source.where((F.col("post_id") > 0) & (trim("text") != "")).agg(F.lit(name).alias("source"), F.count("*").alias("docs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("chars"))
+        rows = gated(source.where((F.col("post_id") > 0) & (trim("text") != "")), gate).agg(F.lit(name).alias("source"), F.count("*").alias("docs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("chars"))
         every = rows if every is None else every.unionByName(rows)
     return every
 
 
-def rendered(posts: DataFrame, pages: DataFrame) -> DataFrame:
-    """Posts with a rendered page: its trimmed text, the first page by id; blank ones go."""
+def rendered(posts: DataFrame, pages: DataFrame, gate: DataFrame | None = None) -> DataFrame:
+    """Posts that pass the gate and have a rendered page: its trimmed text, the first page by id; blank ones go."""
     first = pages.groupBy("post_id").agg(F.min_by("text", "page_id").alias("rendered"))
-    return posts.join(first, "post_id").select("post_id", "title", "url", trim("rendered").alias("text")).where("text <> ''")
+    return gated(posts, gate).join(first, "post_id").select("post_id", "title", "url", trim("rendered").alias("text")).where("text <> ''")
 
 
 def own_site(body: str | Column, site_name: str, mark: str) -> Column:

@@ -81,9 +81,13 @@ _GATED = "posts2 AS (SELECT *, 'slug' || (post_id % 9) AS slug, CASE WHEN post_i
 
 @query(f"WITH {POSTS}, {_GATED} SELECT post_id, post_id > 0 AND status = 'publish' AND password = '' AND type <> 'attachment' AND post_id % 13 <> 0 AND post_id % 17 <> 0 AND post_id % 19 <> 0 AND slug <> 'slug4' AND post_id <> 7 AS indexable FROM posts2")
 def indexable_gate(spark, sf):
+    return _gate(spark, sf).select("post_id", "indexable")
+
+
+def _gate(spark, sf):
     e = F.expr
     rows = posts(spark, sf).withColumns({"slug": e("concat('slug', post_id % 9)"), "type": e("CASE WHEN post_id % 11 = 0 THEN 'attachment' ELSE 'post' END"), "yoast": e("CASE WHEN post_id % 13 = 0 THEN ' 1 ' WHEN post_id % 13 = 1 THEN '2' END"), "rank_math": e("CASE WHEN post_id % 17 = 0 THEN 'NoIndex,nofollow' END"), "seopress": e("CASE WHEN post_id % 19 = 0 THEN 'Yes' END"), "aioseo": e("CASE WHEN post_id % 23 = 0 THEN 'off' END")})
-    return S.indexable(rows, ["/de/Slug4/"], [7]).select("post_id", "indexable")
+    return S.indexable(rows, ["/de/Slug4/"], [7])
 
 
 @query("SELECT doc_id, source IN ('src3', 'src7') AS excluded FROM documents")
@@ -167,6 +171,31 @@ def source_stats(spark, sf):
     return S.source_stats({"posts": posts(spark, sf), "meta": meta(spark, sf).withColumnRenamed("value", "text")})
 
 
+# The same with the gate before each source is read, merged or counted.
+_OPEN = f"{_GATED}, opened AS (SELECT post_id FROM posts2 WHERE post_id > 0 AND status = 'publish' AND password = '' AND type <> 'attachment' AND post_id % 13 <> 0 AND post_id % 17 <> 0 AND post_id % 19 <> 0 AND slug <> 'slug4' AND post_id <> 7)"
+
+
+@query(f"WITH {POSTS}, {_OPEN} SELECT post_id, title, posts.url, {sql_trim('html')} AS text FROM posts JOIN pages ON post_id = page_id + 1 WHERE {sql_trim('html')} <> '' AND post_id IN (FROM opened)")
+def open_rendered_docs(spark, sf):
+    pages = table(spark, sf, "pages").select((F.col("page_id") + 1).alias("post_id"), "page_id", F.col("html").alias("text"))
+    return S.rendered(posts(spark, sf), pages, _gate(spark, sf))
+
+
+@query(f"WITH {POSTS}, {META}, {_OPEN}, v AS (SELECT post_id, key, pos, {_plain('value')} AS text FROM meta WHERE key IN ('user', 'assistant') AND length({sql_trim('value')}) >= 20 AND post_id IN (FROM opened)) SELECT post_id, string_agg(text, chr(10) ORDER BY key, pos) AS text FROM v WHERE text <> '' GROUP BY post_id")
+def open_meta_text(spark, sf):
+    return S.meta_text(meta(spark, sf), ["user", "assist"], _gate(spark, sf))
+
+
+@query(f"WITH {POSTS}, {_OPEN}, {_PAGES}, {_merged('every')} WHERE post_id IN (FROM opened)")
+def open_merge_all_pages(spark, sf):
+    return S.merge_sources(_two_sources(spark, sf), _gate(spark, sf))
+
+
+@query(f"WITH {POSTS}, {META}, {_OPEN}, a AS (SELECT 'posts' AS source, post_id, text FROM posts WHERE {sql_trim('text')} <> '' UNION ALL SELECT 'meta', post_id, value FROM meta WHERE {sql_trim('value')} <> '') SELECT source, count(*) AS docs, sum(length(text))::BIGINT AS chars FROM a WHERE post_id IN (FROM opened) GROUP BY source")
+def open_source_stats(spark, sf):
+    return S.source_stats({"posts": posts(spark, sf), "meta": meta(spark, sf).withColumnRenamed("value", "text")}, _gate(spark, sf))
+
+
 @query(f"SELECT doc_id, coalesce({DEDUPED}, '') AS text FROM documents")
 def dedupe_lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.deduped_lines("text").alias("text"))

@@ -35,3 +35,25 @@ def test_every_page_is_merged(spark):
     joined = {i for i, _, t in pages if t} & {i for i, _, t in docs if t.strip()}
     assert joined and all(got[i][0] == f"page {i}" for i in joined)
     assert any(len(got[i][1]) > len(brute_merge([d for d in docs if d[0] == i])[i][1]) for i in joined)
+
+
+def test_closed_posts_reach_no_source(spark):
+    marks = "post_id long, status string, password string, type string, slug string, yoast string, rank_math string, seopress string, aioseo string"
+    closed = [(2, "draft", ""), (3, "publish", "secret"), (4, "publish", "")]
+    rows = [(i, status, password, "post", "s", None, "noindex" if i == 4 else None, None, None) for i, status, password in [(1, "publish", ""), *closed]]
+    gate = sources.indexable(spark.createDataFrame(rows, marks), [])
+    docs = spark.createDataFrame([(i, "t", "u", f"text {i}") for i in range(1, 6)], "post_id long, title string, url string, text string")
+    pages = spark.createDataFrame([(i, i, f"page {i}") for i in range(1, 6)], "post_id long, page_id long, text string")
+    meta = spark.createDataFrame([(i, "description", 0, f"some words of the post {i}") for i in range(1, 6)], "post_id long, key string, pos long, value string")
+    assert [(r.post_id, r.text) for r in sources.rendered(docs, pages, gate).collect()] == [(1, "page 1")]
+    assert [r.post_id for r in sources.meta_text(meta, gate=gate).collect()] == [1]
+    assert [(r.post_id, r.text) for r in sources.merge_sources([docs, docs], gate).collect()] == [(1, "text 1")]
+    assert {(r.source, r.docs, r.chars) for r in sources.source_stats({"a": docs, "b": docs.where("post_id > 1")}, gate).collect()} == {("a", 1, 6), ("b", 0, 0)}
+
+
+@pytest.mark.parametrize("name", ["open_rendered_docs", "open_meta_text", "open_merge_all_pages"])
+def test_the_queries_hold_open_posts_only(spark, name):
+    allowed = {r.post_id for r in ingest.QUERIES["indexable_gate"](spark, SF_DIR).where("indexable").collect()}
+    got = {r.post_id for r in ingest.QUERIES[name](spark, SF_DIR).collect()}
+    ungated = {r.post_id for r in ingest.QUERIES[name.removeprefix("open_")](spark, SF_DIR).collect()}
+    assert got and got == ungated & allowed < ungated
