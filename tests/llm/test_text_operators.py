@@ -182,19 +182,66 @@ def test_the_cover_is_perfect_and_packing_is_exact():
 # lines
 
 
-def test_units_equal_brute_force(spark):
-    rows = sorted(texts(), key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).digest()))
-    seen, want = {}, Counter()
+def brute_units(rows, least):
+    """Per row: units, removed ones, text left. Pieces of a line end after a run of end marks."""
+    plain = lambda x: re.sub("[ \t\n\r\x0b\x0c]+", " ", x).strip(" ").lower()
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).digest()))
+    seen, out = {}, Counter()
+
+    def first(norm, at):
+        return seen.setdefault(norm, at) == at
+
+    for i, t in rows:
+        units = removed = 0
+        left = []
+        for k, line in enumerate((t or "").split("\n")):
+            if not plain(line):
+                left.append(line)
+                continue
+            units += 1
+            pieces = [x for x in re.split(r"(?<=[.!?])(?![.!?])", line) if x]
+            stays = first(plain(line), (i, t, k, 0))
+            own = [(x, plain(x)) for x in pieces]
+            gone = []
+            for j, (x, norm) in enumerate(own, 1):
+                if least and len(own) > 1 and len(norm.split(" ")) >= least:
+                    units += 1
+                    if not first(norm, (i, t, k, j)):
+                        gone.append(j)
+            if stays:
+                removed += len(gone)
+                left.append("".join(x for j, (x, _) in enumerate(own, 1) if j not in gone))
+            else:
+                removed += 1
+        out[i, units, removed, "\n".join(left)] += 1
+    return out
+
+
+@pytest.mark.parametrize("least", [None, 1, 5])
+def test_units_equal_brute_force(spark, least):
+    extra = [(90 + k, t) for k, t in enumerate(["One two three four five. Six. One two three four five!", "x y. one  TWO three four five. tail of it here now.\n\nA. b? c", "tail of it here now. A. b? c", "a. b? c", "..!", "...", "a. b? c\na. b? c"])]
+    rows = texts() + extra
+    found = substring.dedup_units(frame(spark, rows), least_words=least).collect()
+    assert Counter((r.doc_id, r.n_units, r.n_removed, r.kept_text) for r in found) == brute_units(rows, least)
+    whole = defaultdict(set)
     for i, t in rows:
-        lines = (t or "").split("\n")
-        norm = [re.sub("[ \t\n\r\x0b\x0c]+", " ", x).strip(" ").lower() for x in lines]
-        keep = [not n or seen.setdefault(n, (i, t, k)) == (i, t, k) for k, n in enumerate(norm)]
-        want[i, sum(1 for n in norm if n), keep.count(False), "\n".join(x for x, y in zip(lines, keep) if y)] += 1
-    got = Counter((r.doc_id, r.n_units, r.n_removed, r.kept_text) for r in substring.dedup_units(frame(spark)).collect())
-    assert got == want
+        whole[i].add(t or "")
+    for r in found:
+        assert r.removed_chars == sum(s.end - s.begin for s in r.removed)
+        edges = [0, *(x for s in r.removed for x in (s.begin, s.end)), None]
+        left = ["".join(t[a:b] for a, b in zip(edges[::2], edges[1::2])) for t in whole[r.doc_id]]
+        assert substring.normal(r.kept_text) in map(substring.normal, left)
     assert substring.dedup_units(empty(spark)).count() == 0
 
 
+def test_passages_inside_lines_lose_their_sentences(spark):
+    passage = "The first sentence is of the passage. The second one belongs to it as well, of course! And is this the third of them? The fourth one ends it for good."
+    rows = [(1, f"Quite another beginning here. {passage} Then the text goes on."), (2, f"Begins in its own way, {passage} And ends so."), (3, "Nothing is shared by this text, not one sentence.")]
+    got = {r.doc_id: r for r in substring.dedup_units(frame(spark, rows)).collect()}
+    assert [got[k].n_removed for k in (1, 2, 3)] == [0, 3, 0]
+    assert [rows[1][1][s.begin : s.end].strip() for s in got[2].removed] == re.split(r"(?<=[.!?]) ", passage)[1:]
+
+
 def test_paragraphs_keep_offsets(spark):
     rows = [(1, "first para\nline\n\nSecond  para"), (2, "own\n\nsecond PARA\n\nend")]
     got = {r.doc_id: r for r in substring.dedup_units(frame(spark, rows), "paragraph").collect()}
