@@ -3,9 +3,10 @@
 Labels are of documents, so tokens are labelled from them: over the labelled documents, the documents of either
 class that hold a word (or a word with a given beginning) are counted, and tokens of toxic documents whose
 evidence stands clear of chance count as toxic. A chain is a line, or each CHAIN tokens of a longer one. The
-field's potentials depend on the evidence of a token and its neighbours and on the previous tag; they are fitted
-by gradient ascent on bounded chains. Forward-backward marginals give the offending spans and, summed up over
-a document, the features of a logistic score fitted to the document labels.
+field's potentials depend on the evidence of a token and its neighbours and on the previous tag; they maximise the
+likelihood of all chains of the labelled documents, equal ones counted once with their number. Forward-backward
+marginals give the offending spans and, summed up over a document, the features of a logistic score fitted to the
+document labels.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,16 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, table, written
 
-TOKEN = re.compile(r"[^\W\d_]+")
+#: Letters and digits, with single signs inside.
+TOKEN = re.compile(r"[^\W_]+(?:[*@$!'’-][^\W_]+)*")
 #: Tokens in a chain at most.
 CHAIN = 64
-BEGINNINGS = (4, 5, 6)
-#: What is fitted on, about: labelled documents, evidence entries and chains, the first and last chosen by hash.
-MOST_LABELLED, MOST_EVIDENCE, MOST_CHAINS = 20_000, 50_000, 8_000
+BEGINNINGS = (4, 5, 6, 7, 8)
+#: What is fitted on, about: labelled documents, chosen by hash; and how many marks (those with the most evidence)
+#: and from how many toxic documents on each the model holds.
+MOST_LABELLED, MOST_EVIDENCE, LEAST_TOXIC = 20_000, 50_000, 3
+#: Labelled documents are dealt to so many folds; in fitting, a document's evidence comes from the other folds.
+FOLDS = 4
 #: Evidence is the lower bound of a log odds ratio; these limits cut it into levels, and below the first is none.
 LEVELS = np.array([2.5, 3.5, 4.5, 5.5])
 N_LEVELS = len(LEVELS) + 1
@@ -74,8 +80,9 @@ def neighbours(levels: np.ndarray) -> np.ndarray:
     return near
 
 
-def marginals(field: Field, levels: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """P(tag) at each token (chains x places x 2), P(tag pair) summed over places (2 x 2), and log Z of each chain."""
+def marginals(field: Field, levels: np.ndarray, sizes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(tag) at each token (chains x places x 2), P(tag pair) summed over places (2 x 2) by the chains' weights, and
+    log Z of each chain."""
     n, places = levels.shape
     score = np.exp(field.own[levels] + field.near[neighbours(levels)])
     inside = np.arange(places)[None, :] < sizes[:, None]
@@ -89,38 +96,77 @@ def marginals(field: Field, levels: np.ndarray, sizes: np.ndarray) -> tuple[np.n
         scale[:, t] = np.where(inside[:, t] | (t == 0), at.sum(1), 1.0)
         forward[:, t] = at / scale[:, t, None]
     backward, pairs = np.ones((n, places, 2)), np.zeros((2, 2))
+    heavy = np.ones(n) if weights is None else weights
     for t in range(places - 2, -1, -1):
         on = inside[:, t + 1, None]
         ahead = score[:, t + 1] * backward[:, t + 1] / scale[:, t + 1, None]
         backward[:, t] = np.where(on, ahead @ step.T, 1.0)
-        pairs += ((forward[:, t] * on).T @ (ahead * on)) * step
+        pairs += ((forward[:, t] * on * heavy[:, None]).T @ (ahead * on)) * step
     both = forward * backward
     return both / both.sum(2, keepdims=True), pairs, np.log(scale).sum(1)
 
 
-def fit_field(levels: np.ndarray, sizes: np.ndarray, tags: np.ndarray, rounds: int = 60, rate: float = 0.3, ridge: float = 1e-4) -> Field:
-    """Maximum likelihood with a ridge, by Adam on observed less expected counts."""
-    field, n = Field.zero(), max(1, int(sizes.sum()))
-    inside = np.arange(levels.shape[1])[None, :] < sizes[:, None]
-    near = neighbours(levels)
-    hot = np.stack([1.0 - tags, tags], axis=2) * inside[:, :, None]
+@dataclass
+class Chains:
+    """Chains of like length with their tags, and how often each stands."""
+
+    levels: np.ndarray
+    sizes: np.ndarray
+    tags: np.ndarray
+    weights: np.ndarray
+
+    def counts(self, by: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(by[self.inside], weights=(p[:, :, k] * self.weights[:, None])[self.inside], minlength=N_LEVELS) for k in (0, 1)], axis=1)
+
+    def __post_init__(self):
+        self.inside = np.arange(self.levels.shape[1])[None, :] < self.sizes[:, None]
+        self.near = neighbours(self.levels)
+
+    def seen(self) -> np.ndarray:
+        """How often each feature stands, in the order of a field's parameters."""
+        hot = np.stack([1.0 - self.tags, self.tags], axis=2)
+        later = self.inside[:, 1:]
+        pair = (self.tags[:, :-1] * 2 + self.tags[:, 1:])[later].astype(int)
+        steps = np.bincount(pair, weights=np.broadcast_to(self.weights[:, None], later.shape)[later], minlength=4)
+        return np.concatenate([self.counts(self.levels, hot).ravel(), self.counts(self.near, hot).ravel(), steps])
+
+    def expected(self, field: Field) -> tuple[float, np.ndarray]:
+        """log Z over all chains, and how often each feature is expected."""
+        p, pairs, log_z = marginals(field, self.levels, self.sizes, self.weights)
+        return float(log_z @ self.weights), np.concatenate([self.counts(self.levels, p).ravel(), self.counts(self.near, p).ravel(), pairs.ravel()])
+
+
+def as_field(values: np.ndarray) -> Field:
+    n = 2 * N_LEVELS
+    return Field(values[:n].reshape(-1, 2), values[n : 2 * n].reshape(-1, 2), values[2 * n :].reshape(2, 2))
+
+
+def fit_field(groups: list[Chains], rounds: int = 60, ridge: float = 1e-4) -> Field:
+    """Maximum likelihood with a ridge, by BFGS with halved steps; ends when no slope is over 1e-5."""
+    seen = sum(g.seen() for g in groups)
+    n = max(1.0, sum(float(g.sizes @ g.weights) for g in groups))
 
-    def counts(by: np.ndarray, p: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(by[inside], weights=p[:, :, k][inside], minlength=N_LEVELS) for k in (0, 1)], axis=1)
+    def loss(at: np.ndarray) -> tuple[float, np.ndarray]:
+        told = [g.expected(as_field(at)) for g in groups]
+        return (sum(z for z, _ in told) - at @ seen) / n + ridge / 2 * at @ at, (sum(e for _, e in told) - seen) / n + ridge * at
 
-    later = inside[:, 1:]
-    pair = tags[:, :-1] * 2 + tags[:, 1:]
-    seen = [counts(levels, hot), counts(near, hot), np.bincount(pair[later].astype(int), minlength=4).reshape(2, 2)]
-    first, second = [np.zeros_like(s, dtype=float) for s in seen], [np.zeros_like(s, dtype=float) for s in seen]
-    for r in range(1, rounds + 1):
-        p, pairs, _ = marginals(field, levels, sizes)
-        p = p * inside[:, :, None]
-        for k, (part, want, got) in enumerate(zip((field.own, field.near, field.step), seen, (counts(levels, p), counts(near, p), pairs))):
-            slope = (want - got) / n - ridge * part
-            first[k] = 0.9 * first[k] + 0.1 * slope
-            second[k] = 0.99 * second[k] + 0.01 * slope**2
-            part += rate * (first[k] / (1 - 0.9**r)) / (np.sqrt(second[k] / (1 - 0.99**r)) + 1e-8)
-    return field
+    at, bend = np.zeros(len(seen)), np.eye(len(seen))
+    value, slope = loss(at)
+    for _ in range(rounds):
+        if np.abs(slope).max() < 1e-5:
+            break
+        way, pace = -bend @ slope, 1.0
+        while True:
+            after, new_slope = loss(at + pace * way)
+            if after <= value + 1e-4 * pace * (slope @ way) or pace < 1e-6:
+                break
+            pace /= 2
+        step, turn = pace * way, new_slope - slope
+        at, value, slope = at + step, after, new_slope
+        if (along := step @ turn) > 1e-12:
+            left = np.eye(len(at)) - np.outer(step, turn) / along
+            bend = left @ bend @ left.T + np.outer(step, step) / along
+    return as_field(at)
 
 
 def level_chains(text: str, evidence: Evidence) -> list[list[int]]:
@@ -177,16 +223,23 @@ def offending(text: str, p: np.ndarray, limit: float) -> list[dict]:
     return spans
 
 
-SCORED = "doc_id long, n_tokens long, most double, expected double, spans array<struct<begin: long, end: long, p: double>>"
+SCORED = "doc_id long, n_tokens long, most double, expected double, hot long, spans array<struct<begin: long, end: long, p: double>>"
+
 
+def totals(p: np.ndarray) -> tuple[int, float, float, int]:
+    """A document's tokens, highest marginal, sum of marginals, and tokens that are rather toxic than not."""
+    return len(p), float(p.max(initial=0.0)), float(p.sum()), int((p >= 0.5).sum())
 
-def tag_documents(docs: DataFrame, level: dict[str, int], field: Field, id_col: str = "doc_id", text_col: str = "text", limit: float = 0.5) -> DataFrame:
-    """Per row: doc_id, tokens, the highest marginal, the marginals' sum, and spans of at least limit.
 
-    A null or empty text has no tokens and gives zeros and no spans. Null and repeated ids pass through; further
-    columns are ignored.
+def tag_documents(docs: DataFrame, level: dict[str, int], field: Field, id_col: str = "doc_id", text_col: str = "text", limit: float = 0.5, told: str | None = None) -> DataFrame:
+    """Per row: doc_id, tokens, the highest marginal, the marginals' sum, tokens over one half, and spans of at least
+    limit in code points; told: a column (long) to pass through under this name.
+
+    A null or empty text has no tokens and gives zeros and no spans; a long one is tagged whole, chain by chain. Null
+    and repeated ids pass through; no rows give none; further columns are ignored.
     """
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
+    types, names = [pa.int64(), pa.float64(), pa.float64(), pa.int64(), kind], ["n_tokens", "most", "expected", "hot", "spans"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evidence, tagger = Evidence(level), Tagger(field)
@@ -195,61 +248,81 @@ def tag_documents(docs: DataFrame, level: dict[str, int], field: Field, id_col:
                 batch = whole.slice(begin, SLICE)
                 texts, rows = batch.column(1).to_pylist(), []
                 for text, p in zip(texts, tagged(texts, evidence, tagger)):
-                    most = float(p.max(initial=0.0))
-                    rows.append((len(p), most, float(p.sum()), offending(text, p, limit) if most >= limit else []))
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], kind)], names=["doc_id", "n_tokens", "most", "expected", "spans"]
-                )
+                    found = totals(p)
+                    rows.append((*found, offending(text, p, limit) if found[1] >= limit else []))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2)], names=["doc_id", *names, "told"])
+
+    more = F.lit(None) if told is None else F.col(told)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"), more.cast("long").alias("told"))
+    tagged_rows = rows.mapInArrow(work, SCORED + ", told long")
+    return tagged_rows.drop("told") if told is None else tagged_rows.withColumnRenamed("told", told)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(work, SCORED)
 
+def fold_of(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), doc_id), F.lit(FOLDS)).cast("int")
 
-def evidence_levels(sample: DataFrame) -> dict[str, int]:
-    """Levels of the marks with the most evidence in sample(text, toxic): MOST_EVIDENCE at most."""
+
+def evidence_levels(sample: DataFrame) -> tuple[dict[str, int], list[dict[str, int]]]:
+    """Levels of the marks with the most evidence in sample(text, toxic, fold): MOST_EVIDENCE at most, each in
+    LEAST_TOXIC toxic documents at least; and the like from the documents outside each fold, for those in it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: tuple[Counter, Counter] = Counter(), Counter()
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts[toxic].update({m for w in {w.lower() for w in TOKEN.findall(text or "")} for m in marks(w)})
+            for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns)):
+                counts[toxic].update({(m, fold) for w in {w.lower() for w in TOKEN.findall(text or "")} for m in marks(w)})
             names = list(counts[0].keys() | counts[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in counts)], names=["mark", "clean", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([n[0] for n in names], pa.string()), pa.array([n[1] for n in names], pa.int32()), *(pa.array([c[n] for n in names], pa.int64()) for c in counts)], names=["mark", "fold", "clean", "toxic"])
+
+    docs = {(r["fold"], r["toxic"]): r["count"] for r in sample.groupBy("fold", "toxic").count().collect()}
+    one = lambda kind, k: F.sum(F.when(F.col("fold") == k, F.col(kind)).otherwise(0)).alias(f"{kind}{k}")
+    counted = sample.select("text", "toxic", "fold").mapInArrow(work, "mark string, fold int, clean long, toxic long").groupBy("mark")
+    counted = counted.agg(*(one(kind, k) for kind in ("clean", "toxic") for k in range(FOLDS)))
+
+    def odds(folds: list[int]) -> Column:
+        """The lower bound of a mark's log odds ratio from the documents of the folds; null where toxic ones are few."""
+        n = {y: sum(docs.get((k, y), 0) for k in folds) for y in (0, 1)}
+        clean, toxic = (sum((F.col(f"{kind}{k}") for k in folds), F.lit(0)) for kind in ("clean", "toxic"))
+        c, a = clean + 0.5, toxic + 0.5
+        return F.when(toxic >= LEAST_TOXIC, F.log(a / F.lit(n[1] + 1.0)) - F.log(c / F.lit(n[0] + 1.0)) - F.sqrt(1 / a + 1 / c))
 
-    docs = sample.groupBy("toxic").count().collect()
-    n = {r["toxic"]: r["count"] for r in docs}
-    c, a = F.col("clean") + 0.5, F.col("toxic") + 0.5
-    odds = F.log(a / F.lit(n.get(1, 0) + 1.0)) - F.log(c / F.lit(n.get(0, 0) + 1.0)) - F.sqrt(1 / a + 1 / c)
-    counted = sample.select("text", "toxic").mapInArrow(work, "mark string, clean long, toxic long").groupBy("mark").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    best = counted.where("toxic >= 3").withColumn("odds", odds).where(F.col("odds") >= float(LEVELS[0])).orderBy(F.desc("odds"), "mark").limit(MOST_EVIDENCE)
-    return {r["mark"]: int(np.searchsorted(LEVELS, r["odds"], side="right")) for r in best.collect()}
+    every = list(range(FOLDS))
+    named = [odds(every).alias("all"), *(odds([j for j in every if j != k]).alias(f"without{k}") for k in every)]
+    told = counted.select("mark", *named).withColumn("most", F.greatest("all", *(f"without{k}" for k in every)))
+    best = told.where(F.col("most") >= float(LEVELS[0])).orderBy(F.desc("most"), "mark").limit(MOST_EVIDENCE).collect()
+    level = lambda name: {r["mark"]: int(np.searchsorted(LEVELS, r[name], side="right")) for r in best if r[name] is not None and r[name] >= LEVELS[0]}
+    return level("all"), [level(f"without{k}") for k in every]
 
 
-def labelled_chains(sample: DataFrame, level: dict[str, int], seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bounded chains of the sample with their labelled tokens: every chain with evidence, and as many without."""
+def labelled_chains(sample: DataFrame, levels: list[dict[str, int]]) -> list[Chains]:
+    """All chains of the sample with their labelled tokens, by length; equal ones of a class stand once, with their
+    number. Evidence is that from outside a document's fold, so that a document doesn't tell about itself."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence = Evidence(level)
+        evidence = [Evidence(level) for level in levels]
         for batch in batches:
-            rows = []
-            for doc_id, text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
-                for k, chain in enumerate(level_chains(text or "", evidence)):
-                    if any(chain) or (hash((doc_id, k, seed)) & 7) == 0:
-                        rows.append((doc_id, k, toxic, bytes(chain)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "k", "toxic", "levels"])
-
-    rows = sample.select("doc_id", "text", "toxic").mapInArrow(work, "doc_id long, k long, toxic long, levels binary").withColumn("key", F.concat_ws("-", "doc_id", "k"))
-    rows = bounded_sample(written(rows, "chains"), "key", MOST_CHAINS).orderBy("doc_id", "k", "levels").collect()
-    sizes = np.array([len(r["levels"]) for r in rows], np.int64)
-    levels = np.zeros((len(rows), CHAIN), np.int64)
-    for i, r in enumerate(rows):
-        levels[i, : sizes[i]] = np.frombuffer(bytes(r["levels"]), np.uint8)
-    toxic = np.array([r["toxic"] for r in rows], float)
-    return levels, sizes, ((levels >= 2) & (toxic[:, None] == 1)).astype(float)
+            found: Counter = Counter()
+            for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns)):
+                found.update((toxic, bytes(chain)) for chain in level_chains(text or "", evidence[fold]))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.binary()), pa.array(found.values(), pa.int64())], names=["toxic", "levels", "n"])
+
+    counted = sample.select("text", "toxic", "fold").mapInArrow(work, "toxic long, levels binary, n long").groupBy("toxic", "levels").agg(F.sum("n").alias("n"))
+    groups: dict[int, list] = {}
+    for r in counted.orderBy("toxic", "levels").collect():
+        groups.setdefault((len(r["levels"]) - 1).bit_length(), []).append(r)
+    done = []
+    for power, rows in sorted(groups.items()):
+        levels, sizes = np.zeros((len(rows), 1 << power), np.int64), np.array([len(r["levels"]) for r in rows])
+        for i, r in enumerate(rows):
+            levels[i, : sizes[i]] = np.frombuffer(bytes(r["levels"]), np.uint8)
+        toxic = np.array([r["toxic"] for r in rows], float)
+        done.append(Chains(levels, sizes, ((levels >= 2) & (toxic[:, None] == 1)).astype(float), np.array([r["n"] for r in rows], float)))
+    return done
 
 
 #: Features of the document score, from the tagged rows.
-FEATURES = ["most", "log1p(expected)", "expected / greatest(n_tokens, 1)"]
+FEATURES = ["most", "log1p(expected)", "expected / greatest(n_tokens, 1)", "log1p(hot)"]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
@@ -275,12 +348,12 @@ def score_of(weights: np.ndarray) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """doc_id, text, toxic of about `most` labelled documents, or of all if there are no more."""
+    """doc_id, text, toxic, fold of about `most` labelled documents, or of all if there are no more."""
     told = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("toxic"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(told, "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # about `most` ids of 16 bytes
-    return written(texts.join(F.broadcast(bounded_sample(ids, "doc_id", most)), "doc_id"), "labelled")
+    return written(texts.join(F.broadcast(bounded_sample(ids, "doc_id", most)), "doc_id").withColumn("fold", fold_of("doc_id")), "labelled")
 
 
 @dataclass
@@ -295,22 +368,27 @@ class Model:
     def score(self) -> Column:
         return F.lit(self.share) if self.weights is None else score_of(self.weights)
 
-    def score_row(self, n_tokens: int, most: float, expected: float) -> float:
+    def score_row(self, n_tokens: int, most: float, expected: float, hot: int) -> float:
         """The same for one tagged document in a task."""
         if self.weights is None:
             return self.share
-        x = np.array([most, np.log1p(expected), expected / max(n_tokens, 1), 1.0])
+        x = np.array([most, np.log1p(expected), expected / max(n_tokens, 1), np.log1p(hot), 1.0])
         return float(1 / (1 + np.exp(-(x @ self.weights))))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from the labelled documents among docs. Without labels, or with one class only, it knows a share."""
-    sample = labelled_sample(docs, labels)
-    level = evidence_levels(sample)
-    levels, sizes, tags = labelled_chains(sample, level)
-    field = fit_field(levels, sizes, tags) if len(sizes) else Field.zero()
-    told = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    fitted = tag_documents(sample, level, field).join(told, "doc_id").selectExpr(*(f"{f} AS f{k}" for k, f in enumerate(FEATURES)), "toxic").toPandas()
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Model:
+    """A model from the labelled documents among docs, from about most_labelled of them. Without labels, or with one
+    class only, it knows a share.
+
+    Null labels and null ids tell nothing. Of repeated labels of an id the highest counts; rows that repeat an id
+    each count with its label. Null, empty and very long texts count whole, with what tokens they have.
+    """
+    sample = labelled_sample(docs, labels, most_labelled)
+    level, without = evidence_levels(sample)
+    groups = labelled_chains(sample, without)
+    field = fit_field(groups) if groups else Field.zero()
+    parts = [tag_documents(sample.where(F.col("fold") == k), without[k], field, told="toxic") for k in range(FOLDS)]
+    fitted = reduce(DataFrame.unionByName, parts).selectExpr(*(f"{f} AS f{k}" for k, f in enumerate(FEATURES)), "toxic").toPandas()
     y = fitted["toxic"].to_numpy(float)
     if len(y) == 0 or y.min() == y.max():
         return Model(level, field, None, float(y[0]) if len(y) else 0.0)
@@ -333,7 +411,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", li
             for begin in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(begin, SLICE)
                 found = tagged(batch.column(at).to_pylist(), evidence, tagger)
-                yield batch.filter(pa.array([model.score_row(len(p), float(p.max(initial=0.0)), float(p.sum())) < limit for p in found], pa.bool_()))
+                yield batch.filter(pa.array([model.score_row(*totals(p)) < limit for p in found], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
 

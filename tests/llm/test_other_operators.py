@@ -7,6 +7,7 @@ import json
 import math
 import os
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -172,6 +173,97 @@ def test_scores_are_defined_for_every_row(spark):
     assert toxicity.without_toxic(frame(spark), none).columns == frame(spark).columns
 
 
+def brute_evidence(rows, toxic, folds):
+    """Level of each mark with enough evidence, from documents counted one by one."""
+    seen = {0: Counter(), 1: Counter()}
+    for i, text in rows:
+        if i in toxic and toxic[i][1] in folds:
+            words = {w.lower() for w in re.findall(r"[^\W_]+(?:[*@$!'’-][^\W_]+)*", text or "")}
+            seen[toxic[i][0]].update({m for w in words for m in [w, *(w[:k] + "-" for k in range(4, 9) if len(w) > k)]})
+    n = {y: sum(1 for t, f in toxic.values() if t == y and f in folds) for y in (0, 1)}
+    out = {}
+    for mark, a in seen[1].items():
+        if a >= 3:
+            c = seen[0][mark]
+            odds = math.log((a + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1)) - math.sqrt(1 / (a + 0.5) + 1 / (c + 0.5))
+            if odds >= 2.5:
+                out[mark] = sum(odds >= x for x in (2.5, 3.5, 4.5, 5.5))
+    return out
+
+
+def test_evidence_comes_from_all_labelled_documents_and_from_other_folds(spark):
+    rows, docs, labels = labelled(spark)
+    sample = toxicity.labelled_sample(docs, labels)
+    told = {r.doc_id: (r.toxic, r.fold) for r in sample.collect()}
+    assert len(told) == 600 and {f for _, f in told.values()} == set(range(toxicity.FOLDS))
+    level, without = toxicity.evidence_levels(sample)
+    assert level == brute_evidence(rows, told, set(range(toxicity.FOLDS)))
+    for k, own in enumerate(without):
+        assert own == brute_evidence(rows, told, set(range(toxicity.FOLDS)) - {k})
+    groups = toxicity.labelled_chains(sample, without)
+    assert sum(g.weights.sum() for g in groups) == 1200 and sum(g.sizes @ g.weights for g in groups) == 600 * 30
+
+
+def brute_log_likelihood(field, levels, tags):
+    near = [max([levels[t - 1] if t else 0, levels[t + 1] if t + 1 < len(levels) else 0]) for t in range(len(levels))]
+    score = lambda y: sum(field.own[l, a] + field.near[n, a] for l, n, a in zip(levels, near, y)) + sum(field.step[a, b] for a, b in zip(y, y[1:]))
+    return score(tags) - math.log(sum(math.exp(score(y)) for y in itertools.product((0, 1), repeat=len(levels))))
+
+
+def test_the_field_is_the_most_likely_one():
+    dice = np.random.default_rng(6)
+    groups = []
+    for size in (3, 5):
+        levels = dice.integers(0, toxicity.N_LEVELS, (12, size))
+        tags = (levels + dice.integers(0, 3, levels.shape) >= 4).astype(float)
+        groups.append(toxicity.Chains(levels, np.full(12, size), tags, dice.integers(1, 4, 12).astype(float)))
+    field = toxicity.fit_field(groups, rounds=200)
+
+    def loss(f):
+        total = sum(w * brute_log_likelihood(f, c.tolist(), t.astype(int).tolist()) for g in groups for c, t, w in zip(g.levels, g.tags, g.weights))
+        n = sum(g.sizes @ g.weights for g in groups)
+        return -total / n + 0.5e-4 * sum((part**2).sum() for part in (f.own, f.near, f.step))
+
+    least = loss(field)
+    for _ in range(30):
+        other = toxicity.Field(*(part + dice.normal(size=part.shape) * 0.05 for part in (field.own, field.near, field.step)))
+        assert loss(other) > least
+
+
+def plain_score(text, model):
+    """A document's score by plain forward and backward sums over each chain, without scaling."""
+    p = []
+    for line in (text or "").split("\n"):
+        tokens = [t.lower() for t in re.findall(r"[^\W_]+(?:[*@$!'’-][^\W_]+)*", line)]
+        for i in range(0, len(tokens), 64):
+            own = [max(model.level.get(m, 0) for m in [w, *(w[:k] + "-" for k in range(4, 9) if len(w) > k)]) for w in tokens[i : i + 64]]
+            near = [max(own[t - 1] if t else 0, own[t + 1] if t + 1 < len(own) else 0) for t in range(len(own))]
+            score = [np.exp(model.field.own[a] + model.field.near[b]) for a, b in zip(own, near)]
+            step, forward, backward = np.exp(model.field.step), [score[0]], [np.ones(2)]
+            for x in score[1:]:
+                forward.append(forward[-1] @ step * x)
+            for x in score[:0:-1]:
+                backward.insert(0, step @ (x * backward[0]))
+            p += [(f * b)[1] / (f * b).sum() for f, b in zip(forward, backward)]
+    x = [max(p, default=0.0), math.log1p(sum(p)), sum(p) / max(len(p), 1), math.log1p(sum(q >= 0.5 for q in p)), 1.0]
+    return 1 / (1 + math.exp(-float(np.dot(x, model.weights))))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the provided tables aren't here")
+def test_the_toxicity_query_equals_plain_sums_over_the_whole_table(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    out = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    known = spark.createDataFrame([r for r in labels.collect() if not out(r.doc_id)], labels.schema)
+    model = toxicity.fit(docs, known)
+    want = {r.doc_id: plain_score(r.text, model) for r in docs.collect()}
+    got = toxicity.op8_toxicity(spark, sf_dir).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-9)
+        assert r.held_out == out(r.doc_id) and (r.predicted == 1) == (r.score >= 0.7) and 0 <= r.score <= 1
+
+
 # quality
 
 
