@@ -31,6 +31,7 @@ ATTRIBUTE = r"(?i)(?<![\w\-])(?:" + "|".join(TEXT_ATTRIBUTES) + r""")\s*=\s*("[^
 def without_gated(text: str | Column) -> Column:
     """Paired gated short codes go with what they enclose, nested ones in up to five passes; then single marks."""
     text = column(text)
+    # The shape of a pair, and how deep pairs may be nested.
     for _ in range(5):
         text = F.regexp_replace(text, r"(?is)\[(" + GATED + r")(?=[\s\]/])[^\]]*\](.*?)\[/\1\]", "\n")
     return F.regexp_replace(text, r"(?i)\[/?(?:" + GATED + r")(?=[\s\]/])[^\]]*\]", "\n")
@@ -39,6 +40,7 @@ def without_gated(text: str | Column) -> Column:
 def useful(value: str | Column) -> Column:
     """Whether an attribute's value is text for people: no number, address, code, colour or length of CSS."""
     value = trim(value)
+    # What is no text for people.
     bad = [r"(?i)^(https?://|//|www\.)", r"^[A-Za-z0-9+/=]{40,}$", r"(?i)^#?[0-9a-f]{3,8}$", r"(?i)^\d+(\.\d+)?(px|em|rem|%|vh|vw)$", r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"]
     ok = F.length(value) >= 3
     for pattern in bad:
@@ -75,7 +77,8 @@ def plain_text(value: str | Column) -> Column:
     text = F.regexp_replace(text, BREAKING, "\n")
     text = F.regexp_replace(text, r"(?is)<(script|style)[^>]*?>.*?</\1>", "")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", "")
-    text = F.replace(unescaped(text), F.lit("\u00a0"), F.lit(" "))
+    coded = text.contains("&")
+    text = F.replace(F.when(coded, unescaped(F.when(coded, text))).otherwise(text), F.lit("\u00a0"), F.lit(" "))
     text = F.regexp_replace(text, "[ \t]+", " ")
     text = F.regexp_replace(text, r"(?U)\s*\n\s*", "\n")
     return trim(F.regexp_replace(text, "\n{2,}", "\n"))

@@ -6,6 +6,8 @@ characters of TRIM alone.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,19 @@ def question_hash(question: str | Column) -> Column:
     return F.sha2(trim(one_space(F.lower(column(question)))), 256)
 
 
+def hmac_sha256(message: str | Column, secret: str) -> Column:
+    """HMAC-SHA256 in hex, of two hashes with the padded secret before."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(k ^ pad for k in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, column(message).cast("binary")), 256))), 256)
+
+
+def crawl_token(message: str | Column, secret: str) -> Column:
+    """What a crawl request proves itself with: the first 32 digits of the HMAC; nothing without a secret."""
+    return F.substring(hmac_sha256(message, secret), 1, 32) if secret else F.lit("")
+
+
 def content_hash(content: str | Column) -> Column:
     return F.sha2(trim(content), 256)
 
@@ -79,18 +94,27 @@ def clamp_words(text: str | Column, size: int = 90) -> Column:
     return F.when(F.length(text) > size, trim(F.regexp_replace(F.substring(text, 1, size), r"(?U)\s+\S*$", ""))).otherwise(text)
 
 
-def without_fixpoint(text: Column, needle: str, rounds: int = 8) -> Column:
-    """Text without the needle, also where taking one out joins another together, up to so many rounds."""
-    for _ in range(rounds):
-        text = F.replace(text, F.lit(needle), F.lit(""))
-    return text
+def without_fixpoint(text: Column, needle: str) -> Column:
+    """Text without the needle, also where taking one out joins another together.
+
+    Each round takes the needle out once at least, and with it one of its rarest characters; so there are as many
+    rounds as the text has of these, and texts without the needle have none.
+    """
+    rare = F.lit(min(needle, key=lambda c: (needle.count(c), -ord(c))))
+    bare = lambda s: F.replace(s, F.lit(needle), F.lit(""))
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - F.length(F.replace(text, rare, F.lit("")))))
+    return F.when(text.contains(needle), F.aggregate(rounds, text, lambda s, _: bare(s))).otherwise(text)
+
+
+def hardened(text: str | Column) -> Column:
+    """Text without section marks and rulers."""
+    text = F.regexp_replace(column(text), "[#＃]{2,}", "# # #")
+    return F.regexp_replace(text, r"(?md)^[-*=]{3,}\s*$", "- - -")
 
 
 def neutralised(text: str | Column) -> Column:
     """Text in which nothing passes for the structure of a prompt: section marks, rulers, source heads, the no-answer mark."""
-    text = F.regexp_replace(column(text), "[#＃]{2,}", "# # #")
-    text = F.regexp_replace(text, r"(?m)^[-*=]{3,}[ \t]*$", "- - -")
-    text = F.regexp_replace(text, r"(?U)\[\s*(\d+)\s*\]\s*\(\s*Źródło\s*:", "[ $1 ] ( Źródło :")
+    text = F.regexp_replace(hardened(text), r"(?iU)\[\s*(\d+)\s*\]\s*\(\s*Źródło\s*:", "[ $1 ] ( Źródło :")
     return without_fixpoint(text, NO_ANSWER)
 
 

@@ -10,11 +10,34 @@ from pyspark.sql import functions as F
 
 from ..functions.text import question_hash
 
+SALTS = 8
 
-def rate_limited(requests: DataFrame, limit: int, window: str = "hour") -> DataFrame:
-    """requests(id, created_at, ip_hash) with `admitted`: the first `limit` of an address in each calendar window; 0 is no limit."""
-    at = F.row_number().over(Window.partitionBy("ip_hash", F.date_trunc(window, "created_at")).orderBy("created_at", "id"))
-    return requests.withColumn("admitted", (at <= limit) | F.lit(limit == 0))
+
+def salted_join(rows: DataFrame, told: DataFrame, on: list[str], spread: str) -> DataFrame:
+    """rows left-joined with told, which has a row for each key at most: told once for each salt, so that the rows of
+    one key come to several tasks, by the hash of their column `spread`."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    every = told.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, [*on, "_salt"], "left").drop("_salt")
+
+
+def rate_limited(requests: DataFrame, limit: int, window: str = "hour", failed: str | None = None) -> DataFrame:
+    """requests(id, created_at, ip_hash) with `admitted`: the first `limit` of an address in each calendar window; 0 or less is no limit.
+
+    failed: a boolean column of requests whose provider call failed; these are refunded before the next request, so
+    they don't count. The limit-th request that counts is found by ranks cut before the shuffle and told to the
+    address's rows by salted keys, so an address with much of the rows is no single task's.
+    """
+    if limit <= 0:
+        return requests.withColumn("admitted", F.lit(True))
+    keyed = requests.withColumn("_window", F.date_trunc(window, "created_at"))
+    counted = keyed if failed is None else keyed.where(~F.coalesce(F.col(failed), F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy("ip_hash", "_window").orderBy("created_at", "id"))
+    last = counted.select("ip_hash", "_window", "created_at", "id").withColumn("_rank", rank).where(F.col("_rank") <= limit)
+    last = last.groupBy("ip_hash", "_window").agg(F.count("*").alias("n"), F.max(F.struct("created_at", "id")).alias("_last")).where(F.col("n") == limit)
+    joined = salted_join(keyed, last.select("ip_hash", "_window", "_last"), ["ip_hash", "_window"], "id")
+    admitted = F.col("_last").isNull() | (F.struct("created_at", "id") <= F.col("_last"))
+    return joined.select(*requests.columns, admitted.alias("admitted"))
 
 
 def within_budget(requests: DataFrame, limit: int) -> DataFrame:
@@ -40,10 +63,19 @@ def cache_probe(questions: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def recently_refused(requests: DataFrame, seconds: int = 3600) -> DataFrame:
-    """requests(id, question_hash, created_at, refused) with `cached_refusal`: a refusal of the question less than `seconds` before."""
-    before = Window.partitionBy("question_hash").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("refused"), F.col("created_at")), ignorenulls=True).over(before)
-    return requests.withColumn("cached_refusal", F.coalesce(F.col("created_at") < last + F.make_dt_interval(secs=F.lit(seconds)), F.lit(False)))
+    """requests(id, question_hash, created_at, refused) with `cached_refusal`: a refusal of the question less than `seconds` before.
+
+    Time is cut into blocks of `seconds`: only refusals of a row's own block and the last one of the block before can
+    count, so a question that is asked all the time is dealt by its blocks.
+    """
+    block = F.floor(F.unix_micros(F.col("created_at").cast("timestamp")) / (seconds * 1_000_000)).cast("long")
+    rows = requests.withColumns({"_block": block, "_carried": F.lit(False)})
+    last = rows.where("refused").groupBy("question_hash", "_block").agg(F.max(F.struct("created_at", "id")).alias("_last"))
+    carried = last.select("question_hash", (F.col("_block") + 1).alias("_block"), F.col("_last.created_at").alias("created_at"), F.col("_last.id").alias("id"), F.lit(True).alias("refused"), F.lit(True).alias("_carried"))
+    before = Window.partitionBy("question_hash", "_block").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.last(F.when(F.col("refused"), F.col("created_at")), ignorenulls=True).over(before)
+    marked = rows.unionByName(carried, allowMissingColumns=True).withColumn("cached_refusal", F.coalesce(F.col("created_at") < at + F.make_dt_interval(secs=F.lit(seconds)), F.lit(False)))
+    return marked.where("NOT _carried").select(*requests.columns, "cached_refusal")
 
 
 def log_once(requests: DataFrame, seconds: int = 3600) -> DataFrame:
@@ -68,13 +100,32 @@ def log_once(requests: DataFrame, seconds: int = 3600) -> DataFrame:
     return ordered.mapInPandas(mark, keyed.drop("at").withColumn("written", F.lit(True)).schema)
 
 
-def timeout_streaks(fetches: DataFrame) -> DataFrame:
-    """fetches(id, queue, at, outcome: ok, timeout or failed) with `streak`: timeouts since the last success; other failures don't count."""
-    order = Window.partitionBy("queue").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    islands = fetches.withColumn("island", F.sum(F.when(F.col("outcome") == "ok", 1).otherwise(0)).over(order))
-    inside = Window.partitionBy("queue", "island").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    streak = F.sum(F.when(F.col("outcome") == "timeout", 1).otherwise(0)).over(inside)
-    return islands.withColumn("streak", streak).withColumn("pause", F.col("streak") >= 3).drop("island")
+def timeout_streaks(fetches: DataFrame, block: Column | None = None) -> DataFrame:
+    """fetches(id, queue, at, outcome: ok, timeout or failed) with `streak`: timeouts since the last success; other failures don't count.
+
+    block: an expression that grows with `at` and cuts a queue's time into parts of bounded size, as a queue may hold
+    much of the rows. Each part counts for itself, and a window over the few parts of a queue tells what it starts with.
+    """
+    part = F.lit(0) if block is None else block
+    rows = fetches.withColumn("_part", part)
+    ok, timeout = F.when(F.col("outcome") == "ok", 1).otherwise(0), F.when(F.col("outcome") == "timeout", 1).otherwise(0)
+    order = Window.partitionBy("queue", "_part").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    islands = rows.withColumn("_island", F.sum(ok).over(order))
+    inside = Window.partitionBy("queue", "_part", "_island").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = islands.withColumn("_own", F.sum(timeout).over(inside))
+    if block is not None:
+        ends = rows.groupBy("queue", "_part").agg(F.max(F.when(F.col("outcome") == "ok", F.struct("at", "id"))).alias("_ok"))
+        since = salted_join(rows, ends, ["queue", "_part"], "id").where(F.col("_ok").isNull() | (F.struct("at", "id") > F.col("_ok")))
+        parts = ends.join(since.groupBy("queue", "_part").agg(F.sum(timeout).alias("_tail")), ["queue", "_part"], "left")
+        # a part with a success starts the count anew for those after it
+        over = Window.partitionBy("queue").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        run = parts.withColumn("_runs", F.sum(F.when(F.col("_ok").isNotNull(), 1).otherwise(0)).over(over))
+        within = Window.partitionBy("queue", "_runs").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        after = run.withColumn("_after", F.sum(F.coalesce("_tail", F.lit(0))).over(within))
+        start = after.withColumn("_start", F.coalesce(F.lag("_after").over(Window.partitionBy("queue").orderBy("_part")), F.lit(0)))
+        counted = salted_join(counted, start.select("queue", "_part", "_start"), ["queue", "_part"], "id")
+        counted = counted.withColumn("_own", F.when(F.col("_island") == 0, F.col("_start") + F.col("_own")).otherwise(F.col("_own")))
+    return counted.select(*fetches.columns, F.col("_own").alias("streak"), (F.col("_own") >= 3).alias("pause"))
 
 
 def guest(salt: str, ip: Column, forwarded: Column, edge: Column, trusted: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATUSES = ["answered", "refused", "error"]
+#: Fixed value: rows that retention may keep at most. How exact the sketch is that brackets ranks.
+MOST_KEPT, ACCURACY = 20_000, 10_000
 
 
 def normalised_log(rows: DataFrame) -> DataFrame:
@@ -50,8 +54,10 @@ def page_envelope(rows: DataFrame, page_number: int, per_page: int) -> DataFrame
 def retained(rows: DataFrame, now: Column, keep_days: int = 0, keep_rows: int = 0) -> DataFrame:
     """Rows not older than keep_days, and of those the keep_rows with the largest ids; 0 doesn't limit.
 
-    The boundary id comes from a bounded top-k, so no task ranks all rows.
+    The boundary id comes from a top-k of keep_rows ids, which settings bound (MOST_KEPT), so no task ranks all rows.
     """
+    if keep_rows > MOST_KEPT:
+        raise ValueError(f"keep_rows is {MOST_KEPT} at most")
     if keep_days > 0:
         rows = rows.where(F.col("created_at") >= now - F.make_dt_interval(F.lit(keep_days)))
     if keep_rows > 0:
@@ -61,21 +67,25 @@ def retained(rows: DataFrame, now: Column, keep_days: int = 0, keep_rows: int =
 
 
 def nearest_rank(rows: DataFrame, value: str, percents: list[int], by: list[str]) -> DataFrame:
-    """The value at rank ceil(p / 100 * n) of each group, for each p.
+    """The value at rank ceil(p / 100 * n) of each group's n values that aren't null, for each p.
 
-    Values are counted first, so a group's list has its distinct values only and ranks come from running sums.
+    A sketch, whose error in ranks is bounded, brackets each; values below a bracket are only counted, and those inside
+    it are ordered. So no group is collected or ordered whole.
     """
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"))
-    names = [F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), "n"))).alias("h"), F.sum("n").alias("total")]
-    grouped = counts.groupBy(*by).agg(*names)
-
-    def at(p: int) -> Column:
-        need = F.ceil(F.lit(p) / 100.0 * F.col("total"))
-        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast(rows.schema[value].dataType).alias("found"))
-        step = lambda s, x: F.struct((s["seen"] + x["n"]).alias("seen"), F.when(s["found"].isNull() & (s["seen"] + x["n"] >= need), x["v"]).otherwise(s["found"]).alias("found"))
-        return F.aggregate("h", start, step, lambda s: s["found"]).alias(f"p{p}")
-
-    return grouped.select(*by, *(at(p) for p in percents))
+    slack = 2 / ACCURACY
+    marks = [min(1.0, max(0.0, p / 100 + side)) for p in percents for side in (-slack, slack)]
+    kept = rows.where(F.col(value).isNotNull()).select(*by, F.to_json(F.struct(*by)).alias("_g"), F.col(value).alias("_v"))
+    groups = kept.groupBy("_g", *by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", marks, ACCURACY).alias("_marks"))
+    counts = kept.groupBy("_g", "_v").agg(F.count("*").alias("_c")).join(groups.select("_g", "_n", "_marks"), "_g")
+    low, high = (lambda k: F.element_at("_marks", 2 * k + 1)), (lambda k: F.element_at("_marks", 2 * k + 2))
+    rank = lambda p: F.greatest(F.ceil(F.lit(p) / 100.0 * F.col("_n")), F.lit(1))
+    below = counts.groupBy("_g").agg(*(F.coalesce(F.sum(F.when(F.col("_v") < low(k), F.col("_c"))), F.lit(0)).alias(f"_b{k}") for k in range(len(percents))))
+    inside = [counts.where(F.col("_v").between(low(k), high(k))).select("_g", F.lit(k).alias("_k"), "_v", "_c", rank(p).alias("_rank")) for k, p in enumerate(percents)]
+    before = reduce(lambda c, k: c.when(F.col("_k") == k, F.col(f"_b{k}")), range(1, len(percents)), F.when(F.col("_k") == 0, F.col("_b0")))
+    seen = F.sum("_c").over(Window.partitionBy("_g", "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = reduce(DataFrame.unionByName, inside).join(below, "_g").withColumn("_seen", seen + before).where("_seen >= _rank")
+    found = placed.groupBy("_g").agg(*(F.min(F.when(F.col("_k") == k, F.col("_v"))).alias(f"p{p}") for k, p in enumerate(percents)))
+    return groups.join(found, "_g").select(*by, *(f"p{p}" for p in percents))
 
 
 def import_legacy(history: DataFrame) -> DataFrame:

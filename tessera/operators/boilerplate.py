@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import line_key, trim
 
 #: Documents from which on lines are counted, documents and share that make a line boilerplate, share of a document that protects it.
 LEAST_DOCUMENTS, LEAST_FREQUENCY, RATIO, PROTECTED = 5, 3, 0.30, 0.60
+#: Shared lines at most: they are told to every task.
+MOST_KEYS = 100_000
 
 
 def text_lines(docs: DataFrame) -> DataFrame:
@@ -29,34 +31,54 @@ def boilerplate_keys(docs: DataFrame, ratio: float = RATIO) -> DataFrame:
     return document_frequency(docs).where(enough)
 
 
-def marked_lines(docs: DataFrame, ratio: float = RATIO) -> DataFrame:
-    """text_lines with `shared` (its key is boilerplate) and `whole` (its document keeps all: too much would go).
+def shared_keys(docs: DataFrame, ratio: float = RATIO) -> list[str]:
+    """The keys of boilerplate_keys. A key stands in a share of `ratio` of the documents, so there are 1 / ratio keys
+    at most for each line of an average document, however many documents there are; this is checked."""
+    keys = [r["key"] for r in boilerplate_keys(docs, ratio).select("key").limit(MOST_KEYS + 1).collect()]
+    if len(keys) > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} lines stand in a share of {ratio} of the documents; take a higher ratio")
+    return sorted(keys)
 
-    A key stands in a share of `ratio` of the documents, so there are 1 / ratio keys at most for each line of an
-    average document, however many documents there are; they are broadcast, as lines with such a key are many.
+
+def marked(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """docs with `lines`, an array of (place, line, key, shared), and `whole`: too much would go, so all stays.
+
+    Lines are marked inside their document's row; no text is shuffled.
     """
-    keys = F.broadcast(boilerplate_keys(docs, ratio).select("key", F.lit(True).alias("hit")))
-    lines = text_lines(docs).join(keys, "key", "left").withColumn("shared", F.coalesce("hit", F.lit(False)))
-    shares = lines.groupBy("post_id").agg((F.sum(F.when(F.col("shared"), F.length("line")).otherwise(0)) / F.sum(F.length("line"))).alias("share"))
-    return lines.join(shares.select("post_id", (F.col("share") >= F.lit(PROTECTED)).alias("whole")), "post_id").select("post_id", "place", "line", "key", "shared", "whole")
+    def line(raw: Column, place: Column) -> Column:
+        own = trim(raw)
+        return F.struct(place.alias("place"), own.alias("line"), line_key(own).alias("key"))
+
+    cut = F.filter(F.transform(F.split("text", "\n", -1), line), lambda x: x["line"] != "")
+    told = docs.select("post_id", "text", cut.alias("lines"))
+    shared = lambda x: x["key"].isin(keys) if keys else F.lit(False)
+    told = told.withColumn("lines", F.transform("lines", lambda x: F.struct(x["place"].alias("place"), x["line"].alias("line"), x["key"].alias("key"), shared(x).alias("shared"))))
+    chars = lambda test: F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + F.when(test(x), F.length(x["line"])).otherwise(0))
+    share = chars(lambda x: x["shared"]) / F.nullif(chars(lambda x: F.lit(True)), F.lit(0).cast("long"))
+    return told.withColumn("whole", F.coalesce(share >= F.lit(PROTECTED), F.lit(False)))
 
 
 def without_boilerplate(docs: DataFrame, ratio: float = RATIO, sink: int | None = None) -> DataFrame:
     """(post_id, text, removed): documents less shared lines, `removed` of them; each shared line's first form goes to
     the sink (the smallest id by default) unless it still has the line. Documents left blank go; those without a
     removal keep their text as it was, and so do those of which PROTECTED or more would go.
+
+    The shared keys, few and checked, are found first; then one row at most for each of them is pulled from a pass over
+    the documents, and a last pass rewrites each document by itself.
     """
-    lines = marked_lines(docs, ratio)
-    gone = lines.where("shared AND NOT whole")
-    changed = lines.groupBy("post_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("shared"), F.struct("place", "line")))), lambda x: x["line"]), "\n").alias("rest"),
-        F.count(F.when(F.col("shared") & ~F.col("whole"), 1)).alias("removed"),
-    )
-    target = docs.agg(F.min("post_id")).scalar() if sink is None else F.lit(sink)
-    firsts = gone.groupBy("key").agg(F.min_by("line", F.struct("post_id", "place")).alias("line"), F.min(F.struct("post_id", "place")).alias("at"))
-    at_sink = lines.where((F.col("post_id") == target) & ~(F.col("shared") & ~F.col("whole"))).select("key").distinct()
-    poured = firsts.join(at_sink, "key", "left_anti").select(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("poured"))
-    kept = docs.join(changed, "post_id", "left").select("post_id", F.when(F.coalesce("removed", F.lit(0)) > 0, F.col("rest")).otherwise(F.col("text")).alias("text"), F.coalesce("removed", F.lit(0)).alias("removed"))
-    extra = F.when(F.col("post_id") == target, F.coalesce(poured.scalar(), F.lit(""))).otherwise("")
-    text = F.when(extra == "", F.col("text")).when(trim("text") == "", extra).otherwise(F.concat_ws("\n", "text", extra))
-    return kept.select("post_id", text.alias("text"), "removed").where(trim("text") != "")
+    keys = shared_keys(docs, ratio)
+    lines = marked(docs, keys)
+    target = sink if sink is not None else docs.agg(F.min("post_id")).first()[0]
+    at = F.struct("post_id", "x.place")
+    gone = lines.where("NOT whole").select("post_id", F.explode(F.filter("lines", lambda x: x["shared"])).alias("x"))
+    firsts = gone.groupBy("x.key").agg(F.min_by("x.line", at).alias("line"), F.min(at).alias("at")).collect() if keys else []
+    # a protected sink still has its shared lines; any other has lost them
+    kept = {x for r in lines.where((F.col("post_id") == target) & F.col("whole")).select(F.transform(F.filter("lines", lambda x: x["shared"]), lambda x: x["key"]).alias("k")).collect() for x in r["k"]} if firsts else set()
+    poured = "\n".join(r["line"] for r in sorted(firsts, key=lambda r: (r["at"][0], r["at"][1])) if r["key"] not in kept)
+    removed = F.when(F.col("whole"), 0).otherwise(F.size(F.filter("lines", lambda x: x["shared"]))).cast("long")
+    rest = F.array_join(F.transform(F.filter("lines", lambda x: ~x["shared"]), lambda x: x["line"]), "\n")
+    cleaned = lines.select("post_id", F.when(removed > 0, rest).otherwise(F.col("text")).alias("text"), removed.alias("removed"))
+    if poured:
+        own = F.when(trim("text") == "", F.lit(poured)).otherwise(F.concat_ws("\n", "text", F.lit(poured)))
+        cleaned = cleaned.withColumn("text", F.when(F.col("post_id") == target, own).otherwise(F.col("text")))
+    return cleaned.where(trim("text") != "")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clip, column, escaped, trim
+from ..functions.text import clip, column, escaped, hardened, trim
 
 # Lengths and number of pairs, keys that wrap a list of pairs.
 QUESTION_CHARS, ANSWER_CHARS, MOST_PAIRS = 400, 4000, 50
@@ -19,25 +19,30 @@ PAIR_LIST = T.ArrayType(T.StructType([T.StructField("question", T.StringType()),
 
 
 def repaired(text: str | None):
-    """The JSON of a model's reply: as it is, from a fenced block, or from the first bracket to the last; else None."""
-    text = (text or "").strip()
+    """The JSON of a model's reply: as it is, from a fenced block, or from the first bracket (of a list of objects, if
+    there is one) to the last; else None."""
+    text = text or ""
     tries = [text]
-    if fenced := re.search(r"```(?:json)?\s*(.*?)```", text, re.S | re.I):
-        tries.append(fenced[1].strip())
-    begin, end = text.find("[{"), text.rfind("]")
-    begin = text.find("[") if begin < 0 else begin
+    if fenced := re.search(r"```(?:json)?\s*(.+?)\s*```", text, re.S | re.I | re.A):
+        tries.append(fenced[1].strip(" \t\n\r\0\x0b"))
+    listed = re.search(r"\[\s*\{", text, re.A)
+    begin, end = listed.start() if listed else text.find("["), text.rfind("]")
     if 0 <= begin < end:
         tries.append(text[begin : end + 1])
     for some in tries:
         try:
-            found = json.loads(some)
+            found = json.loads(some, parse_constant=_no_constant)
         except ValueError:
             continue
-        if isinstance(found, (dict, list)):
+        if found is not None:
             return found
     return None
 
 
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
 def _is_pair(item) -> bool:
     return isinstance(item, dict) and ("question" in item or "q" in item)
 
@@ -159,6 +164,22 @@ def page_schema(name: str, url: str, description: str, language: str) -> Column:
     return F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("WebApplication").alias("@type"), some(name).alias("name"), some(url).alias("url"), some(description).alias("description"), some(language).alias("inLanguage")))
 
 
+def generation_rows(entries: DataFrame) -> DataFrame:
+    """Log rows of generations(id, created_at, topic, extra_desc, num_questions, language, user_id, pairs): the pairs as
+    JSON, and their number where none is given."""
+    pairs = F.coalesce("pairs", F.array().cast(PAIR_LIST))
+    return entries.select(
+        "id", "created_at", F.coalesce("topic", F.lit("")).alias("topic"), "extra_desc", F.coalesce(F.col("num_questions").cast("int"), F.size(pairs)).alias("num_questions"),
+        F.coalesce("language", F.lit("pl")).alias("language"), F.coalesce("user_id", F.lit(0)).cast("long").alias("user_id"), F.to_json(pairs).alias("pairs_json"),
+    )
+
+
+def generation_prompt(topic: str, description: str, count: str, language: str) -> Column:
+    """The prompt of a generation: what people wrote can't pass for its structure."""
+    ask = F.concat(F.lit("Write "), F.col(count).cast("string"), F.lit(" questions with answers in "), F.col(language), F.lit(" as JSON."))
+    return F.concat_ws("\n", ask, F.lit("### TOPIC"), hardened(topic), F.lit("### DESCRIPTION"), hardened(description))
+
+
 def generator_params(rows: DataFrame, default_count: int = 8, default_language: str = "pl") -> DataFrame:
     """topic, description, count and language within their bounds."""
     count = F.when(F.coalesce("count", F.lit(0)) <= 0, default_count).otherwise(F.greatest(F.lit(5), F.least(F.lit(20), F.col("count"))))

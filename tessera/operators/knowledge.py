@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import trim
+from ..functions.text import content_hash, trim
 
 
 def embedded(chunks: DataFrame) -> DataFrame:
@@ -43,6 +43,19 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return counted.withColumn("outcome", outcome)
 
 
+def inserted(chunks: DataFrame, new: DataFrame) -> DataFrame:
+    """The table after the rows of new: a hash that isn't given is that of the content, an empty vector is none."""
+    given = F.col("content_hash") if "content_hash" in new.columns else F.lit(None).cast("string")
+    content = F.coalesce("content", F.lit(""))
+    rows = new.withColumns({"content": content, "content_hash": F.coalesce(given, content_hash(content)), "embedding": F.when(F.size("embedding") > 0, F.col("embedding"))})
+    return chunks.unionByName(rows.select(chunks.columns))
+
+
+def cleared(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table without its rows, and (deleted): how many they were."""
+    return rows.where(F.lit(False)), rows.agg(F.count("*").alias("deleted"))
+
+
 def replace_documents(old: DataFrame, new: DataFrame) -> DataFrame:
     """The table after every document of new has replaced its chunks."""
     return old.join(new.select("post_id").distinct(), "post_id", "left_anti").select(old.columns).unionByName(new.select(old.columns))

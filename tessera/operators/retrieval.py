@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +13,8 @@ from ..functions.text import NO_ANSWER, neutralised, trim
 
 #: The floor of the soft threshold, and the default thresholds.
 SOFT_FLOOR, SOFT, HARD = 0.70, 0.70, 0.65
-#: Vectors in a block of the batch search.
-BLOCK = 2048
+#: Vectors in a block of the batch search; bytes of query vectors that every task takes whole at most.
+BLOCK, MOST_QUERY_BYTES = 2048, 64 << 20
 
 
 def norm(vector: Column) -> Column:
@@ -36,37 +38,65 @@ def top_k(chunks: DataFrame, query: list[float], k: int = 5) -> DataFrame:
     return scored.orderBy(F.desc("score"), "id").limit(max(1, k))
 
 
-def top_k_batch(chunks: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
+def _ranked(a: np.ndarray, asked: np.ndarray, b: np.ndarray, ids: np.ndarray, posts: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best rows of b for each of the queries a, itself left out; ties go to the smaller id."""
+    na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
+    scores = np.divide(a @ b.T, na[:, None] * nb[None, :], out=np.zeros((len(a), len(b))), where=(na[:, None] > 0) & (nb[None, :] > 0))
+    scores[asked[:, None] == ids[None, :]] = -np.inf
+    scores[na <= 0] = -np.inf
+    most = min(k, len(b))
+    least = np.partition(scores, len(b) - most, axis=1)[:, len(b) - most]
+    q, j = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+    order = np.lexsort((ids[j], -scores[q, j], q))
+    q, j = q[order], j[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+    q, j = q[place < k], j[place < k]
+    return pd.DataFrame({"query_id": asked[q], "id": ids[j], "post_id": posts[j], "score": scores[q, j]})
+
+
+NEAR = "query_id long, id long, post_id long, score double"
+_NONE = pd.DataFrame({"query_id": [], "id": [], "post_id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "post_id": "int64", "score": "float64"})
+
+
+def _best(own: pd.DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> pd.DataFrame:
+    """The k best of own(id, post_id, vector) for the queries, which are given by their vectors' length."""
+    found = [_NONE]
+    for size, fits in own.groupby(own["vector"].map(len)):
+        if size in asked:
+            ids, vectors = asked[size]
+            b = np.stack(fits["vector"].to_list()).astype(float)
+            for begin in range(0, len(ids), 512):
+                found.append(_ranked(vectors[begin : begin + 512], ids[begin : begin + 512], b, fits["id"].to_numpy(), fits["post_id"].to_numpy(), k))
+    return pd.concat(found)
+
+
+def _by_size(frame: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    return {size: (some["query_id"].to_numpy(), np.stack(some["wanted"].to_list()).astype(float)) for size, some in frame.groupby(frame["wanted"].map(len)) if size}
+
+
+def top_k_batch(chunks: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, most_bytes: int = MOST_QUERY_BYTES) -> DataFrame:
     """(query_id, id, post_id, score, rank) for each of queries(query_id, embedding), itself left out by id.
 
-    Both sides are dealt into blocks of bounded size; each pair of blocks is one matrix product in a task, which
-    hands on the k best of each query, and the last ranking sees k rows for each query and block.
+    Queries are counted first. Up to most_bytes of them go to every task, which multiplies its chunks batch by batch
+    and hands on k rows a query and batch. More are dealt with the chunks into a grid of blocks of bounded size; each
+    pair of blocks is one matrix product in a task. The last ranking sees k rows for each query and batch or block.
     """
-    counts = [max(1, -(-frame.count() // block)) for frame in (chunks, queries)]
-    rows = chunks.where(F.col("embedding").isNotNull()).select(F.col("id").alias("id"), F.col("post_id").alias("post_id"), F.col("embedding").alias("vector"), F.pmod(F.xxhash64("id"), F.lit(counts[0])).cast("int").alias("c"))
-    asked = queries.select(F.col("query_id").alias("query_id"), F.col("embedding").alias("wanted"), F.pmod(F.xxhash64("query_id"), F.lit(counts[1])).cast("int").alias("q"))
-    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(counts[1] - 1))))
-    asked = asked.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(counts[0] - 1))))
-
-    def best(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        own, other = own.sort_values("id"), other.sort_values("query_id")
-        for size, wanted in other.groupby(other["wanted"].map(len)):
-            fits = own[own["vector"].map(len) == size]
-            if fits.empty or not size:
-                continue
-            a, b = np.stack(wanted["wanted"].to_list()).astype(float), np.stack(fits["vector"].to_list()).astype(float)
-            na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
-            scores = np.divide(a @ b.T, na[:, None] * nb[None, :], out=np.zeros((len(a), len(b))), where=(na[:, None] > 0) & (nb[None, :] > 0))
-            ids = fits["id"].to_numpy()
-            for i, q in enumerate(wanted["query_id"].to_numpy()):
-                if na[i] > 0:
-                    keep = np.flatnonzero(ids != q)
-                    top = keep[np.argsort(-scores[i, keep], kind="stable")[:k]]
-                    found.append(pd.DataFrame({"query_id": q, "id": ids[top], "post_id": fits["post_id"].to_numpy()[top], "score": scores[i, top]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "post_id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "post_id": "int64"})
-
-    near = rows.groupBy("q", "c").cogroup(asked.groupBy("q", "c")).applyInPandas(best, "query_id long, id long, post_id long, score double")
+    asked = queries.select(F.col("query_id").alias("query_id"), F.col("embedding").alias("wanted")).where("wanted IS NOT NULL")
+    told = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("wanted")), F.lit(0)).alias("numbers")).first()
+    rows = chunks.where(F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("post_id").cast("long").alias("post_id"), F.col("embedding").alias("vector"))
+    if 8 * told["numbers"] <= most_bytes:
+        known = _by_size(asked.toPandas())
+
+        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield _best(frame, known, k)
+
+        near = rows.mapInPandas(work, NEAR)
+    else:
+        counts = [max(1, -(-n // block)) for n in (rows.count(), told["n"])]
+        rows = rows.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(counts[0])).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(counts[1] - 1))))
+        asked = asked.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(counts[1])).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(counts[0] - 1))))
+        near = rows.groupBy("q", "c").cogroup(asked.groupBy("q", "c")).applyInPandas(lambda own, other: _best(own, _by_size(other), k), NEAR)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -33,6 +33,7 @@ def key_accepted(key: str | Column, words: list[str] = KEY_WORDS) -> Column:
 def clean_value(value: str | Column) -> Column:
     """A metadata value as text; nothing for serialised, numeric, address-like and short ones."""
     value = trim(value)
+    # Serialised data, addresses and numbers.
     serialised = value.rlike(r"^([aOsibdC]:[0-9]+[:;]|N;)")
     plainly = value.rlike(r"^(https?://|\d+$|[\d\s+()-]{6,}$)")
     return F.when(value.isNull() | serialised | plainly | (F.length(value) < LEAST_VALUE), "").otherwise(plain_text(value))
@@ -142,6 +143,12 @@ def rendered(posts: DataFrame, pages: DataFrame, gate: DataFrame | None = None)
     return gated(posts, gate).join(first, "post_id").select("post_id", "title", "url", trim("rendered").alias("text")).where("text <> ''")
 
 
+def stored_texts(store: DataFrame, batch: DataFrame) -> DataFrame:
+    """The store (post_id, text) after a batch(post_id, text, at): each of its posts has its newest text."""
+    newest = batch.groupBy("post_id").agg(F.max_by("text", "at").alias("text"))
+    return store.join(newest.select("post_id"), "post_id", "left_anti").select("post_id", "text").unionByName(newest)
+
+
 def own_site(body: str | Column, site_name: str, mark: str) -> Column:
     """Whether a page bears the mark or the site's name, plain or escaped."""
     escaped = site_name.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("'", "&#039;")

@@ -140,6 +140,13 @@ def rate_limit(spark, sf):
     return M.rate_limited(log(spark, sf), 3, "day").select("id", "admitted")
 
 
+@query(f"WITH {LOG}, c AS (SELECT id, count(*) FILTER (status <> 'error') OVER (PARTITION BY ip_hash, created_at::DATE ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (status <> 'error')::INT AS used FROM log) SELECT id, used < 2 AS admitted FROM c")
+def rate_limit_refund(spark, sf):
+    """Requests whose provider call failed are refunded."""
+    rows = log(spark, sf).withColumn("failed", F.col("status") == "error")
+    return M.rate_limited(rows, 2, "day", "failed").select("id", "admitted")
+
+
 @query(f"WITH {LOG} SELECT id, created_at FROM log QUALIFY row_number() OVER (PARTITION BY created_at::DATE ORDER BY created_at, id) <= 12")
 def daily_budget(spark, sf):
     return M.within_budget(log(spark, sf), 12).select("id", "created_at")
@@ -163,7 +170,7 @@ def log_once(spark, sf):
 def timeout_streak(spark, sf):
     outcome = F.when(F.col("status") == "error", "timeout").when(F.col("status") == "refused", "failed").otherwise("ok")
     rows = log(spark, sf).select("id", F.col("user_id").alias("queue"), F.col("created_at").alias("at"), outcome.alias("outcome"))
-    return M.timeout_streaks(rows).select("id", "streak", "pause")
+    return M.timeout_streaks(rows, F.date_trunc("day", "at")).select("id", "streak", "pause")
 
 
 @query("SELECT event_id, sha256('salt|' || CASE event_id % 4 WHEN 0 THEN '10.0.0.1' WHEN 1 THEN '198.51.100.7' WHEN 2 THEN '203.0.113.9' ELSE '10.0.0.1' END) AS guest FROM events")
@@ -346,10 +353,31 @@ def embed_batches(spark, sf):
 
 @query()
 def generate_faq(spark, sf):
-    rows = gen_params(spark, sf).withColumn("prompt", F.concat_ws("\n", "topic", "description", "language"))
+    rows = gen_params(spark, sf).withColumn("prompt", Q.generation_prompt("topic", "description", "count", "language"))
     return P.generated(rows.select("event_id", "prompt"), "prompt", P.Offline()).select("event_id", Q.normalised_pairs(Q.pairs_of("reply")).alias("pairs"))
 
 
+@query(f"WITH {PAIRS} SELECT conv_id AS id, TIMESTAMP '2024-01-31' AS created_at, 'topic ' || conv_id AS topic, NULL::VARCHAR AS extra_desc, CASE WHEN conv_id % 2 = 0 THEN 9 ELSE count(*) END::INTEGER AS num_questions, CASE WHEN conv_id % 3 = 0 THEN 'en' ELSE 'pl' END AS language, 0::BIGINT AS user_id, to_json(list({{'question': question, 'answer': answer}} ORDER BY turn))::VARCHAR AS pairs_json FROM pairs GROUP BY conv_id")
+def generation_log(spark, sf):
+    e = F.expr
+    rows = pair_lists(spark, sf).select(F.col("conv_id").alias("id"), e("TIMESTAMP_NTZ '2024-01-31'").alias("created_at"), F.concat(F.lit("topic "), "conv_id").alias("topic"), e("CAST(NULL AS STRING)").alias("extra_desc"), e("CASE WHEN conv_id % 2 = 0 THEN 9 END").alias("num_questions"), e("CASE WHEN conv_id % 3 = 0 THEN 'en' END").alias("language"), e("CAST(NULL AS BIGINT)").alias("user_id"), "pairs")
+    return Q.generation_rows(rows)
+
+
+@query("""SELECT event_id, greatest(1, least(10, n // 10))::INTEGER AS rag_top_k, greatest(0, least(200, n))::INTEGER AS rag_rate_limit, greatest(64, least(2048, n * 9))::INTEGER AS rag_max_tokens, greatest(0, least(20000, n * 100))::INTEGER AS qa_log_keep_rows,
+  greatest(0.0::DOUBLE, least(1.0::DOUBLE, round(x, 1))) AS temperature, greatest(0.7::DOUBLE, least(1.0::DOUBLE, round(x, 2))) AS rag_threshold,
+  least(greatest(0.7::DOUBLE, least(1.0::DOUBLE, round(x, 2))), greatest(0.65::DOUBLE, least(1.0::DOUBLE, round(1.3::DOUBLE - x, 2)))) AS rag_threshold_hard,
+  CASE WHEN n * 90 < -1 THEN -1 WHEN n * 90 = 0 THEN 0 WHEN n * 90 BETWEEN 1 AND 127 THEN 128 WHEN n * 90 > 24576 THEN 24576 ELSE n * 90 END::INTEGER AS rag_thinking_budget,
+  CASE WHEN event_id % 3 = 0 THEN 'doba' ELSE 'godzina' END AS rag_rate_window FROM (SELECT event_id, floor(value)::BIGINT - 100 AS n, value / 300 AS x FROM events)""")
+def settings_clamp(spark, sf):
+    from ..operators.settings import clamped
+
+    e = F.expr
+    raw = table(spark, sf, "events").select("event_id", e("cast(floor(value) AS bigint) - 100").alias("n"), (F.col("value") / 300).alias("x"))
+    raw = raw.select("event_id", e("n div 10 - if(n < 0 AND n % 10 <> 0, 1, 0)").alias("rag_top_k"), F.col("n").alias("rag_rate_limit"), e("n * 9").alias("rag_max_tokens"), e("n * 100").alias("qa_log_keep_rows"), F.col("x").alias("temperature"), F.col("x").alias("rag_threshold"), (1.3 - F.col("x")).alias("rag_threshold_hard"), e("n * 90").alias("rag_thinking_budget"), e("CASE WHEN event_id % 3 = 0 THEN 'doba' WHEN event_id % 3 = 1 THEN 'week' ELSE 'godzina' END").alias("rag_rate_window"))
+    return clamped(raw)
+
+
 @query()
 def site_profile(spark, sf):
     from ..functions.profile import sanitised_topic

@@ -131,21 +131,9 @@ def attr_useful(spark, sf):
     return table(spark, sf, "events").select("event_id", H.useful(F.expr(_ATTRS)).alias("useful"))
 
 
-_SECOND = f"second AS (SELECT page_id + 1 AS post_id, '' AS title, url, {_plain('html')} AS text FROM pages WHERE NOT contains(html, '&'))"
-
-
-@query(f"""WITH {POSTS}, {_SECOND}, u AS (SELECT post_id, ' ' AS title, url, text, 0 AS rank FROM posts UNION ALL SELECT post_id, 'page ' || post_id, url, text, 1 FROM second),
-k AS (SELECT * FROM u WHERE post_id > 0 AND {sql_trim('text')} <> ''),
-m AS (SELECT post_id, coalesce(arg_min(title, rank) FILTER ({sql_trim('title')} <> ''), '') AS title, coalesce(arg_min(url, rank) FILTER ({sql_trim('url')} <> ''), '') AS url, string_agg(text, chr(10) ORDER BY rank) AS text, min(rank) AS first_source FROM k GROUP BY post_id)
-SELECT post_id, title, url, first_source, coalesce({DEDUPED}, '') AS text FROM m""")
-def merge_sources(spark, sf):
-    first = posts(spark, sf).select("post_id", F.lit(" ").alias("title"), "url", "text")
-    second = table(spark, sf, "pages").where(~F.col("html").contains("&")).select((F.col("page_id") + 1).alias("post_id"), F.concat(F.lit("page "), F.col("page_id") + 1).alias("title"), "url", H.plain_text("html").alias("text"))
-    return S.merge_sources([first, second])
-
-
-def _merged(second: str) -> str:
-    return f"""u AS (SELECT post_id, ' ' AS title, url, text, 0 AS rank FROM posts UNION ALL SELECT post_id, 'page ' || post_id, url, text, 1 FROM {second}),
+def _merged(second: str, third: str = "") -> str:
+    more = f" UNION ALL SELECT post_id, '', '', text, 2 FROM {third}" if third else ""
+    return f"""u AS (SELECT post_id, ' ' AS title, url, text, 0 AS rank FROM posts UNION ALL SELECT post_id, 'page ' || post_id, url, text, 1 FROM {second}{more}),
 k AS (SELECT * FROM u WHERE post_id > 0 AND {sql_trim('text')} <> ''),
 m AS (SELECT post_id, coalesce(arg_min(title, rank) FILTER ({sql_trim('title')} <> ''), '') AS title, coalesce(arg_min(url, rank) FILTER ({sql_trim('url')} <> ''), '') AS url, string_agg(text, chr(10) ORDER BY rank) AS text, min(rank) AS first_source FROM k GROUP BY post_id)
 SELECT post_id, title, url, first_source, coalesce({DEDUPED}, '') AS text FROM m"""
@@ -166,11 +154,38 @@ def merge_all_pages(spark, sf):
     return S.merge_sources(_two_sources(spark, sf))
 
 
+_WORDS = f"words AS (SELECT post_id, string_agg(text, chr(10) ORDER BY key, pos) AS text FROM (SELECT post_id, key, pos, {_plain('value')} AS text FROM meta WHERE key IN ('user', 'assistant') AND length({sql_trim('value')}) >= 20) WHERE text <> '' GROUP BY post_id)"
+
+
+@query(f"WITH {POSTS}, {META}, {_PAGES}, {_WORDS}, {_merged('every', 'words')}")
+def merge_sources(spark, sf):
+    """Posts, every page, and the posts' metadata."""
+    words = S.meta_text(meta(spark, sf), ["user", "assist"]).select("post_id", F.lit("").alias("title"), F.lit("").alias("url"), "text")
+    return S.merge_sources([*_two_sources(spark, sf), words])
+
+
 @query(f"WITH {POSTS}, {META}, a AS (SELECT 'posts' AS source, text FROM posts WHERE {sql_trim('text')} <> '' UNION ALL SELECT 'meta', value FROM meta WHERE {sql_trim('value')} <> '') SELECT source, count(*) AS docs, sum(length(text))::BIGINT AS chars FROM a GROUP BY source")
 def source_stats(spark, sf):
     return S.source_stats({"posts": posts(spark, sf), "meta": meta(spark, sf).withColumnRenamed("value", "text")})
 
 
+@query("SELECT page_id + 1 AS post_id, CASE WHEN page_id % 3 = 0 THEN url || ' again' ELSE html END AS text FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0")
+def rendered_store(spark, sf):
+    pages = table(spark, sf, "pages").withColumn("post_id", F.col("page_id") + 1)
+    store = pages.where("page_id % 2 = 0").select("post_id", F.col("html").alias("text"))
+    some = pages.where("page_id % 3 = 0")
+    batch = some.select("post_id", F.lit("old").alias("text"), F.lit(1).alias("at")).unionByName(some.select("post_id", F.concat("url", F.lit(" again")).alias("text"), F.lit(2).alias("at")))
+    return S.stored_texts(store, batch)
+
+
+_IPAD, _OPAD = ("".join(f"\\x{b ^ pad:02X}" for b in b"secret".ljust(64, b"\0")) for pad in (0x36, 0x5C))
+
+
+@query(f"SELECT page_id, substr(sha256('{_OPAD}'::BLOB || unhex(sha256('{_IPAD}'::BLOB || encode(url)))), 1, 32) AS token FROM pages")
+def crawl_token(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.crawl_token("url", "secret").alias("token"))
+
+
 # The same with the gate before each source is read, merged or counted.
 _OPEN = f"{_GATED}, opened AS (SELECT post_id FROM posts2 WHERE post_id > 0 AND status = 'publish' AND password = '' AND type <> 'attachment' AND post_id % 13 <> 0 AND post_id % 17 <> 0 AND post_id % 19 <> 0 AND slug <> 'slug4' AND post_id <> 7)"
 

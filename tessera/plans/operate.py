@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..operators import knowledge as K
-from .bindings import KNOWLEDGE, LOG, NOW, knowledge, log, now, table
+from .bindings import KNOWLEDGE, LOG, NOW, knowledge, log, now, sql_trim, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -90,6 +90,20 @@ def replace_docs(spark, sf):
     return K.replace_documents(knowledge(spark, sf).select(columns), _new(spark, sf).where("post_id = 3").select(columns))
 
 
+@query(f"WITH {KNOWLEDGE} SELECT post_id, chunk_index, content, content_hash, len(embedding)::INTEGER AS dims FROM knowledge UNION ALL SELECT conv_id, turn::INTEGER, text, CASE WHEN turn = 1 THEN 'given' ELSE sha256({sql_trim('text')}) END, CASE WHEN turn % 2 = 0 THEN 2 END FROM conversations")
+def insert_chunk(spark, sf):
+    e = F.expr
+    chunks = knowledge(spark, sf).select("post_id", "chunk_index", "content", "content_hash", "embedding")
+    new = table(spark, sf, "conversations").select(F.col("conv_id").alias("post_id"), F.col("turn").cast("int").alias("chunk_index"), F.col("text").alias("content"), e("if(turn = 1, 'given', null)").alias("content_hash"), e("if(turn % 2 = 0, array(0.5f, 1f), cast(array() AS array<float>))").alias("embedding"))
+    return K.inserted(chunks, new).select("post_id", "chunk_index", "content", "content_hash", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dims"))
+
+
+@query(f"WITH {KNOWLEDGE} SELECT count(*) AS deleted, 0::BIGINT AS still FROM knowledge")
+def clear_all(spark, sf):
+    left, told = K.cleared(knowledge(spark, sf))
+    return told.crossJoin(left.agg(F.count("*").alias("still")))
+
+
 @query(f"WITH {KNOWLEDGE} SELECT id, post_id FROM knowledge WHERE post_id <> 3")
 def delete_doc(spark, sf):
     return K.delete_document(knowledge(spark, sf), 3).select("id", "post_id")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,41 +15,101 @@ def read(spark: SparkSession, path: str, kind: str = "parquet", schema: str | No
     return (reader.option("header", "true") if kind == "csv" else reader).format(kind).load(path)
 
 
+class Conflict(RuntimeError):
+    """Another writer was first."""
+
+
 class Snapshots:
     """A table in a folder: each commit writes a new snapshot and then its pointer; readers see the newest pointer.
 
-    A run that dies leaves a snapshot without a pointer, which no reader sees. The version before stays readable.
+    A pointer's name is its version alone and it is made only where none is, so of two writers one gets a version and
+    the other the next one, or a Conflict. The store must create files exclusively, as HDFS does; folders of this
+    machine are served by links. A run that dies leaves a snapshot without a pointer, which no reader sees. The
+    version before stays readable.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def pointers(self) -> list[tuple[int, str]]:
+    def versions(self) -> list[int]:
         fs, path = self._fs()
         if not fs.exists(path):
             return []
-        names = [f.getPath().getName() for f in fs.listStatus(path)]
-        return sorted((int(n.split(".")[1]), n.split(".")[2]) for n in names if n.startswith("pointer."))
+        names = [f.getPath().getName() for f in fs.listStatus(path) if f.getLen() > 0]
+        return sorted(int(n.split(".")[1]) for n in names if n.startswith("pointer."))
 
     def _fs(self):
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.folder)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def commit(self, table: DataFrame) -> int:
+    def _pointer(self, version: int) -> str:
+        return f"{self.folder}/pointer.{version:012d}"
+
+    def _point(self, version: int, name: str) -> bool:
+        """Make the version's pointer to a snapshot; False where there is one."""
+        fs, _ = self._fs()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._pointer(version))
+        if fs.getScheme() == "file":
+            # the local file system looks before it creates, which isn't atomic; a link is
+            target = path.toUri().getPath()
+            own = f"{os.path.dirname(target)}/_{name}"
+            with open(own, "w") as out:
+                out.write(name)
+            try:
+                os.link(own, target)
+            except FileExistsError:
+                return False
+            finally:
+                os.remove(own)
+            return True
+        if fs.exists(path):
+            return False
+        try:
+            out = fs.create(path, False)
+        except Exception:  # it was made since; anything else is no reason to go on
+            if fs.exists(path):
+                return False
+            raise
+        out.write(bytearray(name.encode()))
+        out.close()
+        return True
+
+    def commit(self, table: DataFrame, after: int | None = None) -> int:
+        """The version that table is written as. With after, it must be the one that follows this version: if another
+        writer has committed since, a Conflict is raised, and what the table was computed from must be read again."""
         name = uuid.uuid4().hex
         table.write.parquet(f"{self.folder}/data-{name}")
-        version = (self.pointers() or [(0, "")])[-1][0] + 1
-        fs, _ = self._fs()
-        fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/pointer.{version:012d}.{name}"), False).close()
+        version = (self.versions() or [0])[-1] + 1 if after is None else after + 1
+        while not self._point(version, name):
+            if after is not None:
+                raise Conflict(f"version {version} of {self.folder} is there already")
+            version += 1
         return version
 
     def current(self, back: int = 0) -> DataFrame:
         """The table as of the newest version, or `back` versions before."""
-        known = self.pointers()
+        known = self.versions()
         if len(known) <= back:
             raise LookupError(f"{self.folder} has no such version")
-        return self.spark.read.parquet(f"{self.folder}/data-{known[-1 - back][1]}")
+        name = self.spark.read.text(self._pointer(known[-1 - back])).first()[0]
+        return self.spark.read.parquet(f"{self.folder}/data-{name}")
+
+
+def isolated(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Each source's table as written under folder, and (source, ok, docs, error) of all: one that fails, while it is
+    planned or read, is left out and reported."""
+    good: dict[str, DataFrame] = {}
+    report = []
+    for name, make in sources.items():
+        path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        try:
+            make().write.parquet(path)
+            good[name] = spark.read.parquet(path)
+            report.append((name, True, good[name].count(), None))
+        except Exception as error:  # whatever a source raises is its own
+            report.append((name, False, 0, f"{type(error).__name__}: {error}"[:500]))
+    return good, spark.createDataFrame(report, "source string, ok boolean, docs long, error string")
 
 
 def write_exports(rows: DataFrame, column: str, folder: str) -> None:

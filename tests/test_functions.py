@@ -50,6 +50,28 @@ def test_neutralised_text_holds_no_marks(spark):
     assert one(spark, value, text.neutralised("v")) == "# # # head # # #\n- - -\n[ 3 ] ( Źródło : x)  rest"
 
 
+@pytest.mark.parametrize("value", ["__NO_ANSW" * 30 + "__NO_ANSWER__" + "ER__" * 30, "W" * 50 + "__NO_ANSW__NO_ANSWER__ER__", "a__NO_ANSWER__b__NO_ANSWER__NO_ANSWER__", "no mark", "", None])
+def test_no_mark_is_left_however_deep(spark, value):
+    want = value
+    while want and text.NO_ANSWER in want:
+        want = want.replace(text.NO_ANSWER, "")
+    assert one(spark, value, text.neutralised("v")) == want
+
+
+def test_heads_and_rulers_in_any_form(spark):
+    assert one(spark, "[1] (źródło: x)\n[2](ŹRÓDŁO : y)", text.neutralised("v")) == "[ 1 ] ( Źródło : x)\n[ 2 ] ( Źródło : y)"
+    assert one(spark, "a\n***  \n===\n-- -", text.neutralised("v")) == "a\n- - -\n- - -\n-- -"
+
+
+def test_tokens_are_hmacs(spark):
+    import hashlib
+    import hmac
+
+    for secret in ("secret", "s" * 100):
+        assert one(spark, "crawl é", text.hmac_sha256("v", secret)) == hmac.new(secret.encode(), "crawl é".encode(), hashlib.sha256).hexdigest()
+    assert one(spark, "x", text.crawl_token("v", "")) == ""
+
+
 def test_hashes_ignore_case_and_space(spark):
     rows = spark.createDataFrame([("  What IS  it?\n",), ("what is it?",)], "v string").select(text.question_hash("v").alias("h")).collect()
     assert rows[0].h == rows[1].h

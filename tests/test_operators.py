@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tessera.functions import providers
 from tessera.functions.text import units
 from tessera.operators import admission, analytics, boilerplate, chunking, faq, knowledge, retrieval, sources, waves
-from tessera.sources.tables import Snapshots, read, write_exports
+from tessera.operators.settings import clamped
+from tessera.sources.tables import Conflict, Snapshots, isolated, read, write_exports
 
 T0 = dt.datetime(2024, 1, 10, 12, 0, 0)
 
@@ -80,8 +81,8 @@ def test_cosine_top_k(spark):
     assert got == [(1, 1.0), (7, 1.0), (2, 0.7071), (3, 0.0), (6, 0.0)]
     assert retrieval.top_k(rows, [0.0, 0.0], 5).count() == 0
     asked = spark.createDataFrame([(1, [1.0, 0.0]), (99, [0.0, 0.0])], "query_id long, embedding array<float>")
-    for block in (2, 2048):
-        batch = retrieval.top_k_batch(rows, asked, 3, block).orderBy("query_id", "rank").collect()
+    for block, most in ((2, 0), (2048, 0), (2048, 1 << 20)):
+        batch = retrieval.top_k_batch(rows, asked, 3, block, most).orderBy("query_id", "rank").collect()
         assert [(r.query_id, r.id, r.rank) for r in batch] == [(1, 7, 1), (1, 2, 2), (1, 3, 3)]
 
 
@@ -107,6 +108,44 @@ def test_limits(spark):
     assert [r.written for r in written] == [True, False, False, True, False, True]
 
 
+def test_failed_requests_are_refunded(spark):
+    rows = requests(spark, [0, 1, 2, 3, 4, 5]).withColumn("failed", F.col("id").isin(0, 3))
+    assert [r.admitted for r in admission.rate_limited(rows, 2, failed="failed").orderBy("id").collect()] == [True, True, True, False, False, False]
+
+
+def test_refusals_and_streaks_equal_a_loop_over_rows(spark):
+    import random
+
+    dice = random.Random(5)
+    rows = [(k, dice.choice("ab"), T0 + dt.timedelta(seconds=dice.randint(0, 20_000)), dice.random() < 0.2, dice.choice(["ok", "timeout", "timeout", "failed"])) for k in range(400)]
+    frame = spark.createDataFrame(rows, "id long, question_hash string, created_at timestamp_ntz, refused boolean, outcome string")
+    want, streaks = {}, {}
+    for q in "ab":
+        last, streak = None, 0
+        for k, _, at, refused, outcome in sorted((r for r in rows if r[1] == q), key=lambda r: (r[2], r[0])):
+            want[k] = last is not None and at < last + dt.timedelta(seconds=3600)
+            last = at if refused else last
+            streak = 0 if outcome == "ok" else streak + (outcome == "timeout")
+            streaks[k] = streak
+    assert {r.id: r.cached_refusal for r in admission.recently_refused(frame).collect()} == want
+    fetches = frame.withColumnsRenamed({"question_hash": "queue", "created_at": "at"})
+    for block in (None, F.date_trunc("minute", "at"), F.date_trunc("hour", "at")):
+        assert {r.id: r.streak for r in admission.timeout_streaks(fetches, block).collect()} == streaks
+
+
+def test_ranks_equal_ordered_lists(spark):
+    import math
+    import random
+
+    dice = random.Random(1)
+    rows = [("a", float(dice.randint(0, 40_000))) for _ in range(5000)] + [("b", 1.0)] * 7 + [(None, 5.0), (None, 6.0), ("c", None)]
+    got = {r.g: tuple(r)[1:] for r in analytics.nearest_rank(spark.createDataFrame(rows, "g string, v double"), "v", [1, 50, 95, 99, 100], ["g"]).collect()}
+    for g in ("a", "b", None):
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        assert got[g] == tuple(own[max(1, math.ceil(p / 100 * len(own))) - 1] for p in (1, 50, 95, 99, 100))
+    assert set(got) == {"a", "b", None}
+
+
 def test_streaks(spark):
     rows = [(k, "q", k, o) for k, o in enumerate(["timeout", "failed", "timeout", "timeout", "ok", "timeout"])]
     got = admission.timeout_streaks(spark.createDataFrame(rows, "id long, queue string, at long, outcome string")).orderBy("id").collect()
@@ -133,6 +172,9 @@ def test_statistics_of_an_empty_log(spark):
         ('talk [{"question": "Q", "answer": "A"}, {"question": "q", "answer": "B"}] talk', [("Q", "A")]),
         ('{"x": [{"question": "Q", "answer": ["A"]}]}', []),
         ('{"question": "Q", "answer": "A"}', [("Q", "A")]),
+        ('See [draft] first: [ {"question":"Q","answer":"A"} ] bye', [("Q", "A")]),
+        ('"a string with [{\\"question\\": 1}]"', []),
+        ('[{"question": NaN, "answer": "A"}]', []),
         ("no json at all", []),
         (None, []),
     ],
@@ -184,3 +226,39 @@ def test_snapshots(spark, tmp_path):
     rows = spark.range(5)
     assert table.commit(rows) == 1 and table.commit(knowledge.find(rows, 3)) == 2
     assert table.current().count() == 1 and table.current(1).count() == 5
+
+
+def test_of_two_writers_one_gets_a_version(spark, tmp_path):
+    folder = f"file://{tmp_path}/raced"
+    first, second = Snapshots(spark, folder), Snapshots(spark, folder)
+    assert first.commit(spark.range(1)) == 1
+    assert first.commit(spark.range(2), after=1) == 2
+    with pytest.raises(Conflict):
+        second.commit(spark.range(3), after=1)
+    assert first.current().count() == 2 and first.versions() == [1, 2]
+    # a writer that saw version 2 as the newest, and another one after it
+    seen = second.versions
+    second.versions = lambda: [1]
+    assert second.commit(spark.range(4)) == 3
+    second.versions = seen
+    assert second.current().count() == 4 and second.versions() == [1, 2, 3]
+
+
+def test_a_failing_source_is_left_out_and_told(spark, tmp_path):
+    def broken():
+        raise ValueError("gone")
+
+    def late():
+        return spark.range(3).select(F.expr("raise_error('no')").cast("string").alias("text"))
+
+    good, report = isolated(spark, {"a": lambda: spark.range(2), "b": broken, "c": late}, f"file://{tmp_path}/sources")
+    assert list(good) == ["a"] and good["a"].count() == 2
+    assert {(r.source, r.ok, r.docs) for r in report.collect()} == {("a", True, 2), ("b", False, 0), ("c", False, 0)}
+    assert all(r.error for r in report.collect() if not r.ok)
+
+
+def test_settings_stay_within_bounds(spark):
+    schema = "rag_threshold double, rag_threshold_hard double, rag_top_k int, rag_thinking_budget int, language string, temperature double"
+    rows = [(0.1, 0.9, 99, 5, "fr", 0.149), (1.5, 0.9, 0, 99_999, "en", 7.0), (None, None, None, -5, None, None)]
+    got = [tuple(r) for r in clamped(spark.createDataFrame(rows, schema)).collect()]
+    assert got == [(0.7, 0.7, 10, 128, None, 0.1), (1.0, 0.9, 1, 24_576, "en", 1.0), (None, None, None, -1, None, None)]
