@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import TRIM, column, trim
+from .text import TRIM, column, once, trim
 
 # Names and beginnings of short codes whose content is for members only.
 GATE_NAMES = ["restrict", "membership", "private", "members", "member", "mepr-active", "mepr-unauthorized", "mepr-show", "mepr-hide", "s2if", "s2hide", "s2member", "pmpro_member", "pmpro_has_membership_level", "ihc-hide-block", "ihc-user-status", "um_loggedin", "um_loggedout", "wcm_restrict", "groups_member_content", "swpm_protected", "vc_raw_html", "vc_raw_js", "et_pb_code", "et_pb_fullwidth_code"]
@@ -66,19 +66,20 @@ def shortcodes_as_lines(text: str | Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def unescaped(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+    coded = texts.str.contains("&", regex=False, na=False)
+    return texts.where(~coded, texts[coded].map(html.unescape)) if coded.any() else texts
 
 
 def plain_text(value: str | Column) -> Column:
     """A page's HTML as lines of text."""
     text = F.regexp_replace(column(value), r"(?s)<!--.*?-->", " ")
     # without a bracket there is no short code to look for
-    text = F.when(text.contains("["), F.regexp_replace(shortcodes_as_lines(without_gated(text)), r"\[[^\]]*\]", "\n")).otherwise(text)
+    coded = lambda t: F.regexp_replace(shortcodes_as_lines(without_gated(t)), r"\[[^\]]*\]", "\n")
+    text = once(text, lambda t: F.when(t.contains("["), coded(t)).otherwise(t))
     text = F.regexp_replace(text, BREAKING, "\n")
     text = F.regexp_replace(text, r"(?is)<(script|style)[^>]*?>.*?</\1>", "")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", "")
-    coded = text.contains("&")
-    text = F.replace(F.when(coded, unescaped(F.when(coded, text))).otherwise(text), F.lit("\u00a0"), F.lit(" "))
+    text = F.replace(unescaped(text), F.lit("\u00a0"), F.lit(" "))
     text = F.regexp_replace(text, "[ \t]+", " ")
     text = F.regexp_replace(text, r"(?U)\s*\n\s*", "\n")
     return trim(F.regexp_replace(text, "\n{2,}", "\n"))

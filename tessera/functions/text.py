@@ -22,6 +22,11 @@ def column(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def once(value: Column, body) -> Column:
+    """body(value), with value worked out once and not at each place where body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trim(value: str | Column) -> Column:
     return F.btrim(column(value), F.lit(TRIM))
 
@@ -54,7 +59,8 @@ def content_hash(content: str | Column) -> Column:
 
 def line_key(line: str | Column) -> Column:
     """A line as it is counted: lower case, single spaces, each number as one #."""
-    plain = F.regexp_replace(F.lower(column(line)), SPACES, " ")
+    # a single space stays as it is, which is most of them
+    plain = F.regexp_replace(F.lower(column(line)), r"(?U)(?! \S)\s+", " ")
     return trim(F.regexp_replace(plain, r"(?U)\d+", "#"))
 
 

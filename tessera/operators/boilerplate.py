@@ -43,19 +43,21 @@ def shared_keys(docs: DataFrame, ratio: float = RATIO) -> list[str]:
 def marked(docs: DataFrame, keys: list[str]) -> DataFrame:
     """docs with `lines`, an array of (place, line, key, shared), and `whole`: too much would go, so all stays.
 
-    Lines are marked inside their document's row; no text is shuffled.
+    Lines are marked inside their document's row; no text is shuffled. They come out of a generator, as a plain
+    projection would be worked out again in every filter above it.
     """
-    def line(raw: Column, place: Column) -> Column:
-        own = trim(raw)
-        return F.struct(place.alias("place"), own.alias("line"), line_key(own).alias("key"))
+    shared = lambda key: key.isin(keys) if keys else F.lit(False)
+    own = F.filter(F.transform(F.split("text", "\n", -1), lambda raw, k: F.struct(k.alias("place"), trim(raw).alias("line"))), lambda x: x["line"] != "")
+    keyed = F.transform(own, lambda x: F.struct(x["place"].alias("place"), x["line"].alias("line"), line_key(x["line"]).alias("key")))
+    told = F.transform(keyed, lambda x: F.struct(x["place"].alias("place"), x["line"].alias("line"), x["key"].alias("key"), shared(x["key"]).alias("shared")))
 
-    cut = F.filter(F.transform(F.split("text", "\n", -1), line), lambda x: x["line"] != "")
-    told = docs.select("post_id", "text", cut.alias("lines"))
-    shared = lambda x: x["key"].isin(keys) if keys else F.lit(False)
-    told = told.withColumn("lines", F.transform("lines", lambda x: F.struct(x["place"].alias("place"), x["line"].alias("line"), x["key"].alias("key"), shared(x).alias("shared"))))
-    chars = lambda test: F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + F.when(test(x), F.length(x["line"])).otherwise(0))
-    share = chars(lambda x: x["shared"]) / F.nullif(chars(lambda x: F.lit(True)), F.lit(0).cast("long"))
-    return told.withColumn("whole", F.coalesce(share >= F.lit(PROTECTED), F.lit(False)))
+    def both(lines: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("some"), F.lit(0).cast("long").alias("every"))
+        add = lambda s, x: F.struct((s["some"] + F.when(x["shared"], F.length(x["line"])).otherwise(0)).alias("some"), (s["every"] + F.length(x["line"])).alias("every"))
+        whole = F.aggregate(lines, start, add, lambda s: F.coalesce(F.try_divide(s["some"], s["every"]) >= F.lit(PROTECTED), F.lit(False)))
+        return F.struct(lines.alias("lines"), whole.alias("whole"))
+
+    return docs.select("post_id", "text", F.inline(F.transform(F.array(told), both)))
 
 
 def without_boilerplate(docs: DataFrame, ratio: float = RATIO, sink: int | None = None) -> DataFrame:
@@ -75,10 +77,11 @@ def without_boilerplate(docs: DataFrame, ratio: float = RATIO, sink: int | None
     # a protected sink still has its shared lines; any other has lost them
     kept = {x for r in lines.where((F.col("post_id") == target) & F.col("whole")).select(F.transform(F.filter("lines", lambda x: x["shared"]), lambda x: x["key"]).alias("k")).collect() for x in r["k"]} if firsts else set()
     poured = "\n".join(r["line"] for r in sorted(firsts, key=lambda r: (r["at"][0], r["at"][1])) if r["key"] not in kept)
-    removed = F.when(F.col("whole"), 0).otherwise(F.size(F.filter("lines", lambda x: x["shared"]))).cast("long")
-    rest = F.array_join(F.transform(F.filter("lines", lambda x: ~x["shared"]), lambda x: x["line"]), "\n")
-    cleaned = lines.select("post_id", F.when(removed > 0, rest).otherwise(F.col("text")).alias("text"), removed.alias("removed"))
+    kept_lines = F.transform(F.filter("lines", lambda x: ~x["shared"]), lambda x: x["line"])
+    removed = F.when(F.col("whole"), 0).otherwise(F.size("lines") - F.size(kept_lines)).cast("long")
+    text = F.when(removed > 0, F.array_join(kept_lines, "\n")).otherwise(F.col("text"))
     if poured:
-        own = F.when(trim("text") == "", F.lit(poured)).otherwise(F.concat_ws("\n", "text", F.lit(poured)))
-        cleaned = cleaned.withColumn("text", F.when(F.col("post_id") == target, own).otherwise(F.col("text")))
+        own = F.when(F.coalesce(trim(text), F.lit("")) == "", F.lit(poured)).otherwise(F.concat_ws("\n", text, F.lit(poured)))
+        text = F.when(F.col("post_id") == target, own).otherwise(text)
+    cleaned = lines.select("post_id", F.inline(F.array(F.struct(text.alias("text"), removed.alias("removed")))))
     return cleaned.where(trim("text") != "")
