@@ -1,8 +1,9 @@
 """Benchmark passages in documents, by SimHash of item-sized windows.
 
-Windows of each benchmark item's number of words are hashed to 256-bit SimHash fingerprints. A multi-index with
-one more block than the radius finds every item whose fingerprint is within the radius (if at most r bits differ,
-one of r + 1 blocks is equal), and the weighted Jaccard similarity of the full shingle multisets decides.
+Windows of each benchmark item's number of words are hashed to 256-bit SimHash fingerprints. A multi-index over
+blocks of two bits finds every item whose fingerprint is within the radius: if at most r bits differ, at most r
+of the 128 blocks do, so 128 - r blocks vote for the item at least, where an unrelated one has 32 votes. Votes of many
+windows are one matrix product. The weighted Jaccard similarity of the full shingle multisets decides.
 A window can only be similar to an item if they share a shingle, so windows without any shingle of an item of
 their size are passed over before they are fingerprinted; this loses nothing.
 """
@@ -26,9 +27,11 @@ BITS = 256
 RADIUS = 76
 #: Items and bytes of benchmark text that a pass over the documents takes with it at most, about; more make more passes.
 MOST_ITEMS, MOST_BYTES = 20_000, 32 << 20
-#: Windows fingerprinted at once.
-SOME = 2048
-_EDGES = np.linspace(0, BITS, RADIUS + 2).astype(int)
+#: Blocks of a fingerprint, and the values that one can have.
+BLOCKS = 128
+VALUES = 1 << (BITS // BLOCKS)
+#: Windows fingerprinted at once; votes counted at once.
+SOME, MOST_VOTES = 2048, 1 << 21
 PAIRS = "doc_id long, item_id long, similarity double, begin long, end long"
 
 
@@ -63,9 +66,17 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / np.maximum(x, y).sum())
 
 
+def block_table(bits: np.ndarray) -> np.ndarray:
+    """For each fingerprint a 1 at the value of each of its blocks (fingerprints x BLOCKS * VALUES)."""
+    values = bits.reshape(len(bits), BLOCKS, -1) @ (1 << np.arange(BITS // BLOCKS))
+    table = np.zeros((len(bits), BLOCKS, VALUES), np.float32)
+    np.put_along_axis(table, values[:, :, None], 1, axis=2)
+    return table.reshape(len(bits), -1)
+
+
 @dataclass
 class Sized:
-    """The items of one size in words: ids, shingles, fingerprints, and for each block its values' items."""
+    """The items of one size in words: ids, shingles, fingerprints, and the multi-index over their blocks."""
 
     size: int
     ids: list[int | None]
@@ -74,24 +85,16 @@ class Sized:
     def __post_init__(self):
         self.known = np.unique(np.concatenate(self.shingles))
         self.bits = np.stack([fingerprints(s, np.zeros(1, int), len(s))[0] for s in self.shingles])
-        self.blocks: list[dict[bytes, list[int]]] = []
-        for low, high in zip(_EDGES[:-1], _EDGES[1:]):
-            values: dict[bytes, list[int]] = {}
-            for k, row in enumerate(self.bits):
-                values.setdefault(row[low:high].tobytes(), []).append(k)
-            self.blocks.append(values)
+        self.index = block_table(self.bits)
 
     def near(self, bits: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(window, item) for each pair within the radius."""
-        for w, row in enumerate(bits):
-            some: set[int] = set()
-            for (low, high), values in zip(zip(_EDGES[:-1], _EDGES[1:]), self.blocks):
-                some.update(values.get(row[low:high].tobytes(), ()))
-                if len(some) == len(self.ids):
-                    break
-            for k in sorted(some):
-                if int((row != self.bits[k]).sum()) <= RADIUS:
-                    yield w, k
+        """(window, item) for each pair within the radius: only pairs that enough blocks vote for are compared."""
+        some = max(1, MOST_VOTES // len(self.ids))
+        for begin in range(0, len(bits), some):
+            part = bits[begin : begin + some]
+            w, k = np.nonzero(block_table(part) @ self.index.T >= BLOCKS - RADIUS)
+            close = (part[w] != self.bits[k]).sum(1) <= RADIUS
+            yield from zip((w[close] + begin).tolist(), k[close].tolist())
 
 
 class Benchmark:
@@ -170,8 +173,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     the first best window's begin and end in code points.
 
     Words are cut at ASCII white space and A-Z lower-cased. Null or empty texts and items match nothing; items
-    under five words match only as they stand. Null ids pass through; repeated rows give repeated pairs; further
-    columns are ignored.
+    under five words match only as they stand. Long texts are searched whole, so many windows at a time. Null ids
+    pass through; repeated rows give repeated pairs, and of equally similar windows the first is told; further
+    columns are ignored, whatever their names. No documents or no items give no pairs.
     """
 
     def worker(items):
@@ -198,7 +202,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", percent: int = 75) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text has no window that similar to an item."""
+    """The rows of docs, all columns as they are, whose text has no window that similar to an item.
+
+    Null and empty texts stay; repeated rows stay or go together; without items all rows stay.
+    """
 
     def worker(items, at):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

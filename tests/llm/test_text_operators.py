@@ -325,3 +325,19 @@ def test_leaks_equal_brute_force(spark):
     assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(r for r in rows if r not in bad)
     assert decontaminate.contaminated(empty(spark), bench).count() == 0
     assert decontaminate.contaminated(frame(spark), bench.where("item_id < 0")).count() == 0
+
+
+def test_the_index_finds_all_within_the_radius_and_little_else(monkeypatch):
+    dice = np.random.default_rng(3)
+    items = decontaminate.Sized(9, list(range(300)), [np.unique(dice.integers(1, 2**63, 5, dtype=np.uint64)) for _ in range(300)])
+    bits = dice.integers(0, 2, (500, decontaminate.BITS)).astype(bool)
+    for k in range(400):  # 0 to 99 bits from an item
+        bits[k] = items.bits[k % 300]
+        flipped = dice.choice(decontaminate.BITS, k % 100, replace=False)
+        bits[k, flipped] = ~bits[k, flipped]
+    near = (bits[:, None, :] != items.bits[None, :, :]).sum(2) <= decontaminate.RADIUS
+    for most in (1 << 21, 1000):
+        monkeypatch.setattr(decontaminate, "MOST_VOTES", most)
+        assert sorted(items.near(bits)) == sorted(zip(*(x.tolist() for x in np.nonzero(near))))
+    votes = decontaminate.block_table(bits[400:]) @ items.index.T
+    assert (votes >= decontaminate.BLOCKS - decontaminate.RADIUS).mean() < 0.001
