@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, in local mode only, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -29,14 +31,20 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, and a lost executor loses nothing of it."""
+def written(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """df as a table in the shared folder (or the new one named): cuts lineage, and a lost executor loses nothing of it."""
     spark = df.sparkSession
-    folder = new_folder(spark, label)
+    folder = folder or new_folder(spark, label)
     df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared one that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def salt_of(column: str | Column, salts: int) -> Column:
     """A salt from 0 to salts - 1 that depends on the row's own id, so that a rerun task deals rows alike."""
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")

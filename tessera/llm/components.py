@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_salts, salt_of, written
+from .common import all_salts, new_folder, remove, salt_of, written
 
 SALTS = 8
 
@@ -31,12 +31,15 @@ def components(edges: DataFrame) -> DataFrame:
     Self-loops and nulls are left out; no edges give no rows. Ends when the table of edges no longer changes,
     when each is a star around its least node.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
+    spark = edges.sparkSession
+    folder, mark = new_folder(spark, "edges"), None
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", folder)
     while True:
         seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if (seen["n"], seen["x"]) == mark or seen["n"] == 0:
             break
         mark = (seen["n"], seen["x"])
-        now = written(_star(_star(now, True), False), "edges")
+        before, folder = folder, new_folder(spark, "edges")
+        now = written(_star(_star(now, True), False), "edges", folder)
+        remove(spark, before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

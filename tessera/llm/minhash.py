@@ -5,9 +5,13 @@ signature, and an empty bin takes the value of a bin that its own random probes
 densification). Bands of the signature are bucket keys. In each bucket the earliest document is the centre of a
 star of candidate edges, so a bucket of m documents gives m - 1 pairs. Each candidate is confirmed on full sets.
 
+Bands can miss a pair, most often one of small sets. So sets of up to SMALL shingles have further buckets, their
+rarest shingles: of any two such sets that are similar enough, the prefixes in the order of rarity share one.
+
 Stars alone could miss a link between two documents that are both unlike their centre. So buckets whose members
-are still in several components after the stars are settled exactly: their documents are dealt in blocks of
-bounded size, and blocks are held against each other with full sets inside tasks, which give links and no pairs.
+are still in several components after the stars are settled exactly: the documents outside the largest component are
+dealt in blocks of bounded size and held against blocks of all, with full sets inside tasks, which give links and no
+pairs. Members of the largest component aren't held against each other.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from .shingles import U, mixed, set_digest, shingle_set, similar
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 SALTS = 8
+#: Sets of up to so many shingles are also joined by their rarest ones; what makes a shingle a bucket key.
+SMALL, SHINGLE_KEY = 128, "shingle"
 #: Stands for no id in orders and joins.
 NO_ID = 2**63 - 1
 #: Members of a star in one piece of its verification; shingles and documents in a block of an unsettled group.
@@ -73,8 +79,10 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(digests, pa.binary()),
                 pa.array([d and node_of(d) for d in digests], pa.int64()),
                 pa.array([band_keys(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                pa.array([s.view(np.int64) if 0 < len(s) <= SMALL else None for s in sets], pa.list_(pa.int64())),
+                batch.column(2),
             ],
-            names=["doc_id", "n_shingles", "digest", "node", "bands"],
+            names=["doc_id", "n_shingles", "digest", "node", "bands", "small", "text_key"],
         )
 
 
@@ -102,8 +110,7 @@ def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def block_links(frame: pd.DataFrame) -> pd.DataFrame:
     """Links between the documents of two blocks that are in different components: for each document of the
     first block one with each component of the second at most, as more would join nothing further."""
-    left = frame[frame["side"] == 0]
-    right = left if (frame["i"].iat[0] == frame["j"].iat[0]) else frame[frame["side"] == 1]
+    left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
     none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
     if not len(left) or not len(right):
         return none
@@ -138,21 +145,41 @@ def star_edges(members: DataFrame) -> DataFrame:
     return members.where(fits).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
 
 
+def rare_keys(nodes: DataFrame) -> DataFrame:
+    """(node, key): for each set of up to SMALL shingles, those of its prefix in the order of rarity that another one has.
+
+    Sets x and y with a similarity of 0.75 have 3/4 of the shingles of either in common, so the |x| - ceil(3|x|/4) + 1
+    rarest of x and the like of y share one. Shingles of one set alone come first in that order and find nothing.
+    """
+    held = nodes.where("small IS NOT NULL").select("node", "n", F.explode("small").alias("s"))
+    counts = held.groupBy("s").agg(F.count("*").alias("df")).where("df > 1").withColumn("salt", all_salts(SALTS))
+    shared = held.withColumn("salt", salt_of("node", SALTS)).join(counts, ["s", "salt"])
+    own = shared.groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "s"))).alias("own"))
+    prefix = F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1
+    keys = F.slice("own", F.lit(1), F.greatest(F.lit(0), prefix - (F.col("n") - F.size("own"))).cast("int"))
+    return own.select("node", F.explode(keys).alias("k")).select("node", F.xxhash64(F.lit(SHINGLE_KEY), "k.s").alias("key"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (least id of the documents reachable by links), kept.
+    """Per row of docs: doc_id, n_shingles, component_id (least id of the documents reachable by links), kept, and
+    text_key, the MD5 of its text.
 
     Links are of at least 0.75 Jaccard similarity of 5-word shingle sets. A null or empty text has no shingles
-    and is linked with nothing. Rows with a null id take part, but name no component: a component without any
-    id has a null component_id, and there all are kept. Rows of one id count as documents of their own; those
-    with the same set are in one component, and kept follows the id. Further columns are ignored.
+    and is linked with nothing; long texts count whole. Rows with a null id take part, but name no component: a
+    component without any id has a null component_id, and there all are kept. Rows of one id count as documents of
+    their own; those with the same set are in one component, and kept follows the id. Further columns are ignored,
+    whatever their names. No rows give none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    told = written(rows.mapInArrow(sketches, "doc_id long, n_shingles long, digest binary, node long, bands array<long>"), "sketches")
+    keyed = rows.withColumn("text_key", F.unhex(F.md5(F.coalesce("text", F.lit(b"")))))
+    told = written(keyed.mapInArrow(sketches, "doc_id long, n_shingles long, digest binary, node long, bands array<long>, small array<long>, text_key binary"), "sketches")
     # equal sets stand for each other: one node for a set, with its least id
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "bands")).alias("first")
-    nodes = written(told.where("n_shingles > 0").groupBy("digest", "node", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("id"), first).select("digest", "node", "n", "id", "first.bands"), "nodes")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "bands", "small")).alias("first")
+    nodes = written(told.where("n_shingles > 0").groupBy("digest", "node", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("id"), first).select("digest", "node", "n", "id", "first.bands", "first.small"), "nodes")
     order = F.coalesce("id", F.lit(NO_ID)).alias("id")
     banded = nodes.select("node", order, F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
+    small = nodes.where("small IS NOT NULL").select("node", order, F.col("n").cast("int").alias("n")).join(rare_keys(nodes), "node").select(banded.columns)
+    banded = banded.unionByName(small)
     stars = banded.groupBy("key").agg(F.min(F.struct("id", "node", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
     stars = stars.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"), all_salts(SALTS).alias("salt"))
     members = written(banded.withColumn("salt", salt_of("node", SALTS)).join(stars, ["key", "salt"]).select("key", "node", "n", "centre", "centre_n"), "members")
@@ -175,9 +202,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = named.withColumn("salt", salt_of("digest", SALTS)).join(least.withColumn("salt", all_salts(SALTS)), ["component", "salt"])
     classes = classes.select("digest", "component_id", all_salts(SALTS).alias("salt"))
     # the salt comes from the row's id, and from nothing where it has none
-    out = told.select("doc_id", "n_shingles", "digest", salt_of("doc_id", SALTS).alias("salt")).join(classes, ["digest", "salt"], "left")
+    out = told.select("doc_id", "n_shingles", "digest", "text_key", salt_of("doc_id", SALTS).alias("salt")).join(classes, ["digest", "salt"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key")
 
 
 def settle(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
@@ -188,22 +215,31 @@ def settle(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     open_keys = whose.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("node") == F.col("centre"), F.col("component"))).alias("g")).where("low <> high")
     opened = whose.withColumn("salt", salt_of("node", SALTS)).join(open_keys.select("key", "g", all_salts(SALTS).alias("salt")), ["key", "salt"])
     group = written(opened.select("g", "node", "n", "component").distinct(), "unsettled")
-    sizes = group.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCUMENTS)).cast("int").alias("blocks"))
-    sized = group.withColumn("salt", salt_of("node", SALTS)).join(sizes.select("g", "blocks", all_salts(SALTS).alias("salt")), ["g", "salt"])
-    placed = sized.select("g", "node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own_block"))
-    spread = placed.select("g", "node", "component", "own_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("g", "node", "component", F.least("own_block", "other").alias("i"), F.greatest("own_block", "other").alias("j"), (F.col("own_block") > F.col("other")).cast("int").alias("side"))
-    return spread.join(sets, "node").groupBy("g", "i", "j").applyInPandas(block_links, "a long, b long")
+    # pairs inside the component with most members are linked already: only those outside it are held against all
+    largest = group.groupBy("g", "component").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
+    apart = F.col("component") != F.col("main")
+    blocks = lambda some: F.greatest(F.ceil(F.sum(F.when(some, F.col("n"))) / BLOCK_SHINGLES), F.ceil(F.count(F.when(some, 1)) / BLOCK_DOCUMENTS)).cast("int")
+    salted = group.withColumn("salt", salt_of("node", SALTS))
+    with_main = salted.join(largest.withColumn("salt", all_salts(SALTS)), ["g", "salt"])
+    sizes = with_main.groupBy("g").agg(blocks(F.lit(True)).alias("every"), blocks(apart).alias("few"))
+    placed = with_main.join(sizes.withColumn("salt", all_salts(SALTS)), ["g", "salt"]).select("g", "node", "component", apart.alias("apart"), "every", "few", F.xxhash64("node").alias("h"))
+    place = lambda count: F.pmod(F.col("h"), F.col(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = placed.where("apart").select("g", "node", "component", place("few").alias("i"), each("every").alias("j"), F.lit(0).alias("side"))
+    right = placed.select("g", "node", "component", each("few").alias("i"), place("every").alias("j"), F.lit(1).alias("side"))
+    return left.unionByName(right).join(sets, "node").groupBy("g", "i", "j").applyInPandas(block_links, "a long, b long")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, that are kept. A row without an id stays."""
-    dropped = near_duplicates(docs, id_col, text_col).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti").select(docs.columns)
+    """The rows of docs, all columns as they are, that are kept: a row goes for its own text's component. A row
+    without an id stays, and so does one without text or words. Of repeated rows all stay or go."""
+    dropped = near_duplicates(docs, id_col, text_col).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_dropped_id"), F.col("text_key").alias("_dropped_key")).distinct()
+    key = F.unhex(F.md5(F.coalesce(docs[text_col].cast("string").cast("binary"), F.lit(b""))))
+    return docs.join(dropped, (docs[id_col].cast("long") == dropped["_dropped_id"]) & (key == dropped["_dropped_key"]), "left_anti")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
 
 
 #: Expected rows: all pairs of documents with a shingle in common, their similarity, and what links reach.
