@@ -1,16 +1,18 @@
 """Harmonic packing of token streams into sequences.
 
-Class k of harmonic packing takes lengths of at most 1/k of the capacity, and k of them fill a sequence. As
-documents may be cut freely, each is cut into pieces whose lengths are the reciprocal parts 1, 1/2, 1/4, ... of
-the capacity: the binary digits of its length. Such pieces fill the sequences of their class without a gap.
-Every task fills the sequences of its own classes, so nothing is shuffled; what a task has left of a class at
-its end goes into shorter sequences, whose lengths are powers of two as well, so that nothing is padded.
+A document's full sequences stand alone. What remains of it, of length l, belongs to class k = floor(capacity / l),
+and a sequence of class k takes k such remainders, whole. Every task fills the sequences of its own classes, so
+nothing is shuffled. What such a sequence has room for beyond its k remainders would be padding: remainders that come
+later are put there, whole where they fit, or cut to it where the room and what is left of them are LEAST tokens or
+more. What a task holds in unfinished sequences at its end is joined and cut into full ones, and the last tokens into
+sequences of powers of two, so that a task's end pads nothing.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 #: The low bits of a sequence id count the sequences of a task.
 SEQUENCES_A_TASK = 40
+#: Documents aren't cut into pieces of fewer tokens, but at a task's end; sequences that wait for a piece to fill them.
+LEAST, MOST_WAITING = 32, 256
 #: Longer texts are encoded in parts. A part ends before a space between two letters, where this vocabulary's
 #: pre-tokenizer always ends a word too, so the ids are those of the whole text.
 PART = 1 << 18
@@ -85,37 +89,80 @@ class Encoder:
 
 
 class Packer:
-    """The open sequences of one task, one for each class at most."""
+    """The sequences of one task that aren't done: of each class one that lacks remainders, and some with room left."""
 
-    def __init__(self, capacity: int, task: int):
-        self.capacity, self.base, self.used = capacity, task << SEQUENCES_A_TASK, 0
+    def __init__(self, capacity: int, task: int, least: int = LEAST):
+        self.capacity, self.least, self.base, self.used = capacity, least, task << SEQUENCES_A_TASK, 0
         self.open: dict[int, list[tuple]] = {}
+        self.rooms: list[int] = []
+        self.waiting: list[list[tuple]] = []
         self.done: list[tuple] = []
 
-    def seal(self, pieces: list[tuple], size: int) -> None:
-        number, length = self.base + self.used, size * len(pieces)
+    def seal(self, pieces: list[tuple]) -> None:
+        """pieces: (doc_id, start, ids, tokens of the document)."""
+        number, offset, total = self.base + self.used, 0, sum(len(p[2]) for p in pieces)
         self.used += 1
-        self.done += [(*piece, number, i * size, length) for i, piece in enumerate(pieces)]
+        for doc_id, start, ids, tokens in pieces:
+            self.done.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), tokens, number, offset, total))
+            offset += len(ids)
+
+    def await_more(self, pieces: list[tuple], room: int) -> None:
+        """Keep a sequence whose class is filled for what fits its room; of too many, that with the least room is done."""
+        if room:
+            at = bisect_left(self.rooms, room)
+            self.rooms.insert(at, room)
+            self.waiting.insert(at, pieces)
+        else:
+            self.seal(pieces)
+        if len(self.waiting) > MOST_WAITING:
+            self.rooms.pop(0)
+            self.seal(self.waiting.pop(0))
+
+    def into_rooms(self, doc_id: int | None, start: int, ids: np.ndarray, tokens: int) -> tuple[int, np.ndarray]:
+        """Put ids where there is room for them; what is left of them."""
+        while len(ids) and self.rooms:
+            at = bisect_left(self.rooms, len(ids))
+            if at == len(self.rooms):  # no room for all of it: the largest takes a part
+                at, room = len(self.rooms) - 1, self.rooms[-1]
+                if room < self.least or len(ids) - room < self.least:
+                    break
+            size = min(self.rooms[at], len(ids))
+            room, pieces = self.rooms.pop(at) - size, self.waiting.pop(at)
+            self.await_more([*pieces, (doc_id, start, ids[:size].copy(), tokens)], room)
+            start, ids = start + size, ids[size:]
+        return start, ids
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        start, total = 0, len(ids)
-        while start < total:
-            size = min(self.capacity, 1 << ((total - start).bit_length() - 1))
-            waiting = self.open.setdefault(size, [])
-            waiting.append((doc_id, start, size, zlib.crc32(ids[start : start + size].tobytes()), total))
-            if len(waiting) * size == self.capacity:
-                self.seal(waiting, size)
-                self.open[size] = []
-            start += size
+        start, tokens = 0, len(ids)
+        for start in range(0, tokens - self.capacity + 1, self.capacity):
+            self.seal([(doc_id, start, ids[start : start + self.capacity], tokens)])
+        start = tokens - tokens % self.capacity
+        start, rest = self.into_rooms(doc_id, start, ids[start:], tokens)
+        if len(rest):
+            k = self.capacity // len(rest)
+            pieces = self.open.setdefault(k, [])
+            pieces.append((doc_id, start, rest.copy(), tokens))
+            if len(pieces) == k:
+                self.await_more(self.open.pop(k), self.capacity - sum(len(p[2]) for p in pieces))
 
     def finish(self) -> None:
-        """Left-overs: as many pieces to a sequence as the largest power of two allows."""
-        for size, waiting in sorted(self.open.items()):
-            while waiting:
-                count = 1 << (len(waiting).bit_length() - 1)
-                self.seal(waiting[:count], size)
-                waiting = waiting[count:]
-        self.open = {}
+        """Unfinished sequences become full ones, and the tokens after them sequences of powers of two."""
+        rest = [piece for k in sorted(self.open) for piece in self.open[k]]
+        rest = [(d, *left, n) for d, start, ids, n in rest if len((left := self.into_rooms(d, start, ids, n))[1])]
+        for pieces in self.waiting:
+            self.seal(pieces)
+        self.open, self.rooms, self.waiting = {}, [], []
+        total, size, own = sum(len(p[2]) for p in rest), 0, []
+        for doc_id, start, ids, tokens in rest:
+            while len(ids):
+                if not size:
+                    size = min(self.capacity, 1 << (total.bit_length() - 1))
+                take = min(size, len(ids))
+                own.append((doc_id, start, ids[:take], tokens))
+                start, ids, size, total = start + take, ids[take:], size - take, total - take
+                if not size:
+                    self.seal(own)
+                    own = []
 
     def batch(self) -> pa.RecordBatch:
         columns = list(zip(*self.done)) or [[]] * 8
@@ -123,12 +170,14 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
 
-def pack(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, special: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, special: bool = False, least: int = LEAST) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most capacity ids (a power of two).
 
-    Returns per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and the sequence's
-    length, which is capacity or a smaller power of two; no sequence has padding. A null or empty text is the
-    end id alone; rows with a null or a repeated id are packed like others. Further columns are ignored. The
+    Returns per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and the sequence's length;
+    what that lacks of the capacity is padding, unless it is a power of two. Pieces have `least` tokens or more, but
+    for whole documents and remainders of fewer and those cut at a task's end. A null or empty text is the end id
+    alone; a long one is encoded in parts and fills sequences of its own, and its remainder another; rows with a null
+    or a repeated id are packed like others. No rows give none. Further columns are ignored, whatever their names. The
     rows of a task depend on its input rows only, so a lost task is made again as it was. With special, the
     tokenizer's special tokens in texts get their own ids, the default of tokenizers; without, they are plain text.
     """
@@ -136,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id",
         raise ValueError("capacity must be a power of two")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = Encoder(tokenizer, pattern, special), Packer(capacity, TaskContext.get().partitionId())
+        encode, packer = Encoder(tokenizer, pattern, special), Packer(capacity, TaskContext.get().partitionId(), least)
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -24,7 +24,7 @@ def shingle_set(text):
 # packing
 
 
-def test_packing_gives_back_all_ids_without_padding(spark):
+def test_packing_gives_back_all_ids(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -43,8 +43,7 @@ def test_packing_gives_back_all_ids_without_padding(spark):
     for own in pieces.values():
         own.sort(key=lambda r: r.offset)
         assert [r.offset for r in own] == list(np.cumsum([0, *(r.length for r in own)])[:-1])
-        total = sum(r.length for r in own)
-        assert total & (total - 1) == 0
+        assert sum(r.length for r in own) == own[0].sequence_length
     # pieces of one document cover its ids once
     assert sum(r.length for r in rows) == sum(n for (_, n, _), k in want.items() for _ in range(k))
     by_doc = defaultdict(list)
@@ -61,6 +60,38 @@ def test_packing_gives_back_all_ids_without_padding(spark):
     assert packing.pack(empty(spark), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_classes_fill_and_little_is_padded():
+    dice = np.random.default_rng(2)
+    packer, texts_ = packing.Packer(1024, 3), {}
+    for i in range(4000):
+        size = int(dice.choice([dice.integers(1, 40), dice.integers(40, 900), dice.integers(900, 5000)]))
+        texts_[i] = np.arange(size, dtype="<u4") + np.uint32(7 * i)
+        packer.add(i, texts_[i])
+    packer.finish()
+    batch = packer.batch().to_pylist()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in batch:
+        by_doc[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"]))
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"], r["sequence_length"]))
+    for i, ids in texts_.items():
+        at = 0
+        for start, length, crc in sorted(by_doc[i]):
+            assert start == at and crc == zlib.crc32(ids[start : start + length].tobytes())
+            at += length
+        assert at == len(ids)
+    for own in by_sequence.values():
+        at = 0
+        for offset, length, total in sorted(own):
+            assert offset == at and total <= 1024
+            at += length
+        assert at == own[0][2]
+    held = [own[0][2] for own in by_sequence.values()]
+    padding = sum(1024 - n for n in held if n & (n - 1))
+    assert padding < 0.01 * sum(held)
+    short = [r for r in batch if r["length"] < packing.LEAST and r["length"] not in (r["doc_tokens"], r["doc_tokens"] % 1024)]
+    assert len(short) < 0.01 * len(batch) and len(batch) < 1.6 * sum(len(t) // 1024 + 1 for t in texts_.values())
+
+
 def test_long_texts_are_encoded_in_parts_alike(monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
