@@ -33,7 +33,6 @@ MODULUS, COVER = 21, np.array([0, 1, 6, 8, 18])
 PREFIX = LENGTH - MODULUS + 1
 BLOCK_BYTES = 8 << 20
 SALTS = 16
-MOST_SPLIT = 1_000_000
 NO_ID = 2**63 - 1
 BYTE = np.random.default_rng(41).integers(1, 2**63, 256, dtype=np.uint64)
 _BACK = pow(BASE, -1, 2**64)
@@ -94,8 +93,8 @@ def unsmall(raw: bytes) -> np.ndarray:
 
 
 def ranged(values: np.ndarray, ranges: int, top: int) -> np.ndarray:
-    """Where each of `ranges` equal ranges of numbers under 2**top begins in the ascending values, and their end."""
-    limits = np.array([(k << top) // ranges for k in range(ranges)], np.uint64)
+    """Where each of `ranges` ranges of numbers under 2**top begins in the ascending values, and their end."""
+    limits = np.arange(ranges, dtype=np.uint64) * U((1 << top) // max(ranges, 2))  # of one range the limit is 0
     return np.append(np.searchsorted(values, limits), len(values))
 
 
@@ -112,15 +111,16 @@ class Block:
         texts: dict[bytes, bytes] = {}
         for sha, doc_id, text in zip(*(table.column(c).to_pylist() for c in ("sha", "doc_id", "text"))):
             ids[sha] = min(ids.get(sha, NO_ID), doc_id)
-            if text is not None:
-                texts[sha] = text
+            if text is not None and sha not in texts:
+                texts[sha] = zstandard.ZstdDecompressor().decompress(text)
         order = sorted(texts, key=lambda s: (ids[s], s))
         self.shas, self.texts, self.ids = order, [texts[s] for s in order], np.array([ids[s] for s in order], np.int64)
 
     def samples(self, shift: int) -> np.ndarray:
-        """Sampled prefixes' hashes, ascending; one that stands in two texts of the block stands here twice."""
+        """Sampled prefixes' hashes, ascending; one that stands in several texts of the block stands here twice."""
         own = [np.unique(prefix_hashes(t, sampled(len(t)), PREFIX) >> U(shift)) for t in self.texts]
-        return np.sort(np.concatenate(own)) if own else np.zeros(0, U)
+        names, counts = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, U), np.zeros(0, int))
+        return np.repeat(names, np.minimum(counts, 2))
 
     def suffixes(self, shared: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash of the 50-byte prefix, text and start of each suffix with a sample under MODULUS further on that has a shared name."""
@@ -210,9 +210,12 @@ def in_blocks(ranges: int, shift: int) -> tuple[Callable, Callable, Callable]:
         own = Block(table)
         hashes, texts, _ = own.suffixes(union_of(names), shift)
         distinct, first, _ = classes(hashes, texts)
-        at, ids = ranged(distinct, ranges, 64), packed(own.ids.view(U))
+        at, rows = ranged(distinct, ranges, 64), []
         block = table.column("block")[0].as_py()
-        return rows_of([(block, k, packed(distinct[i:j]), small(first[i:j]), ids) for k, (i, j) in enumerate(zip(at[:-1], at[1:])) if i < j])
+        for k in np.flatnonzero(np.diff(at)).tolist():
+            whose, of = np.unique(first[at[k] : at[k + 1]], return_inverse=True)
+            rows.append((block, k, packed(distinct[at[k] : at[k + 1]]), small(of), packed(own.ids[whose].view(U))))
+        return rows_of(rows)
 
     def cut(table: pa.Table, told: pa.Table) -> pa.Table:
         rows = []
@@ -251,54 +254,53 @@ def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64())))], names=["doc_id", "n_bytes", "sha", "like"])
 
 
-def block_of(sha: bytes, like: int, splits: dict[int, int], blocks: int) -> int:
-    part = int.from_bytes(sha[:8], "little") % splits.get(like, 1)
-    return int(mixed(np.array([like + (part << 40)], U))[0] % U(blocks))
-
-
-def distinct_texts(splits: dict[int, int], blocks: int) -> Callable:
-    """Of texts of LENGTH bytes or more each distinct one once a task; of its other rows those with smaller ids, without it."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[bytes, int] = {}
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                if len(raw) < LENGTH:
-                    continue
-                sha, doc_id = hashlib.sha256(raw).digest(), NO_ID if doc_id is None else doc_id
-                if doc_id < least.get(sha, NO_ID + 1):
-                    rows.append((block_of(sha, likeness(raw), splits, blocks), sha, doc_id, None if sha in least else raw))
-                    least[sha] = doc_id
-            types = (pa.int32(), pa.binary(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, types)], names=["block", "sha", "doc_id", "text"])
-
-    return work
-
-
-def split_groups(told: DataFrame) -> dict[int, int]:
-    """Into how many parts the texts of one likeness are dealt, where they would overfill a block: of at most
-    MOST_SPLIT likenesses, those with most bytes, which is every one over a millionth part of the corpus."""
+def distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts of LENGTH bytes or more each distinct one once a task, compressed; of its other rows those with smaller ids, without it."""
+    least: dict[bytes, int] = {}
+    packer = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        rows = []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+            if len(raw) < LENGTH:
+                continue
+            sha, doc_id = hashlib.sha256(raw).digest(), NO_ID if doc_id is None else doc_id
+            if doc_id < least.get(sha, NO_ID + 1):
+                rows.append((sha, doc_id, likeness(raw), None if sha in least else packer.compress(raw)))
+                least[sha] = doc_id
+        types = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, types)], names=["sha", "doc_id", "like", "text"])
+
+
+def in_block(texts: DataFrame, told: DataFrame, blocks: int, block_bytes: int) -> DataFrame:
+    """texts with `block`. Texts of one likeness go to one block; a likeness that would overfill a block is dealt to
+    several by the texts' digests. Such likenesses are few beside the texts and joined by salted keys."""
     distinct = told.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.first("like").alias("like"), F.first("n_bytes").alias("n"))
-    heavy = distinct.groupBy("like").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK_BYTES // 4).orderBy(F.desc("n"), "like").limit(MOST_SPLIT)
-    return {r["like"]: math.ceil(4 * r["n"] / BLOCK_BYTES) for r in heavy.collect()}
+    heavy = distinct.groupBy("like").agg(F.sum("n").alias("n")).where(F.col("n") > block_bytes // 4)
+    heavy = written(heavy.select("like", F.ceil(4 * F.col("n") / block_bytes).alias("parts")), "likenesses").withColumn("salt", all_salts(SALTS))
+    dealt = texts.withColumn("salt", salt_of("sha", SALTS)).join(heavy, ["like", "salt"], "left")
+    part = F.pmod(F.xxhash64("sha"), F.coalesce("parts", F.lit(1)))
+    return dealt.select(F.pmod(F.xxhash64("like", part), F.lit(blocks)).cast("int").alias("block"), "sha", "doc_id", "text")
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the spans removed (in bytes).
 
     A byte goes if a 50-byte string over it also starts in a document with a smaller id. A null or empty text
     has no bytes. A row with a null id counts as larger than all others. Rows of one id don't affect each other
-    unless they hold equal texts, and then get the same result. Further columns are ignored.
+    unless they hold equal texts, and then get the same result. Further columns are ignored, whatever their names. No
+    rows give none. A task holds a block of texts, block_bytes (BLOCK_BYTES) or one longer text, and a range of hashes
+    of the size of a block's. Rows between blocks and ranges are at most as many as the hashes in them: where blocks
+    are so many that these rows become small, larger blocks keep their number down.
     """
+    block_bytes = block_bytes or BLOCK_BYTES
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     told = written(rows.mapInArrow(described, "doc_id long, n_bytes long, sha binary, like long"), "texts")
     total = told.agg(F.sum("n_bytes")).first()[0] or 0
-    ranges = max(1, math.ceil(total / BLOCK_BYTES))
+    ranges = max(1, math.ceil(total / block_bytes))
     shift = max(0, 64 - 12 - max(20, math.ceil(math.log2(total + 1))))
     samples, suffixes, cut = in_blocks(ranges, shift)
-    texts = rows.mapInArrow(distinct_texts(split_groups(told), ranges), "block int, sha binary, doc_id long, text binary")
+    texts = in_block(rows.mapInArrow(distinct_texts, "sha binary, doc_id long, like long, text binary"), told, ranges, block_bytes)
     names = texts.groupBy("block").applyInArrow(samples, PACKED).groupBy("range").applyInArrow(shared_names, PACKED)
     found = texts.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(suffixes, PACKED).groupBy("range").applyInArrow(later_suffixes, PACKED)
     done = written(texts.groupBy("block").cogroup(names.unionByName(found).groupBy("block")).applyInArrow(cut, RESULT), "spans")
