@@ -146,9 +146,10 @@ def without_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Rows whose text was null or empty before stay as they were.
     """
     others = [c for c in docs.columns if c != text_col]
-    kept = dedup_line_chunks(docs, id_col, text_col, divisor, [F.col(c) for c in others] + [F.col(text_col).isNull().alias("_null")], pairs)
+    null = max([*others, ""], key=len) + "_null"  # longer than any name there, so none of them
+    kept = dedup_line_chunks(docs, id_col, text_col, divisor, [F.col(c) for c in others] + [F.col(text_col).isNull().alias(null)], pairs)
     kept = kept.where(F.col("kept_text").rlike(WORDED) | (F.col("n_removed") == 0))
-    text = F.when(F.col("carried._null"), F.lit(None)).otherwise(F.col("kept_text"))
+    text = F.when(F.col("carried").getField(null), F.lit(None)).otherwise(F.col("kept_text"))
     columns = {c: F.col("carried").getField(c) for c in others} | {text_col: text}
     if chars_col in columns:
         columns[chars_col] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema[chars_col].dataType)).otherwise(columns[chars_col])

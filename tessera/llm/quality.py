@@ -72,7 +72,11 @@ def statistics(text: bytes) -> tuple[int, ...]:
 
 
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the STATISTICS of each row's whole text; a null text counts as empty, further columns are ignored."""
+    """doc_id and the STATISTICS of each row's whole text, long ones too.
+
+    A null text counts as empty: all are 0. Null and repeated ids pass through, a row each; no rows give none; further
+    columns are ignored, whatever their names.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,11 +112,12 @@ def covered(rule: list[Test], x: dict[str, np.ndarray], n: int) -> np.ndarray:
     return held
 
 
-def grow(x: dict[str, np.ndarray], bad: np.ndarray, limits: dict[str, np.ndarray]) -> list[Test]:
-    """Conditions are added by information gain until none adds any."""
+def grow(x: dict[str, np.ndarray], bad: np.ndarray, limits: dict[str, np.ndarray], most: int = 6) -> list[Test]:
+    """Conditions are added by information gain until none adds any, or there are `most`; of equal gains the first
+    statistic, bound and limit."""
     rule: list[Test] = []
     inside = np.ones(len(bad), bool)
-    while bad[inside].sum() < inside.sum() and len(rule) < 6:
+    while bad[inside].sum() < inside.sum() and len(rule) < most:
         p0, n0 = bad[inside].sum(), (~bad[inside]).sum()
         best, gain = None, 1e-9
         for name, cuts in limits.items():
@@ -143,18 +148,23 @@ def prune(rule: list[Test], x: dict[str, np.ndarray], bad: np.ndarray) -> list[T
     return rule[: max(range(1, len(rule) + 1), key=lambda k: (round(worth(k), 9), -k))]
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, least_precision: float = 0.85, least_covered: int = 5, cuts: int = 128, seed: int = 7) -> list[tuple[list[Test], float]]:
-    """The ordered rules, each with its precision over the documents that reach it. Empty labels: no rules."""
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, least_precision: float = 0.85, least_covered: int = 5, cuts: int = 128, seed: int = 7, most_rules: int = 30, most_conditions: int = 6) -> list[tuple[list[Test], float]]:
+    """The ordered rules, each with its precision over the documents that reach it.
+
+    x holds the statistics by name, bad the labels, a place a document. A rule needs least_precision where it was grown
+    and on documents held back, and least_covered documents; thresholds are taken from so many quantiles (cuts). Rows
+    in the same order give the same rules; repeated rows count each. Empty labels, or no bad ones: no rules.
+    """
     rules: list[tuple[list[Test], float]] = []
     left = np.arange(len(bad))
     dice = np.random.default_rng(seed)
-    while bad[left].sum() >= least_covered and len(rules) < 30:
+    while bad[left].sum() >= least_covered and len(rules) < most_rules:
         dealt = dice.permutation(left)
         growing, held_back = dealt[: 2 * len(dealt) // 3], dealt[2 * len(dealt) // 3 :]
         part = lambda rows: ({k: v[rows] for k, v in x.items()}, bad[rows])
         gx, gy = part(growing)
         limits = {k: np.unique(np.quantile(v, np.linspace(0, 1, cuts + 1))) for k, v in gx.items() if len(v)}
-        rule = grow(gx, gy, limits)
+        rule = grow(gx, gy, limits, most_conditions)
         if not rule:
             break
         rule = prune(rule, *part(held_back))
@@ -170,7 +180,11 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, least_precision: float = 0.
 
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The statistics and labels of about `most` labelled documents, or of all if there are no more."""
+    """The statistics and labels of about `most` labelled documents, or of all if there are no more.
+
+    Null labels and ids tell nothing; of repeated labels of an id the lowest counts; repeated rows count each. They come
+    ordered by id and statistics, so that the same tables give the same arrays.
+    """
     told = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("_label"))
     rows = bounded_sample(stats.join(told, "doc_id"), "doc_id", most)
     names = [*STATISTICS, *RATIOS]
@@ -193,7 +207,8 @@ def verdict(rules: list[tuple[list[Test], float]]) -> tuple[Column, Column]:
 
 
 def apply_rules(stats: DataFrame, rules: list[tuple[list[Test], float]]) -> DataFrame:
-    """stats with rule, base_failed and kept."""
+    """stats with rule (the first that holds, from 1; 0 for none), base_failed and kept; columns of these names are
+    replaced. Null statistics satisfy no rule; rows pass through one by one, so repeats, ties and no rows are no matter."""
     number, good = verdict(rules)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return stats.withColumns({"rule": number, "base_failed": failed}).withColumn("kept", ~F.col("base_failed") & good)

@@ -47,17 +47,22 @@ def slot_of(key: Column, slots: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(slots)).cast("int")
 
 
-def assign_shards(rows: DataFrame, key_col: str, shards: list[str], slots: int = SLOTS, slot_name: str = "slot", shard_name: str = "shard") -> DataFrame:
-    """rows with the slot and the shard of each; columns of rows that have these names already are replaced.
+def assign_shards(rows: DataFrame, key_col: str, shards: list[str], slots: int = SLOTS, slot_name: str = "slot", shard_name: str = "shard", spread_col: str | None = None) -> DataFrame:
+    """rows, all columns, with the slot and the shard of each; columns of rows that have these names already are
+    replaced, also where they are the key.
 
-    Rows with a null key share the slot of the empty key. Rows with equal keys share a shard, so a key that holds
-    much of the rows should be given with more of the row in it. An empty frame stays empty.
+    Rows with a null key share the slot of the empty key. Rows with equal keys share a shard; with spread_col, those
+    that are equal in it too, so that a key with much of the rows is spread by another column. Repeated rows share a
+    shard; long rows count as others. An empty frame stays empty.
     """
     owners = ",".join(map(str, filled(shards, slots)))
     names = F.array(*map(F.lit, shards))
     placed = rows.sparkSession.range(1).select(F.posexplode(F.split(F.lit(owners), ",")).alias(slot_name, "owner"))
     placed = placed.select(slot_name, F.element_at(names, F.col("owner").cast("int") + 1).alias(shard_name))
-    keyed = rows.drop(shard_name).withColumn(slot_name, slot_of(rows[key_col], slots))
+    key = rows[key_col]
+    if spread_col is not None:
+        key = F.concat_ws("\x1f", F.coalesce(key.cast("string"), F.lit("")), F.coalesce(rows[spread_col].cast("string"), F.lit("")))
+    keyed = rows.select(*(rows[c] for c in rows.columns if c not in (slot_name, shard_name)), slot_of(key, slots).alias(slot_name))
     return keyed.join(F.broadcast(placed), slot_name)
 
 
@@ -66,14 +71,15 @@ SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return assign_shards(docs.select("doc_id"), "doc_id", SHARDS).select("doc_id", "slot", "shard")
+    placed = assign_shards(docs, "doc_id", SHARDS)
+    return placed.select("doc_id", "slot", "shard", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
 
 
 def oracle() -> str:
     owners = ",".join(map(str, filled(SHARDS)))
     return f"""
-SELECT doc_id, slot::INTEGER AS slot, 'shard-' || lpad(owner[slot + 1]::VARCHAR, 3, '0') AS shard
-FROM (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT % {SLOTS} AS slot FROM documents),
+SELECT doc_id, slot::INTEGER AS slot, 'shard-' || lpad(owner[slot + 1]::VARCHAR, 3, '0') AS shard, n_bytes
+FROM (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT % {SLOTS} AS slot FROM documents),
   (SELECT [{owners}] AS owner)
 """
 

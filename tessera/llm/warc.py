@@ -11,16 +11,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .common import all_salts, new_folder, salt_of, written
 
@@ -28,10 +31,17 @@ MANIFEST = "manifest.json"
 SCHEMA = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 #: High halves of the record ids; the low half of a row with an id is that id.
 WITH_ID, WITHOUT_ID = 0x7E55E7A0_0000_8000, 0x7E55E7A1_0000_8000
+#: The columns that the writer takes, and renames at once in a commit.
+ROW, RENAMES = ["page_id", "digest", "kind", "winner", "url", "html"], 32
 #: Fixed, so that the same rows make the same bytes.
 RECORD_DATE = "1970-01-01T00:00:00Z"
 
 
+def store(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder and its path there; Spark's names of S3 are S3's."""
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", folder))
+
+
 def record_id(page_id: int | None, url: str | None, digest: str) -> str:
     if page_id is None:
         low, high = int.from_bytes(hashlib.sha1(f"{url}\n{digest}".encode()).digest()[:8], "big"), WITHOUT_ID
@@ -87,7 +97,7 @@ class Roller:
     """Writes gzip members of one task to files of about max_bytes under temporary names."""
 
     def __init__(self, folder: str, part: int, attempt: int, max_bytes: int):
-        self.fs, self.root = pafs.FileSystem.from_uri(folder)
+        self.fs, self.root = store(folder)
         self.fs.create_dir(self.root, recursive=True)
         self.part, self.attempt, self.max_bytes = part, attempt, max_bytes
         self.files: list[dict] = []
@@ -114,43 +124,44 @@ class Roller:
             self.out = None
 
 
-class WarcWriter(DataSourceWriter):
-    """Takes rows (page_id, digest, kind, winner, url, html) in order: a row of kind 0 tells that the payload of
+class WarcWriter(DataSourceArrowWriter):
+    """Takes batches of rows (page_id, digest, kind, winner, url, html) in order: a row of kind 0 tells that the payload of
     the rows after it with the same id and digest is shared, and which page is its response."""
 
     def __init__(self, folder: str, max_bytes: int):
         self.folder, self.max_bytes = folder, max_bytes
 
-    def write(self, iterator: Iterator) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         task = TaskContext.get()
         roller = Roller(self.folder, task.partitionId(), task.taskAttemptId(), self.max_bytes)
         key, winner, shared, first = None, None, False, True
-        for row in iterator:
-            if (row.page_id, row.digest) != key:
-                key, shared, first = (row.page_id, row.digest), False, True
-            if row.kind == 0:
-                shared, winner = True, row.winner
+        for page_id, digest, kind, best, url, html in (row for batch in iterator for row in zip(*(batch.column(c) for c in ROW))):
+            page_id, digest = page_id.as_py(), digest.as_py()
+            if (page_id, digest) != key:
+                key, shared, first = (page_id, digest), False, True
+            if kind.as_py() == 0:
+                shared, winner = True, best.as_py()
                 continue
-            payload = row.html.encode("utf-8", "surrogatepass")
-            revisit = shared and not (first and row.page_id == winner)
-            roller.add(record_bytes(row.page_id, row.url, payload, base32_sha1(payload), winner if revisit else None, revisit))
+            payload = html.as_buffer().to_pybytes()
+            revisit = shared and not (first and page_id == winner)
+            roller.add(record_bytes(page_id, url.as_py(), payload, base32_sha1(payload), winner if revisit else None, revisit))
             first = False
         roller.close()
         return Written(files=roller.files)
 
     def commit(self, messages: list[Written | None]) -> None:
-        fs, root = pafs.FileSystem.from_uri(self.folder)
+        fs, root = store(self.folder)
         fs.create_dir(root, recursive=True)
         files = sorted((f for m in messages if m for f in m.files), key=lambda f: f["name"])
-        for f in files:
-            fs.move(f"{root}/{f['temporary']}", f"{root}/{f['name']}")
+        with ThreadPoolExecutor(RENAMES) as pool:
+            list(pool.map(lambda f: fs.move(f"{root}/{f['temporary']}", f"{root}/{f['name']}"), files))
         kept = [{k: f[k] for k in ("name", "bytes", "records", "sha256")} for f in files]
         with fs.open_output_stream(f"{root}/_temporary-{MANIFEST}") as out:
             out.write(json.dumps({"format": "WARC/1.1", "files": kept}, indent=1).encode())
         fs.move(f"{root}/_temporary-{MANIFEST}", f"{root}/{MANIFEST}")
 
     def abort(self, messages: list[Written | None]) -> None:
-        fs, root = pafs.FileSystem.from_uri(self.folder)
+        fs, root = store(self.folder)
         for f in (f for m in messages if m for f in m.files):
             try:
                 fs.delete_file(f"{root}/{f['temporary']}")
@@ -201,7 +212,7 @@ class WarcReader(DataSourceReader):
         self.folder, self.names = folder, names
 
     def partitions(self) -> list[InputPartition]:
-        fs, root = pafs.FileSystem.from_uri(self.folder)
+        fs, root = store(self.folder)
         with fs.open_input_stream(f"{root}/{MANIFEST}") as told:
             files = json.loads(told.read())["files"]
         return [InputPartition(f["name"]) for f in files] or [InputPartition(None)]
@@ -209,7 +220,7 @@ class WarcReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition.value is None:
             return
-        fs, root = pafs.FileSystem.from_uri(self.folder)
+        fs, root = store(self.folder)
         with fs.open_input_stream(f"{root}/{partition.value}", compression=None) as stream:
             for record in members(stream):
                 row = parsed(record)
@@ -246,7 +257,8 @@ def write_warc(
     Of rows with equal payloads the one with the largest id is a response and the others are revisits of it.
     Null html is an empty payload. A null url leaves the target header out. Rows without an id sort first and
     are never a response that others with an id refer to; among themselves the first is. Of repeated rows (same
-    id and payload) the first is the response. No rows: a manifest without files. Further columns are ignored.
+    id and payload) the first is the response. A record is held whole in memory, long ones too. No rows: a manifest
+    without files. Further columns are ignored, whatever their names.
     """
     spark = pages.sparkSession
     spark.dataSource.register(WarcSource)
