@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+import re
+
+import xxhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id long, kept boolean, block int, node long, digest string, score double, slot int, shard string, carried string, salt int"
 WORDS = [f"{a}{b}" for a in ("ka", "lo", "mi", "ru", "té", "ßo") for b in ("na", "ri", "so", "tu", "vé")]
@@ -39,3 +42,22 @@ def frame(spark, rows=None):
 
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+def signed(value: int) -> int:
+    return value - 2**64 if value >= 2**63 else value
+
+
+def plain_chunks(text: str, divisor: int = 3) -> list[tuple[str, bool]]:
+    """A text's chunks of lines by the rule itself, and whether each has two lines with words: XXH64 with the seed 42 of
+    each line modulo 1,048,573; a chunk ends where that of h[i] + 31 * h[i - 1] is 0 modulo the divisor."""
+    lines = text.split("\n")
+    hashes = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) % 1_048_573 for x in lines]
+    chunks, begin = [], 0
+    for i in range(len(lines)):
+        rolling = (hashes[i] + 31 * hashes[i - 1]).to_bytes(8, "little") if i else b""
+        if i == len(lines) - 1 or (i and signed(xxhash.xxh64_intdigest(rolling, 42)) % divisor == 0):
+            own = lines[begin : i + 1]
+            chunks.append(("\n".join(own), sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in own) >= 2))
+            begin = i + 1
+    return chunks

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
 
+import pytest
+
 from tessera.llm import line_chunks
 
-from .cases import empty, frame, sentence, texts
+from .cases import empty, frame, plain_chunks, sentence, texts
 
 WORDED = re.compile(r"[^\x20\x09-\x0D]")
 
@@ -45,10 +48,8 @@ def test_planted_passages_go_whole_and_nothing_else(spark):
         assert left[i] == (repeats[i][0] if i in repeats else text.split("\n"))
 
 
-def brute(spark, rows):
-    from pyspark.sql import functions as F
-
-    cut = {r.t: [c.chunk for c in r.c] for r in spark.createDataFrame([(t,) for t in {t or "" for _, t in rows}], "t string").select("t", line_chunks.chunks(F.col("t"), 3).alias("c")).collect()}
+def brute(rows):
+    cut = {t: [c for c, _ in plain_chunks(t)] for t in {t or "" for _, t in rows}}
     ranked = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest()))
     chunk_seen, pair_seen, out = {}, {}, Counter()
     for i, t in ranked:
@@ -72,7 +73,7 @@ def test_pairs_equal_brute_force(spark):
     more = [(800, "one a\n\ntwo b\nown c"), (801, "x y\none a\n\ntwo b"), (802, "one a\ntwo b"), (803, "\n".join(["same"] * 5)), (804, "same\nsame\nsame"), (805, "\n\nq r\ns t\n\n"), (806, "\nq r\ns t\n\n\n"), (807, "é ü\r\n ß\r\né ü\r\n ß\r\n")]
     rows = texts() + more
     got = Counter((r.doc_id, r.n_chunks, r.n_removed, r.kept_text) for r in line_chunks.dedup_line_chunks(frame(spark, rows), pairs=True).collect())
-    assert got == brute(spark, rows)
+    assert got == brute(rows)
     for i, text in ((803, "same\nsame"), (804, ""), (802, "one a\ntwo b")):
         assert [k[3] for k in got if k[0] == i] == [text]
     kept = {x for k in got for x in k[3].split("\n")}
@@ -86,3 +87,10 @@ def test_the_query_takes_pairs(spark, tmp_path):
     left = {r.doc_id: r.kept_text.split("\n") for r in line_chunks.op10_line_chunk_dedup(spark, str(tmp_path)).collect()}
     assert all(left[i] == own for i, (own, _) in repeats.items())
     assert line_chunks.without_repeated_chunks(frame(spark, [(1, "a b\nc d"), (2, "\n\na b\nc d\n\n")]), pairs=True).count() == 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the provided tables aren't here")
+def test_the_query_equals_brute_force_over_the_whole_table(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = Counter((r.doc_id, r.n_chunks, r.n_removed, r.kept_text) for r in line_chunks.op10_line_chunk_dedup(spark, "/root/testdata/sf0.001").collect())
+    assert got == brute(rows)

@@ -308,3 +308,41 @@ def test_labels_without_rows_give_no_rules(spark):
     x, bad = quality.labelled_sample(stats, labels)
     assert len(bad) == 0 and quality.learn(x, bad) == []
     assert quality.apply_rules(stats, []).where(F.col("kept").isNull()).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the provided tables aren't here")
+def test_the_quality_query_equals_plain_rules_over_the_whole_table(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.learn(*quality.labelled_sample(quality.text_statistics(docs), labels))
+    stats = {r.doc_id: r.asDict() for r in quality.text_statistics(docs).collect()}
+    texts_ = {r.doc_id: r.text for r in docs.collect()}
+
+    def value(name, r):
+        most = lambda n: max(r[n], 1)
+        ratios = {
+            "mean_word": r["word_chars"] / most("n_words"), "symbols_a_word": r["n_symbols"] / most("n_words"), "dup_lines_a_line": r["n_dup_lines"] / most("n_lines"),
+            "repeat_words_a_word": r["n_repeat_words"] / most("n_words"), "words_a_line": r["n_words"] / most("n_lines"),
+            "punctuation_a_word": r["n_punctuation"] / most("n_words"), "upper_a_word": r["n_upper"] / most("n_words"),
+        }
+        return ratios.get(name, r.get(name))
+
+    got = quality.op9_quality_rules(spark, sf_dir).collect()
+    assert len(got) == len(texts_) and rules
+    for r in got:
+        own = stats[r.doc_id]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_statistics(texts_[r.doc_id])
+        failed = r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words
+        first = next((k for k, (rule, _) in enumerate(rules, 1) if all((value(t.name, own) >= t.limit) == t.at_least for t in rule)), 0)
+        assert (r.base_failed, r.rule, r.kept) == (failed, first, not failed and first == 0)
+
+
+def test_shards_bear_clashing_names_and_hot_keys(spark):
+    docs = frame(spark)
+    named = sharding.assign_shards(docs, "shard", ["a", "b", "c"], 101)
+    assert sorted(named.columns) == sorted(docs.columns) and named.count() == docs.count()
+    assert len({r.slot for r in named.collect()}) == 1
+    spread = sharding.assign_shards(docs, "shard", ["a", "b", "c"], 101, spread_col="text")
+    assert len({r.shard for r in spread.collect()}) == 3
+    assert len({(r.text, r.shard) for r in spread.collect()}) == len({r.text for r in spread.collect()})
+    assert sharding.assign_shards(empty(spark), "doc_id", ["a"], 101).count() == 0
