@@ -43,7 +43,7 @@ def rate_limited(requests: DataFrame, limit: int, window: str = "hour", late: st
 
 
 def log_once(requests: DataFrame, seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
-    """requests(id, ip_hash, bucket, created_at) with `written`; state is a key's last written time."""
+    """requests(id, ip_hash, bucket, created_at) with `written`; state is a key's last written time in microseconds, as in the batch form."""
 
     def mark(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -51,12 +51,12 @@ def log_once(requests: DataFrame, seconds: int = 3600, late: str = "10 minutes")
             return
         last, written = state.get[0] if state.exists else None, []
         frame = pd.concat(list(frames)).sort_values(["created_at", "id"])
-        for at in frame["created_at"].map(lambda t: int(t.timestamp() * 1000)):
-            new = last is None or at - last >= seconds * 1000
+        for at in frame["created_at"].map(lambda t: pd.Timestamp(t).value // 1000):
+            new = last is None or at - last >= seconds * 1_000_000
             last = at if new else last
             written.append(new)
         state.update((last,))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + seconds * 1000 + 1)
+        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + seconds * 1000 + 1)
         yield frame[["id", "ip_hash", "bucket", "created_at"]].assign(written=written)
 
     return requests.withWatermark("created_at", late).groupBy("ip_hash", "bucket").applyInPandasWithState(mark, WRITTEN, "last long", "append", GroupStateTimeout.EventTimeTimeout)
