@@ -396,13 +396,19 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, score, and its tokens, marginals and spans, from a model of the labels given."""
+    """Per row of docs: doc_id, score, and its tokens, marginals and spans, from a model of the labels given.
+
+    The score is from 0 to 1 for every row: a null or empty text has no tokens and the score that comes with none; a long
+    one counts whole. Without labels every score is 0, with one class only its share. Null and repeated ids pass
+    through, a row each; equal texts have equal scores; no rows give none; further columns are ignored, whatever their names.
+    """
     model = fit(docs, labels)
     return tag_documents(docs, model.level, model.field).withColumn("score", model.score())
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", limit: float = 0.7) -> DataFrame:
-    """The rows of docs, all columns as they are, whose score is under limit."""
+    """The rows of docs, all columns as they are, whose score is under limit. Null and empty texts have a score like
+    others; repeated rows stay or go together; without labels all rows stay. Labels are found by the column doc_id."""
     model, at = fit(docs, labels), docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
