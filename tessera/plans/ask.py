@@ -271,7 +271,11 @@ def replies(spark, sf):
     return pair_lists(spark, sf).select("conv_id", text.alias("reply"))
 
 
-@query()
+_DUMPED = """'{"question": ' || to_json(question)::VARCHAR || ', "answer": ' || to_json(answer)::VARCHAR || '}'"""
+
+
+@query(f"""WITH {PAIRS}, j AS (SELECT conv_id, '[' || string_agg({_DUMPED}, ', ' ORDER BY turn) || ']' AS list FROM pairs GROUP BY conv_id)
+SELECT conv_id, CASE WHEN conv_id % 4 = 2 THEN '{{"note": [1], "faqs": ' || list || '}}' ELSE list END AS json FROM j""")
 def json_repair(spark, sf):
     return replies(spark, sf).select("conv_id", Q.json_repaired("reply").alias("json"))
 
@@ -292,37 +296,59 @@ def _escaped(value: str) -> str:
     return value
 
 
-@query(f"""WITH {PAIRS} SELECT conv_id, '<div class="faq">' || chr(10) || string_agg('  <details class="faq__item">' || chr(10) || '    <summary class="faq__q">' || {_escaped('question')} || '</summary>' || chr(10) || '    <div class="faq__a">' || {_escaped('answer')} || '</div>' || chr(10) || '  </details>', chr(10) ORDER BY turn) || chr(10) || '</div>' AS html FROM pairs GROUP BY conv_id""")
+_HTML = f"""'<div class="faq">' || chr(10) || string_agg('  <details class="faq__item">' || chr(10) || '    <summary class="faq__q">' || {_escaped('question')} || '</summary>' || chr(10) || '    <div class="faq__a">' || {_escaped('answer')} || '</div>' || chr(10) || '  </details>', chr(10) ORDER BY turn) || chr(10) || '</div>'"""
+
+
+@query(f"WITH {PAIRS} SELECT conv_id, {_HTML} AS html FROM pairs GROUP BY conv_id")
 def export_html(spark, sf):
     return pair_lists(spark, sf).select("conv_id", Q.as_html("pairs").alias("html"))
 
 
-@query(f"""WITH {PAIRS} SELECT conv_id, string_agg('<!-- wp:heading {{"level":3}} -->' || chr(10) || '<h3>' || {_escaped('question')} || '</h3>' || chr(10) || '<!-- /wp:heading -->' || chr(10) || chr(10) || '<!-- wp:paragraph -->' || chr(10) || '<p>' || {_escaped('answer')} || '</p>' || chr(10) || '<!-- /wp:paragraph -->', chr(10) || chr(10) ORDER BY turn) AS blocks FROM pairs GROUP BY conv_id""")
+_BLOCKS = f"""string_agg('<!-- wp:heading {{"level":3}} -->' || chr(10) || '<h3>' || {_escaped('question')} || '</h3>' || chr(10) || '<!-- /wp:heading -->' || chr(10) || chr(10) || '<!-- wp:paragraph -->' || chr(10) || '<p>' || {_escaped('answer')} || '</p>' || chr(10) || '<!-- /wp:paragraph -->', chr(10) || chr(10) ORDER BY turn)"""
+
+
+@query(f"WITH {PAIRS} SELECT conv_id, {_BLOCKS} AS blocks FROM pairs GROUP BY conv_id")
 def export_gutenberg(spark, sf):
     return pair_lists(spark, sf).select("conv_id", Q.as_gutenberg("pairs").alias("blocks"))
 
 
-@query()
+def _harmless(value: str) -> str:
+    return f"replace(replace(replace({value}, '<', '\\u003C'), '>', '\\u003E'), '&', '\\u0026')"
+
+
+_ID = "substr(md5('faq-{}'), 1, 7)"
+_JSON = _harmless("""'[ ' || string_agg('{' || chr(10) || '  "question" : ' || to_json(question)::VARCHAR || ',' || chr(10) || '  "answer" : ' || to_json(answer)::VARCHAR || chr(10) || '}', ', ' ORDER BY turn) || ' ]'""")
+_ENTITY = "{'@type': 'Question', 'name': question, 'acceptedAnswer': {'@type': 'Answer', 'text': answer}}"
+_PUBLISHED = _harmless(f"to_json({{'@context': 'https://schema.org', '@type': 'FAQPage', '@id': 'https://example.org/' || conv_id || '#faq', 'inLanguage': 'pl', 'mainEntity': list({_ENTITY} ORDER BY turn)}})::VARCHAR")
+_LINKED = _harmless(f"to_json({{'@context': 'https://schema.org', '@type': 'FAQPage', 'mainEntity': list({_ENTITY} ORDER BY turn)}})::VARCHAR")
+_TABS = "list({'tab_title': question, 'tab_content': answer, '_id': substr(md5('faq-' || (k + 2)), 1, 7)} ORDER BY turn)"
+_WIDGET = f"{{'id': {_ID.format(2)}, 'elType': 'widget', 'widgetType': 'accordion', 'settings': {{'tabs': {_TABS}}}}}"
+_INNER = f"{{'id': {_ID.format(1)}, 'elType': 'column', 'settings': {{'_column_size': 100}}, 'elements': [{_WIDGET}]}}"
+_TEMPLATE = _harmless(f"to_json({{'version': '0.4', 'title': 'FAQ', 'type': 'page', 'content': [{{'id': {_ID.format(0)}, 'elType': 'section', 'elements': [{_INNER}]}}]}})::VARCHAR")
+_NUMBERED = f"{PAIRS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM pairs)"
+
+
+@query(f"WITH {PAIRS} SELECT conv_id, {_JSON} AS json FROM pairs GROUP BY conv_id")
 def export_json(spark, sf):
     return pair_lists(spark, sf).select("conv_id", Q.as_json("pairs").alias("json"))
 
 
-@query()
+@query(f"WITH {_NUMBERED} SELECT conv_id, {_TEMPLATE} AS json FROM numbered GROUP BY conv_id")
 def export_elementor(spark, sf):
     return pair_lists(spark, sf).select("conv_id", Q.as_elementor("pairs").alias("json"))
 
 
-@query()
+@query(f"WITH {PAIRS} SELECT conv_id, {_PUBLISHED} AS json FROM pairs GROUP BY conv_id")
 def export_jsonld(spark, sf):
     return pair_lists(spark, sf).select("conv_id", Q.as_jsonld("pairs", F.concat(F.lit("https://example.org/"), "conv_id"), F.lit("pl")).alias("json"))
 
 
-@query()
+@query(f"WITH {_NUMBERED} SELECT conv_id, {_HTML} AS html, {_BLOCKS} AS gutenberg, {_TEMPLATE} AS elementor, {_JSON} AS json, {_LINKED} AS jsonld FROM numbered GROUP BY conv_id")
 def export_all(spark, sf):
     return Q.exports(pair_lists(spark, sf)).drop("pairs")
 
 
-@query()
+@query("SELECT page_id, to_json({'@context': 'https://schema.org', '@type': 'WebApplication', 'name': 'FAQ', 'url': url, 'inLanguage': 'pl'})::VARCHAR AS json FROM pages")
 def page_schema(spark, sf):
     rows = table(spark, sf, "pages").select("page_id", F.lit("FAQ").alias("name"), "url", F.lit("").alias("description"), F.lit("pl").alias("language"))
     return rows.select("page_id", Q.page_schema("name", "url", "description", "language").alias("json"))
