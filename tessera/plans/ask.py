@@ -173,10 +173,10 @@ def timeout_streak(spark, sf):
     return M.timeout_streaks(rows, F.date_trunc("day", "at")).select("id", "streak", "pause")
 
 
-@query("SELECT event_id, sha256('salt|' || CASE event_id % 4 WHEN 0 THEN '10.0.0.1' WHEN 1 THEN '198.51.100.7' WHEN 2 THEN '203.0.113.9' ELSE '10.0.0.1' END) AS guest FROM events")
+@query("SELECT event_id, sha256('salt|' || CASE event_id % 4 WHEN 1 THEN '198.51.100.' || user_id % 250 WHEN 2 THEN '2001:db8::' || event_id % 9999 ELSE '10.0.' || user_id % 250 || '.' || event_id % 250 END) AS guest FROM events")
 def guest_hash(spark, sf):
     e = F.expr
-    hashed = M.guest("salt", F.lit("10.0.0.1"), e("CASE event_id % 4 WHEN 1 THEN '192.0.2.1, 198.51.100.7' WHEN 2 THEN '192.0.2.1' WHEN 3 THEN 'x, y' END"), e("CASE event_id % 4 WHEN 2 THEN '203.0.113.9' END"), e("event_id % 4 <> 0"))
+    hashed = M.guest("salt", e("concat('10.0.', user_id % 250, '.', event_id % 250)"), e("CASE event_id % 4 WHEN 1 THEN concat('192.0.2.', event_id % 250, ', 198.51.100.', user_id % 250) WHEN 2 THEN '192.0.2.1' WHEN 3 THEN concat(event_type, ', ', props) ELSE concat('192.0.2.', user_id % 250) END"), e("CASE event_id % 4 WHEN 2 THEN concat('2001:db8::', event_id % 9999) WHEN 3 THEN event_type END"), e("event_id % 4 <> 0"))
     return table(spark, sf, "events").select("event_id", hashed.alias("guest"))
 
 
@@ -201,10 +201,10 @@ def ask_http(spark, sf):
     return rows.select("event_id", R.http_status().alias("http"))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'en text' WHEN 1 THEN 'pl text' ELSE 'I can''t answer that.' END AS message FROM events")
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN text WHEN conv_id % 3 = 1 THEN role || ' pl ' || conv_id WHEN conv_id % 3 = 2 THEN 'de ' || text ELSE 'I can''t answer that.' END AS message FROM conversations")
 def refusal_msg(spark, sf):
-    messages = F.expr("CASE event_id % 3 WHEN 0 THEN map('en', 'en text', 'pl', 'pl text') WHEN 1 THEN map('en', ' ', 'pl', 'pl text') ELSE map('de', '') END")
-    return table(spark, sf, "events").select("event_id", R.refusal(messages, "en").alias("message"))
+    messages = F.expr("map('en', if(turn % 2 = 1, text, ' \t'), 'pl', if(conv_id % 3 = 1, concat(role, ' pl ', conv_id), ''), 'de', if(conv_id % 3 = 2, concat('de ', text), ' '))")
+    return table(spark, sf, "conversations").select("conv_id", "turn", R.refusal(messages, "en").alias("message"))
 
 
 @query(f"WITH {_GUARD} SELECT query_id, printf('stage=guard cov=%s best=%.4f hard=%.4f soft=%.4f topk=5 used=%d', coverage, score, 0.35::DOUBLE, 0.4::DOUBLE, CASE WHEN ids = '' THEN 0 ELSE len(string_split(ids, ',')) END) AS line FROM d")
@@ -214,10 +214,10 @@ def debug_line(spark, sf):
     return rows.select("query_id", line.alias("line"))
 
 
-_STRUCTURED = "concat('## head\n----\n[', turn, '] (Źródło: x) __NO_ANS__NO_ANSWER__WER__', text)"
+_STRUCTURED = "concat(repeat('#', turn % 4), ' head\n', repeat('=', conv_id % 6), '\n[', turn, if(conv_id % 2 = 0, '] (Źródło: x) ', ']  (ŹRÓDŁO : x) '), repeat('__NO_ANS', conv_id % 15), '__NO_ANSWER__', repeat('WER__', conv_id % 15), text)"
 
 
-@query("SELECT conv_id, turn, '# # # head' || chr(10) || '- - -' || chr(10) || '[ ' || turn || ' ] ( Źródło : x) ' || regexp_replace(text, '[#＃]{2,}', '# # #', 'g') AS text FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN turn % 4 >= 2 THEN '# # #' ELSE repeat('#', turn % 4) END || ' head' || chr(10) || CASE WHEN conv_id % 6 >= 3 THEN '- - -' ELSE repeat('=', conv_id % 6) END || chr(10) || '[ ' || turn || ' ] ( Źródło : x) ' || regexp_replace(text, '[#＃]{2,}', '# # #', 'g') AS text FROM conversations")
 def neutralize(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", X.neutralised(F.expr(_STRUCTURED)).alias("text"))
 
@@ -237,11 +237,12 @@ def sanitize_topic(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", sanitised_topic("text").alias("topic"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'Shop ' || event_type END AS tagline FROM events")
+@query(f"WITH t AS (SELECT conv_id, turn, {sql_trim('text')} AS t FROM conversations) SELECT conv_id, turn, CASE WHEN turn = 1 AND conv_id % 4 < 3 THEN '' WHEN length(t) > 90 THEN {sql_trim(f"regexp_replace(substr(t, 1, 90), '{SPACE}+\\S*\\n?$', '')")} ELSE t END AS tagline FROM t")
 def tagline(spark, sf):
     from ..functions.profile import tagline as told
 
-    return table(spark, sf, "events").select("event_id", told(F.expr("CASE WHEN event_id % 3 = 0 THEN ' Just  another WordPress site! ' ELSE concat('Shop ', event_type) END")).alias("tagline"))
+    junk = "CASE conv_id % 4 WHEN 0 THEN ' Just  another WordPress site! ' WHEN 1 THEN 'Kolejna witryna oparta na WordPressie...' WHEN 2 THEN '«Another» WordPress\tsite' ELSE text END"
+    return table(spark, sf, "conversations").select("conv_id", "turn", told(F.expr(f"if(turn = 1, {junk}, text)")).alias("tagline"))
 
 
 @query(f"WITH {PAIRS}, d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower({sql_trim('question')}) ORDER BY turn) AS n FROM pairs) SELECT conv_id, turn, question, answer FROM d WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 50")
@@ -421,18 +422,19 @@ def wave_outcome(spark, sf):
     return outcomes(rows)
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 17 WHEN 1 THEN 60 WHEN 2 THEN 0 ELSE 0 END AS seconds FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 3 < 2 AND floor(value) BETWEEN 1 AND 60 THEN floor(value) ELSE 0 END::INTEGER AS seconds FROM events")
 def retry_delay(spark, sf):
     from ..operators.waves import retry_seconds
 
-    return table(spark, sf, "events").select("event_id", retry_seconds(F.expr("CASE event_id % 4 WHEN 0 THEN '17.4s' WHEN 1 THEN '60s' WHEN 2 THEN '600s' ELSE 'soon' END")).alias("seconds"))
+    return table(spark, sf, "events").select("event_id", retry_seconds(F.expr("CASE event_id % 3 WHEN 0 THEN concat(value, 's') WHEN 1 THEN concat('  ', cast(floor(value) AS bigint)) ELSE props END")).alias("seconds"))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'day' WHEN 1 THEN 'minute' ELSE '' END AS scope FROM events")
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN '' WHEN user_id % 3 = 0 THEN 'day' WHEN user_id % 3 = 1 THEN 'minute' ELSE '' END AS scope FROM events")
 def quota_scope(spark, sf):
     from ..operators.waves import quota_scope as scope
 
-    body = F.expr("""CASE event_id % 3 WHEN 0 THEN '[{"quotaId": "RequestsPerMinute"}, {"quotaId": "RequestsPerDay"}]' WHEN 1 THEN '[{"quotaId": "RequestsPerMinutePerModel"}]' ELSE 'none' END""")
+    ids = """CASE user_id % 3 WHEN 0 THEN concat('{"quotaId": "PerMinute', user_id, '"}, {"x": 1}, {"quotaId": "', event_type, 'PerDayPerProject"}') WHEN 1 THEN concat('{"quotaId": "', event_type, 'PerMinutePerModel', event_id, '"}') ELSE concat('{"quotaId": "', event_type, '"}') END"""
+    body = F.expr(f"if(event_type = 'error', props, concat('[', {ids}, ']'))")
     return table(spark, sf, "events").select("event_id", scope(body).alias("scope"))
 
 

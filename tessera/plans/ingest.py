@@ -305,15 +305,17 @@ def clean_html(spark, sf):
     return table(spark, sf, "pages").select("page_id", H.clean_html("html").alias("text"))
 
 
-_CODES = "concat('[restrict level=\"1\"]hidden[/restrict] [promo title=\"Offer ', event_id, ' now\" width=\"12px\" alt=''ok then''] ', event_type, ' [um_loggedin]x[/um_loggedin][ihc-b]')"
+_GATES = [*H.GATE_NAMES, "mepr-x_1", "um_any"]
+_GATE = f"element_at(array({', '.join(map(repr, _GATES))}), cast(event_id % {len(_GATES)} + 1 AS int))"
+_CODES = f"concat('[', {_GATE}, ' level=\"1\"]hidden ', props, '[/', upper({_GATE}), '] [promo title=\"Offer ', event_id, ' now\" width=\"', user_id, 'px\" alt=''ok ', event_type, '''] ', event_type, ' [um_loggedin]x[/um_loggedin][ihc-b]')"
 
 
-@query("SELECT event_id, chr(10) || ' [promo title=\"Offer ' || event_id || ' now\" width=\"12px\" alt=''ok then''] ' || event_type || ' ' || chr(10) || chr(10) AS text FROM events")
+@query("SELECT event_id, chr(10) || ' [promo title=\"Offer ' || event_id || ' now\" width=\"' || user_id || 'px\" alt=''ok ' || event_type || '''] ' || event_type || ' ' || chr(10) || chr(10) AS text FROM events")
 def strip_gated(spark, sf):
     return table(spark, sf, "events").select("event_id", H.without_gated(F.expr(_CODES)).alias("text"))
 
 
-@query("SELECT event_id, 'Offer ' || event_id || ' now' || chr(10) || 'ok then' AS vals FROM events")
+@query("SELECT event_id, 'Offer ' || event_id || ' now' || chr(10) || 'ok ' || event_type AS vals FROM events")
 def shortcode_attrs(spark, sf):
     return table(spark, sf, "events").select("event_id", F.array_join(H.attribute_values(F.expr(_CODES)), "\n").alias("vals"))
 
