@@ -22,7 +22,8 @@ DROPPED = ["script", "style", "head", "svg", "noscript", "template", "iframe"]
 COMMENT_IDS = ["comments", "respond"]
 COMMENT_CLASSES = ["comments-area", "comment-list", "wp-block-comments", "wp-block-comment-template"]
 # Fixed value: tags that end a line.
-BREAKING = r"(?i)<(br|/p|/div|/h[1-6]|/li|/tr|/td|/th|/blockquote|/a|/section|/article|/header|/footer|/nav|/ul|/ol|/dt|/dd|/figcaption|/label|/button)(?=[\s/>])[^>]*>"
+LINE_TAGS = "br|/p|/div|/h[1-6]|/li|/tr|/td|/th|/blockquote|/a|/section|/article|/header|/footer|/nav|/ul|/ol|/dt|/dd|/figcaption|/label|/button"
+BREAKING = rf"(?i)<({LINE_TAGS})(?=[\s/>])[^>]*>"
 
 GATED = "|".join([*(re.escape(b) + r"[a-z0-9_\-]*" for b in GATE_BEGINNINGS), *map(re.escape, GATE_NAMES)])
 ATTRIBUTE = r"(?i)(?<![\w\-])(?:" + "|".join(TEXT_ATTRIBUTES) + r""")\s*=\s*("[^"]*"|'[^']*'|[^\s\]]+)"""

@@ -21,20 +21,21 @@ def norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def cosine(vector: Column, query: list[float]) -> Column:
-    """The cosine with a fixed vector; null for another length, 0 where either is a zero vector."""
-    length = float(np.sqrt(np.dot(np.array(query, float), np.array(query, float))))
-    fixed = F.array(*(F.lit(float(q)) for q in query))
-    dot = F.aggregate(F.zip_with(vector, fixed, lambda x, q: x.cast("double") * q), F.lit(0.0), lambda s, x: s + x)
-    own = norm(vector)
-    return F.when(F.size(vector) == len(query), F.when((own <= 0) | F.lit(length <= 0), F.lit(0.0)).otherwise(dot / (own * F.lit(length))))
-
-
-def top_k(chunks: DataFrame, query: list[float], k: int = 5) -> DataFrame:
-    """(id, post_id, score) of the k best chunks; ties go to the smaller id. An empty or zero query finds nothing."""
-    scored = chunks.where(F.col("embedding").isNotNull()).select("id", "post_id", cosine(F.col("embedding"), query).alias("score")).where("score IS NOT NULL")
-    if not query or not any(query):
-        scored = scored.where(F.lit(False))
+def cosine(vector: Column, query: Column) -> Column:
+    """The cosine with another vector; null for another length, 0 where either is a zero vector."""
+    dot = F.aggregate(F.zip_with(vector, query, lambda x, q: x.cast("double") * q.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    lengths = norm(vector) * norm(query)
+    return F.when(F.size(vector) == F.size(query), F.when(lengths <= 0, F.lit(0.0)).otherwise(dot / lengths))
+
+
+def top_k(chunks: DataFrame, query: list[float] | Column, k: int = 5) -> DataFrame:
+    """(id, post_id, score) of the k best chunks; ties go to the smaller id. An empty, null or zero query finds nothing.
+
+    The query is a list of numbers or a column that is the same for all rows, such as a scalar subquery.
+    """
+    wanted = query if isinstance(query, Column) else F.array(*(F.lit(float(q)) for q in query)).cast("array<double>")
+    rows = chunks.select("id", "post_id", "embedding", wanted.alias("_wanted")).where(F.col("embedding").isNotNull() & (norm(F.col("_wanted")) > 0))
+    scored = rows.select("id", "post_id", cosine(F.col("embedding"), F.col("_wanted")).alias("score")).where("score IS NOT NULL")
     return scored.orderBy(F.desc("score"), "id").limit(max(1, k))
 
 

@@ -11,6 +11,7 @@ from ..operators import admission as M
 from ..operators import faq as Q
 from ..operators import retrieval as R
 from .bindings import KNOWLEDGE, LOG, PAIRS, POSTS, SPACE, knowledge, log, pairs, posts, sql_trim, table
+from .ingest import unescaped_sql, without_elements_sql
 
 QUERIES, ORACLE = {}, {}
 
@@ -25,17 +26,14 @@ def query(sql: str | None = None):
     return add
 
 
-def first_vector(spark, sf) -> list[float]:
-    return [float(x) for x in table(spark, sf, "embeddings").where("vec_id = 0").first()["embedding"]]
-
-
 _COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 
 
 @query(f"SELECT e.vec_id AS id, e.label::BIGINT AS post_id, round({_COS}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.vec_id <> 0 ORDER BY {_COS} DESC, 1 LIMIT 5")
 def cosine_topk(spark, sf):
-    rows = table(spark, sf, "embeddings").where("vec_id <> 0").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("post_id"), "embedding")
-    return R.top_k(rows, first_vector(spark, sf), 5).withColumn("score", F.round("score", 6))
+    v = table(spark, sf, "embeddings")
+    rows = v.where("vec_id <> 0").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("post_id"), "embedding")
+    return R.top_k(rows, v.where("vec_id = 0").select("embedding").scalar(), 5).withColumn("score", F.round("score", 6))
 
 
 _BATCH = f"h AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label::BIGINT AS post_id, {_COS} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id QUALIFY rank <= 5)"
@@ -360,7 +358,10 @@ def pairs_text(spark, sf):
     return pair_lists(spark, sf).select("conv_id", Q.as_text("pairs").alias("text"))
 
 
-@query("SELECT event_id, substr(props, 1, 500) AS topic, event_type AS description, CASE WHEN (value / 20)::BIGINT - 3 <= 0 THEN 8 ELSE greatest(5, least(20, (value / 20)::BIGINT - 3)) END::BIGINT AS count, CASE event_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'pl' END AS language FROM events")
+_PARAMS = "SELECT event_id, substr(props, 1, 500) AS topic, event_type AS description, CASE WHEN (value / 20)::BIGINT - 3 <= 0 THEN 8 ELSE greatest(5, least(20, (value / 20)::BIGINT - 3)) END::BIGINT AS count, CASE event_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'pl' END AS language FROM events"
+
+
+@query(_PARAMS)
 def gen_params(spark, sf):
     rows = table(spark, sf, "events").select("event_id", F.col("props").alias("topic"), F.col("event_type").alias("description"), (F.round(F.col("value") / 20).cast("long") - 3).alias("count"), F.expr("CASE event_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' END").alias("language"))
     return Q.generator_params(rows)
@@ -378,10 +379,12 @@ def embed_batches(spark, sf):
     return P.embedded(rows, "text", P.Offline(16)).drop("text")
 
 
-@query()
+@query(f"""WITH p AS ({_PARAMS}), m AS (SELECT event_id, md5(concat_ws(chr(10), 'Write ' || count || ' questions with answers in ' || language || ' as JSON.', '### TOPIC', topic, '### DESCRIPTION', description)) AS h FROM p)
+SELECT event_id, 'What is ' || substr(h, 1, 6) || '?' AS question, 'It is ' || substr(h, 7, 6) || '.' AS answer FROM m""")
 def generate_faq(spark, sf):
     rows = gen_params(spark, sf).withColumn("prompt", Q.generation_prompt("topic", "description", "count", "language"))
-    return P.generated(rows.select("event_id", "prompt"), "prompt", P.Offline()).select("event_id", Q.normalised_pairs(Q.pairs_of("reply")).alias("pairs"))
+    told = P.generated(rows.select("event_id", "prompt"), "prompt", P.Offline()).select("event_id", F.explode(Q.normalised_pairs(Q.pairs_of("reply"))).alias("p"))
+    return told.select("event_id", "p.question", "p.answer")
 
 
 @query(f"WITH {PAIRS} SELECT conv_id AS id, TIMESTAMP '2024-01-31' AS created_at, 'topic ' || conv_id AS topic, NULL::VARCHAR AS extra_desc, CASE WHEN conv_id % 2 = 0 THEN 9 ELSE count(*) END::INTEGER AS num_questions, CASE WHEN conv_id % 3 = 0 THEN 'en' ELSE 'pl' END AS language, 0::BIGINT AS user_id, to_json(list({{'question': question, 'answer': answer}} ORDER BY turn))::VARCHAR AS pairs_json FROM pairs GROUP BY conv_id")
@@ -438,7 +441,11 @@ def quota_scope(spark, sf):
     return table(spark, sf, "events").select("event_id", scope(body).alias("scope"))
 
 
-@query()
+_EDITED = without_elements_sql("regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')", ["script", "style", "noscript", "template", "svg"], "' '")
+_EDITED = sql_trim(f"regexp_replace({unescaped_sql(f"regexp_replace({_EDITED}, '(?s)<[^>]*>', ' ', 'g')")}, '{SPACE}+', ' ', 'g')")
+
+
+@query(f"SELECT page_id, CASE WHEN length(t) <= 6000 THEN t ELSE regexp_replace(substr(t, 1, 6000), '\\s\\S*$', '') END AS text FROM (SELECT page_id, {_EDITED} AS t FROM pages)")
 def clean_content(spark, sf):
     from ..functions.profile import editor_text
 

@@ -24,17 +24,29 @@ def query(sql: str | None = None):
     return add
 
 
+def unescaped_sql(value: str) -> str:
+    """SQL for the entities that the pages hold."""
+    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "''"), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        value = f"replace({value}, '{entity}', '{plain}')"
+    return value
+
+
+def without_elements_sql(value: str, tags: list[str], gap: str) -> str:
+    for tag in tags:
+        value = f"regexp_replace({value}, '(?is)<{tag}([\\s/][^>]*)?>.*?</{tag}\\s*>', {gap}, 'g')"
+    return value
+
+
 def _plain(value: str) -> str:
     """SQL for text without entities: comments, bracket codes, breaking tags, other tags, white space."""
-    tags = r"(?i)<(br|/p|/div|/h[1-6]|/li|/tr|/td|/th|/blockquote|/a|/section|/article|/header|/footer|/nav|/ul|/ol|/dt|/dd|/figcaption|/label|/button)([\s/][^>]*)?>"
+    tags = rf"(?i)<({H.LINE_TAGS})([\s/][^>]*)?>"
     out = f"regexp_replace({value}, '(?s)<!--.*?-->', ' ', 'g')"
     out = f"regexp_replace({out}, '\\[[^\\]]*\\]', chr(10), 'g')"
     out = f"regexp_replace({out}, '{tags}', chr(10), 'g')"
     out = f"regexp_replace({out}, '(?is)<script[^>]*?>.*?</script>', '', 'g')"
     out = f"regexp_replace({out}, '(?is)<style[^>]*?>.*?</style>', '', 'g')"
     out = f"regexp_replace({out}, '(?s)<[^>]*>', '', 'g')"
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "''"), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        out = f"replace({out}, '{entity}', '{plain}')"
+    out = unescaped_sql(out)
     out = f"regexp_replace(replace({out}, chr(160), ' '), '[ \\t]+', ' ', 'g')"
     out = f"regexp_replace({out}, '{SPACE}*\\n{SPACE}*', chr(10), 'g')"
     return sql_trim(f"regexp_replace({out}, '\\n{{2,}}', chr(10), 'g')")
@@ -300,7 +312,7 @@ def html_to_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", H.plain_text("html").alias("text"))
 
 
-@query()
+@query(f"SELECT page_id, {_plain(without_elements_sql('html', H.DROPPED, 'chr(10)'))} AS text FROM pages")
 def clean_html(spark, sf):
     return table(spark, sf, "pages").select("page_id", H.clean_html("html").alias("text"))
 
