@@ -181,12 +181,12 @@ def source_stats(spark, sf):
     return S.source_stats({"posts": posts(spark, sf), "meta": meta(spark, sf).withColumnRenamed("value", "text")})
 
 
-@query("SELECT page_id + 1 AS post_id, CASE WHEN page_id % 3 = 0 THEN url || ' again' ELSE html END AS text FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0")
+@query("SELECT page_id + 1 AS post_id, url || ' again' AS text FROM pages UNION ALL SELECT doc_id + 1, text FROM documents WHERE doc_id NOT IN (SELECT page_id FROM pages)")
 def rendered_store(spark, sf):
-    pages = table(spark, sf, "pages").withColumn("post_id", F.col("page_id") + 1)
-    store = pages.where("page_id % 2 = 0").select("post_id", F.col("html").alias("text"))
-    some = pages.where("page_id % 3 = 0")
-    batch = some.select("post_id", F.lit("old").alias("text"), F.lit(1).alias("at")).unionByName(some.select("post_id", F.concat("url", F.lit(" again")).alias("text"), F.lit(2).alias("at")))
+    """Documents as what is stored, and every page rendered twice."""
+    store = table(spark, sf, "documents").select((F.col("doc_id") + 1).alias("post_id"), "text")
+    pages = table(spark, sf, "pages").select((F.col("page_id") + 1).alias("post_id"), "html", "url")
+    batch = pages.select("post_id", F.col("html").alias("text"), F.lit(1).alias("at")).unionByName(pages.select("post_id", F.concat("url", F.lit(" again")).alias("text"), F.lit(2).alias("at")))
     return S.stored_texts(store, batch)
 
 
