@@ -76,7 +76,8 @@ def deduped_lines(text: str | Column) -> Column:
 
 def normalised(text: str | Column) -> Column:
     """Line ends as LF, runs of blanks as one space, runs of LF as one, trimmed."""
-    value = F.regexp_replace(F.regexp_replace(column(text), "\r\n?", "\n"), "[ \t]+", " ")
+    # a single space stays as it is, which is most of them
+    value = F.regexp_replace(F.regexp_replace(column(text), "\r\n?", "\n"), "(?! (?![ \t]))[ \t]+", " ")
     return trim(F.regexp_replace(value, "\n{2,}", "\n"))
 
 

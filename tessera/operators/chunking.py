@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash, tokens_estimate, trim, units
+from ..functions.text import content_hash, once, tokens_estimate, trim, units
 
 TARGET, OVERLAP = 1000, 200
 
@@ -17,16 +17,26 @@ def pieces(unit_list: Column, target: int = TARGET) -> Column:
 
 
 def packed(piece_list: Column, target: int = TARGET) -> Column:
-    """Chunks of at most target characters, each as many pieces as fit, joined by a space."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    """Chunks of at most target characters, each as many pieces as fit, joined by a space; a blank last one goes.
+
+    Where chunks begin is folded from lengths alone, and each chunk is joined once.
+    """
+    start = F.struct(F.array().cast("array<int>").alias("begins"), F.lit(0).alias("i"), F.lit(0).alias("used"))
 
     def fold(state: Column, piece: Column) -> Column:
-        joined = F.when(state["open"] == "", piece).otherwise(F.concat_ws(" ", state["open"], piece))
-        fits = F.length(joined) <= target
-        done = F.when(fits | (state["open"] == ""), state["done"]).otherwise(F.concat(state["done"], F.array(state["open"])))
-        return F.struct(done.alias("done"), F.when(fits, joined).otherwise(piece).alias("open"))
+        size, i = F.length(piece), state["i"] + 1
+        fits = (state["used"] > 0) & (state["used"] + 1 + size <= target)
+        return F.struct(F.when(fits, state["begins"]).otherwise(F.concat(state["begins"], F.array(i))).alias("begins"), i.alias("i"), F.when(fits, state["used"] + 1 + size).otherwise(size).alias("used"))
+
+    def joined(pieces: Column) -> Column:
+        def cut(begins: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(begins, k + 1), F.size(pieces) + 1)
+            return F.transform(begins, lambda begin, k: F.array_join(F.slice(pieces, begin, end(k) - begin), " "))
+
+        chunks = once(F.aggregate(pieces, start, fold, lambda s: s["begins"]), cut)
+        return once(chunks, lambda c: F.when(trim(F.get(c, F.size(c) - 1)) == "", F.slice(c, F.lit(1), F.size(c) - 1)).otherwise(c))
 
-    return F.aggregate(piece_list, empty, fold, lambda s: F.when(trim(s["open"]) == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+    return once(piece_list, joined)
 
 
 def tail(chunk: Column, size: int) -> Column:
