@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import all_salts, salt_of, written
-from .shingles import BASE, U, mixed, powers, windows, word_hashes
+from .shingles import BASE, WIDE, U, mixed, powers, windows, word_hashes
 
 LENGTH = 50
 #: A perfect difference cover: every remainder modulo 21 is a difference of two of these.
@@ -57,11 +57,6 @@ def prefix_hashes(text: bytes, starts: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def sampled(size: int) -> np.ndarray:
-    at = (np.arange(0, size, MODULUS)[:, None] + COVER).ravel()
-    return at[at <= size - PREFIX]
-
-
 def packed(values: np.ndarray) -> bytes:
     """Ascending numbers as their differences, byte planes compressed."""
     if not len(values):
@@ -104,49 +99,74 @@ def rows_of(rows: list[tuple]) -> pa.Table:
 
 
 class Block:
-    """The distinct texts of a block in the order of their smallest ids."""
+    """The distinct texts of a block in the order of their smallest ids, one after another in one array of bytes."""
 
     def __init__(self, table: pa.Table):
         ids: dict[bytes, int] = {}
         texts: dict[bytes, bytes] = {}
+        unpacker = zstandard.ZstdDecompressor()
         for sha, doc_id, text in zip(*(table.column(c).to_pylist() for c in ("sha", "doc_id", "text"))):
             ids[sha] = min(ids.get(sha, NO_ID), doc_id)
             if text is not None and sha not in texts:
-                texts[sha] = zstandard.ZstdDecompressor().decompress(text)
+                texts[sha] = unpacker.decompress(text)
         order = sorted(texts, key=lambda s: (ids[s], s))
-        self.shas, self.texts, self.ids = order, [texts[s] for s in order], np.array([ids[s] for s in order], np.int64)
+        self.shas, self.ids = order, np.array([ids[s] for s in order], np.int64)
+        self.sizes = np.array([len(texts[s]) for s in order], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.data = b"".join(texts[s] for s in order)
+
+    def text(self, k: int) -> bytes:
+        return self.data[self.begins[k] : self.begins[k] + self.sizes[k]]
+
+    def sampled(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the sampled suffixes begin that have a whole prefix in their text, and the text of each."""
+        periods = -(-self.sizes // MODULUS)
+        of = np.repeat(np.arange(len(self.sizes), dtype=np.int32), periods)
+        within = (np.arange(len(of)) - np.repeat(np.cumsum(periods) - periods, periods)) * MODULUS
+        inside = (within[:, None] + COVER <= (self.sizes[of] - PREFIX)[:, None]).ravel()
+        at = ((self.begins[of] + within)[:, None] + COVER).ravel()
+        return at[inside], np.repeat(of, len(COVER))[inside]
 
     def samples(self, shift: int) -> np.ndarray:
-        """Sampled prefixes' hashes, ascending; one that stands in several texts of the block stands here twice."""
-        own = [np.unique(prefix_hashes(t, sampled(len(t)), PREFIX) >> U(shift)) for t in self.texts]
-        names, counts = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, U), np.zeros(0, int))
-        return np.repeat(names, np.minimum(counts, 2))
+        """Sampled prefixes' hashes, ascending; one that several samples of the block have stands here twice."""
+        names = np.sort(prefix_hashes(self.data, self.sampled()[0], PREFIX) >> U(shift))
+        same = np.concatenate([[False], names[1:] == names[:-1]])[: len(names)]
+        third = np.concatenate([[False, False], same[2:] & same[1:-1]])[: len(names)]
+        return names[~third]
 
     def suffixes(self, shared: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash of the 50-byte prefix, text and start of each suffix with a sample under MODULUS further on that has a shared name."""
-        hashes, texts, places = [], [], []
-        for k, text in enumerate(self.texts):
-            at = sampled(len(text))
-            names = prefix_hashes(text, at, PREFIX) >> U(shift)
-            found = np.searchsorted(shared, names)
-            held = at[shared[np.minimum(found, len(shared) - 1)] == names] if len(shared) else at[:0]
-            marks = np.zeros(len(text) + 1, np.int32)
-            np.add.at(marks, np.maximum(held - MODULUS + 1, 0), 1)
-            marks[held + 1] -= 1
-            starts = np.flatnonzero(np.cumsum(marks)[: len(text) - LENGTH + 1] > 0)
-            if len(starts):
-                hashes.append(prefix_hashes(text, starts, LENGTH))
-                texts.append(np.full(len(starts), k, np.int32))
-                places.append(starts)
-        if not hashes:
+        """Hash of the 50-byte prefix, text and place of each suffix with a sample under MODULUS further on that has a shared name."""
+        at, of = self.sampled()
+        if not len(shared) or not len(at):
             return np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, np.int64)
-        return np.concatenate(hashes), np.concatenate(texts), np.concatenate(places)
-
-
-def classes(hashes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct hashes, the first text (of the smallest id) that has each, and each suffix's class."""
-    names, first, of = np.unique(hashes, return_index=True, return_inverse=True)
-    return names, texts[first], of  # texts ascend, so the first index has the smallest
+        names = prefix_hashes(self.data, at, PREFIX) >> U(shift)
+        held = shared[np.minimum(np.searchsorted(shared, names), len(shared) - 1)] == names
+        at, of = at[held], of[held]
+        marks = np.bincount(np.maximum(at - MODULUS + 1, self.begins[of]), minlength=len(self.data) + 1)
+        marks -= np.bincount(at + 1, minlength=len(self.data) + 1)
+        places = np.flatnonzero(np.cumsum(marks, out=marks) > 0)
+        texts = (np.searchsorted(self.begins, places, side="right") - 1).astype(np.int32)
+        whole = places <= (self.begins + self.sizes - LENGTH)[texts]
+        places, texts = places[whole], texts[whole]
+        return prefix_hashes(self.data, places, LENGTH), texts, places
+
+
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values, ascending, where each begins in the order, and an order that sorts the values."""
+    order = np.argsort(values)
+    ranked = values[order]
+    begins = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(values)])
+    return ranked[begins], begins, order
+
+
+def classes(hashes: np.ndarray, texts: np.ndarray, each: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """The distinct hashes, the first text (of the smallest id) that has each, and with `each` every suffix's class."""
+    names, begins, order = grouped(hashes)
+    if not len(names) or not each:
+        return names, np.minimum.reduceat(texts[order], begins) if len(names) else texts, begins if each else None
+    of = np.empty(len(hashes), np.int64)
+    of[order] = np.repeat(np.arange(len(names)), np.diff(begins, append=len(hashes)))
+    return names, np.minimum.reduceat(texts[order], begins), of  # texts ascend by their ids
 
 
 def shared_names(table: pa.Table) -> pa.Table:
@@ -209,7 +229,7 @@ def in_blocks(ranges: int, shift: int) -> tuple[Callable, Callable, Callable]:
             return rows_of([])
         own = Block(table)
         hashes, texts, _ = own.suffixes(union_of(names), shift)
-        distinct, first, _ = classes(hashes, texts)
+        distinct, first, _ = classes(hashes, texts, False)
         at, rows = ranged(distinct, ranges, 64), []
         block = table.column("block")[0].as_py()
         for k in np.flatnonzero(np.diff(at)).tolist():
@@ -222,7 +242,7 @@ def in_blocks(ranges: int, shift: int) -> tuple[Callable, Callable, Callable]:
         if table.num_rows:
             own = Block(table)
             hashes, texts, places = own.suffixes(union_of(told), shift)
-            distinct, first, of = classes(hashes, texts)
+            distinct, first, of = classes(hashes, texts, True)
             at = ranged(distinct, ranges, 64)
             later = np.zeros(len(distinct), bool)
             for k, bits in zip(told.column("range").to_pylist(), told.column("second").to_pylist()):
@@ -230,11 +250,12 @@ def in_blocks(ranges: int, shift: int) -> tuple[Callable, Callable, Callable]:
                     later[at[k] : at[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(at[k + 1] - at[k])).astype(bool)
             # a class goes from every text but that of the smallest id; in the block the first text may have it
             hit = later[of] | (own.ids[texts] > own.ids[first[of]]) if len(of) else np.zeros(0, bool)
-            limits = np.searchsorted(texts, np.arange(len(own.texts) + 1))
-            for k, text in enumerate(own.texts):
-                starts = places[limits[k] : limits[k + 1]][hit[limits[k] : limits[k + 1]]]
+            places, texts = places[hit], texts[hit]
+            limits = np.searchsorted(texts, np.arange(len(own.sizes) + 1))
+            for k in np.flatnonzero(np.diff(limits)).tolist():
+                starts = places[limits[k] : limits[k + 1]] - own.begins[k]
                 if len(starts):
-                    spans, kept = cut_spans(text, starts)
+                    spans, kept = cut_spans(own.text(k), starts)
                     rows.append((own.shas[k], sum(s["end"] - s["begin"] for s in spans), len(spans), hashlib.sha256(kept).hexdigest(), spans))
         types = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
         return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, types)], names=["sha", "n_removed", "n_spans", "kept_sha256", "spans"])
@@ -242,16 +263,42 @@ def in_blocks(ranges: int, shift: int) -> tuple[Callable, Callable, Callable]:
     return samples, suffixes, cut
 
 
-def likeness(raw: bytes) -> int:
-    """A number that like texts mostly share: the least hash of their shingles."""
-    return int(windows(word_hashes(raw)[0]).min(initial=2**63 - 1) >> U(1))
+def likenesses(raws: list[bytes]) -> np.ndarray:
+    """For each text a number that like texts mostly share: the least hash of its shingles, or of its words if it has
+    fewer than five; the texts are hashed together."""
+    least = np.full(len(raws), U(2**63 - 1))
+    begins = np.cumsum([0, *(len(r) + 1 for r in raws)])[:-1]
+    words, at, _ = word_hashes(b"\n".join(raws))
+    if len(words):
+        of = np.searchsorted(begins, at, side="right") - 1
+        values, several = words.copy(), np.bincount(of, minlength=len(raws))[of] >= WIDE
+        values[several] = U(2**64 - 1)
+        if len(words) >= WIDE:
+            whole = of[WIDE - 1 :] == of[: 1 - WIDE]
+            values[: 1 - WIDE][whole] = windows(words)[whole]
+        firsts = np.flatnonzero(np.diff(of, prepend=-1))
+        least[of[firsts]] = np.minimum.reduceat(values, firsts) >> U(1)
+    return least.view(np.int64)
+
+
+def batched(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Where they begin, and the texts of some rows after another, of PART bytes or a little more together."""
+    some, size, first = [], 0, 0
+    for k, text in enumerate(batch.column(column)):
+        some.append(text.as_buffer().to_pybytes() if text.is_valid else b"")
+        size += len(some[-1])
+        if size >= PART:
+            yield first, some
+            some, size, first = [], 0, k + 1
+    if some:
+        yield first, some
 
 
 def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raws = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
-        columns = [[len(r) for r in raws], [hashlib.sha256(r).digest() for r in raws], [likeness(r) for r in raws]]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64())))], names=["doc_id", "n_bytes", "sha", "like"])
+        for first, raws in batched(batch, 1):
+            columns = [pa.array([len(r) for r in raws], pa.int64()), pa.array([hashlib.sha256(r).digest() for r in raws], pa.binary()), pa.array(likenesses(raws))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(raws)), *columns], names=["doc_id", "n_bytes", "sha", "like"])
 
 
 def distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,17 +306,18 @@ def distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     least: dict[bytes, int] = {}
     packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-            if len(raw) < LENGTH:
-                continue
-            sha, doc_id = hashlib.sha256(raw).digest(), NO_ID if doc_id is None else doc_id
-            if doc_id < least.get(sha, NO_ID + 1):
-                rows.append((sha, doc_id, likeness(raw), None if sha in least else packer.compress(raw)))
-                least[sha] = doc_id
-        types = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, types)], names=["sha", "doc_id", "like", "text"])
+        ids = batch.column(0).to_pylist()
+        for first, raws in batched(batch, 1):
+            rows = []
+            for k, (raw, like) in enumerate(zip(raws, likenesses(raws).tolist()), first):
+                if len(raw) < LENGTH:
+                    continue
+                sha, doc_id = hashlib.sha256(raw).digest(), NO_ID if ids[k] is None else ids[k]
+                if doc_id < least.get(sha, NO_ID + 1):
+                    rows.append((sha, doc_id, like, None if sha in least else packer.compress(raw)))
+                    least[sha] = doc_id
+            types = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, types)], names=["sha", "doc_id", "like", "text"])
 
 
 def in_block(texts: DataFrame, told: DataFrame, blocks: int, block_bytes: int) -> DataFrame:

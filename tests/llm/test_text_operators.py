@@ -392,3 +392,12 @@ def test_the_index_finds_all_within_the_radius_and_little_else(monkeypatch):
         assert sorted(items.near(bits)) == sorted(zip(*(x.tolist() for x in np.nonzero(near))))
     votes = decontaminate.block_table(bits[400:]) @ items.index.T
     assert (votes >= decontaminate.BLOCKS - decontaminate.RADIUS).mean() < 0.001
+
+
+def test_likenesses_of_texts_together_are_those_of_each():
+    raws = [(t or "").encode() for _, t in texts()]
+    together = suffixes.likenesses(raws).tolist()
+    for raw, like in zip(raws, together):
+        words = shingles.word_hashes(raw)[0]
+        own = shingles.windows(words) if len(words) >= 5 else words
+        assert like == (int(own.min()) >> 1 if len(own) else 2**63 - 1) == int(suffixes.likenesses([raw])[0])
