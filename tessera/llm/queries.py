@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_chunks, minhash, packing, quality, sharding, substring, suffixes, toxicity, warc
+from . import decontaminate, extraction, line_chunks, minhash, packing, periodic, quality, resampling, sharding, substring, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_line_chunk_dedup": line_chunks.op10_line_chunk_dedup,
+    "op11_html_extraction": extraction.op11_html_extraction,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -28,4 +31,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": substring.ORACLE,
     "op6_sharding": sharding.ORACLE,
     "op7_warc": warc.ORACLE,
+    "op11_html_extraction": extraction.ORACLE,
+    "op12_importance_resampling": resampling.ORACLE,
+    "op13_periodic_runs": periodic.ORACLE,
 }
