@@ -170,7 +170,7 @@ def with_planted_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of docs, a tenth of them, by the hash h of their ids, made periodic from some word on: word i >= a becomes
     word a + (i - a) % p, where a = g % n, p = 1 + floor((n - a) / (3 + g % 8)), g = floor(h / 10). Null ids and texts stay."""
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
-    words = hashed.withColumn("w", F.when(F.col("h") % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))).withColumn("n", F.size("w"))
+    words = hashed.withColumn("w", F.when(F.col("h") % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))).withColumn("n", F.expr("nullif(greatest(size(w), 0), 0)"))
     where = words.withColumns({"a": F.expr("int((h div 10) % n)"), "k": F.expr("int(3 + (h div 10) % 8)")}).withColumn("p", F.expr("int(1 + (n - a) div k)"))
     made = F.array_join(F.expr("transform(w, (x, i) -> if(i < a, x, w[a + (i - a) % p]))"), " ")
     return where.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))

@@ -31,10 +31,11 @@ def words_of(text: Column) -> Column:
 
 def grams_of(words: Column, most: int) -> Column:
     """All runs of 1 to `most` consecutive words, joined by one space, repeats included."""
-    grams = words
-    for n in range(2, most + 1):
-        runs = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-        grams = F.concat(grams, F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>")))
+    grams = runs = words
+    for n in range(2, most + 1):  # a run of n words is one of n - 1 and the word that follows it
+        rest = F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0)))
+        runs = F.zip_with(rest, F.slice(words, F.lit(n), F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+        grams = F.concat(grams, runs)
     return grams
 
 
@@ -44,7 +45,8 @@ def bucket_of(gram: Column, buckets: int) -> Column:
 
 def bucket_counts(texts: DataFrame, text_col: str, grams: int, buckets: int) -> DataFrame:
     """(bucket, n) of all features of all texts: counted in each task first, so a common word costs a row a task."""
-    features = texts.select(F.explode(grams_of(words_of(F.col(text_col)), grams)).alias("gram"))
+    words = texts.select(words_of(F.col(text_col)).alias("words"))
+    features = words.select(F.explode(grams_of(F.col("words"), grams)).alias("gram"))
     return features.groupBy(bucket_of(F.col("gram"), buckets).alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -109,7 +111,7 @@ def resample(
     """(doc_id, n_features, weight, score, rank) of every row of docs: rank tells the draw, and is null for rows that aren't drawn.
 
     Of the N rows with `least_words` words or more, floor(percent * N / 100) of the highest scores are drawn; ties go to the
-    smaller id, and null ids come last. Null and empty texts have no features and the weight 0; they and other short
+    smaller id, null ids come last, then fewer features. Null and empty texts have no features and the weight 0; they and other short
     rows are never drawn. Repeated rows are rows of their own, with equal scores and successive ranks. Whole texts are
     read, however long. Without rows there is no result; without targets all counts of theirs are 0. Further columns are
     ignored, whatever their names.
@@ -118,7 +120,7 @@ def resample(
     scored = written(scored.withColumn("score", F.col("weight") + gumbel("doc_id", seed)), "scores")
     fit = F.col("n_words") >= least_words
     most = percent * scored.where(fit).count() // 100
-    drawn = ranked(scored.where(fit), [F.desc("score"), F.asc_nulls_last("doc_id")], most)
+    drawn = ranked(scored.where(fit), [F.desc("score"), F.asc_nulls_last("doc_id"), F.col("n_features")], most)
     told = drawn.unionByName(scored.where(~fit).withColumn("rank", F.lit(None).cast("long")))
     return told.select("doc_id", "n_features", "weight", "score", "rank")
 

@@ -110,7 +110,7 @@ def plain_resampling(rows, target, percent, grams, buckets, least):
         weight = sum(gain[bucket(f)] for f in found) // len(found) if found else 0
         h = int(hashlib.sha256(f"2024:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
         told.append((i, n, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
-    fit = sorted((r for r in told if r[1] >= least), key=lambda r: (-r[4], r[0] is None, r[0] or 0))
+    fit = sorted((r for r in told if r[1] >= least), key=lambda r: (-r[4], r[0] is None, r[0] or 0, r[2]))
     rank = Counter()
     ranks = defaultdict(list)
     for k, r in enumerate(fit, 1):
@@ -147,16 +147,13 @@ def test_resampling_is_jvm_only(spark):
 
 def plain_runs(words, least=12):
     """Every maximal stretch at each distance; of equal stretches the smallest distance is the period."""
-    found = {}
+    found, known = {}, {}
+    ids = np.array([known.setdefault(w, len(known)) for w in words])
     for q in range(1, len(words) // 2 + 1):
-        i = 0
-        while i + q < len(words):
-            k = i
-            while k + q < len(words) and words[k] == words[k + q]:
-                k += 1
+        same = np.concatenate([[0], ids[:-q] == ids[q:], [0]]).astype(int)
+        for i, k in zip(np.flatnonzero(np.diff(same) == 1).tolist(), np.flatnonzero(np.diff(same) == -1).tolist()):
             if k - i + q >= max(least, 2 * q):
                 found.setdefault((i, k - i + q), q)
-            i = max(k, i + 1) if k == i else k + 1
     return sorted((s, n, q) for (s, n), q in found.items())
 
 
