@@ -19,6 +19,59 @@ class Conflict(RuntimeError):
     """Another writer was first."""
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """The names of the files in a folder that hold something; none where there is no folder."""
+    fs, path = _file_system(spark, folder)
+    return [f.getPath().getName() for f in fs.listStatus(path) if f.isFile() and f.getLen() > 0] if fs.exists(path) else []
+
+
+def create_exclusively(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file with this text; False where there is one. Of several writers one makes it.
+
+    The store must create files exclusively, as HDFS does; folders of this machine are served by links.
+    """
+    fs, target = _file_system(spark, path)
+    if fs.getScheme() == "file":
+        # the local file system looks before it creates, which isn't atomic; a link is
+        name = target.toUri().getPath()
+        os.makedirs(os.path.dirname(name), exist_ok=True)
+        own = f"{os.path.dirname(name)}/_{uuid.uuid4().hex}"
+        with open(own, "w") as out:
+            out.write(text)
+        try:
+            os.link(own, name)
+        except FileExistsError:
+            return False
+        finally:
+            os.remove(own)
+        return True
+    if fs.exists(target):
+        return False
+    try:
+        out = fs.create(target, False)
+    except Exception:  # it was made since; anything else is no reason to go on
+        if fs.exists(target):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def file_text(spark: SparkSession, path: str) -> str:
+    fs, target = _file_system(spark, path)
+    stream = fs.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 class Snapshots:
     """A table in a folder: each commit writes a new snapshot and then its pointer; readers see the newest pointer.
 
@@ -32,56 +85,18 @@ class Snapshots:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def versions(self) -> list[int]:
-        fs, path = self._fs()
-        if not fs.exists(path):
-            return []
-        names = [f.getPath().getName() for f in fs.listStatus(path) if f.getLen() > 0]
-        return sorted(int(n.split(".")[1]) for n in names if n.startswith("pointer."))
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+        return sorted(int(n.split(".")[1]) for n in file_names(self.spark, self.folder) if n.startswith("pointer."))
 
     def _pointer(self, version: int) -> str:
         return f"{self.folder}/pointer.{version:012d}"
 
-    def _point(self, version: int, name: str) -> bool:
-        """Make the version's pointer to a snapshot; False where there is one."""
-        fs, _ = self._fs()
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._pointer(version))
-        if fs.getScheme() == "file":
-            # the local file system looks before it creates, which isn't atomic; a link is
-            target = path.toUri().getPath()
-            own = f"{os.path.dirname(target)}/_{name}"
-            with open(own, "w") as out:
-                out.write(name)
-            try:
-                os.link(own, target)
-            except FileExistsError:
-                return False
-            finally:
-                os.remove(own)
-            return True
-        if fs.exists(path):
-            return False
-        try:
-            out = fs.create(path, False)
-        except Exception:  # it was made since; anything else is no reason to go on
-            if fs.exists(path):
-                return False
-            raise
-        out.write(bytearray(name.encode()))
-        out.close()
-        return True
-
     def commit(self, table: DataFrame, after: int | None = None) -> int:
         """The version that table is written as. With after, it must be the one that follows this version: if another
         writer has committed since, a Conflict is raised, and what the table was computed from must be read again."""
         name = uuid.uuid4().hex
         table.write.parquet(f"{self.folder}/data-{name}")
         version = (self.versions() or [0])[-1] + 1 if after is None else after + 1
-        while not self._point(version, name):
+        while not create_exclusively(self.spark, self._pointer(version), name):
             if after is not None:
                 raise Conflict(f"version {version} of {self.folder} is there already")
             version += 1
@@ -92,7 +107,7 @@ class Snapshots:
         known = self.versions()
         if len(known) <= back:
             raise LookupError(f"{self.folder} has no such version")
-        name = self.spark.read.text(self._pointer(known[-1 - back])).first()[0]
+        name = file_text(self.spark, self._pointer(known[-1 - back]))
         return self.spark.read.parquet(f"{self.folder}/data-{name}")
 
 
