@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What trimming takes off.
 TRIM = " \t\n\r\0\x0b"
@@ -101,28 +103,55 @@ def clamp_words(text: str | Column, size: int = 90) -> Column:
     return F.when(F.length(text) > size, trim(F.regexp_replace(F.substring(text, 1, size), r"(?U)\s+\S*$", ""))).otherwise(text)
 
 
+def without_needle(text: str, needle: str) -> str:
+    """Text without the needle, also where taking one out joins another together: each goes as it closes, in one pass."""
+    after = [0]  # how much of the needle's beginning stands at the end of the needle's first 1, 2, ... characters
+    for c in needle[1:]:
+        k = after[-1]
+        while k and needle[k] != c:
+            k = after[k - 1]
+        after.append(k + (needle[k] == c))
+    kept, state = [], [0]
+    for c in text:
+        k = state[-1]
+        while k and needle[k] != c:
+            k = after[k - 1]
+        kept.append(c)
+        state.append(k + (needle[k] == c))
+        if state[-1] == len(needle):
+            del kept[-len(needle) :], state[-len(needle) :]
+    return "".join(kept)
+
+
 def without_fixpoint(text: Column, needle: str) -> Column:
     """Text without the needle, also where taking one out joins another together.
 
-    Each round takes the needle out once at least, and with it one of its rarest characters; so there are as many
-    rounds as the text has of these, and texts without the needle have none.
+    Three rounds of replacing leave none in all but hostile texts; what is left then goes to Python, where one pass takes
+    out all, in time that grows with the text.
     """
-    rare = F.lit(min(needle, key=lambda c: (needle.count(c), -ord(c))))
-    bare = lambda s: F.replace(s, F.lit(needle), F.lit(""))
-    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - F.length(F.replace(text, rare, F.lit("")))))
-    return F.when(text.contains(needle), F.aggregate(rounds, text, lambda s, _: bare(s))).otherwise(text)
+
+    @F.pandas_udf(T.StringType())
+    def bare(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: without_needle(t, needle), na_action="ignore")
+
+    for _ in range(3):
+        text = F.replace(text, F.lit(needle), F.lit(""))
+    return F.coalesce(bare(F.when(text.contains(needle), text)), text)
 
 
 def hardened(text: str | Column) -> Column:
     """Text without section marks and rulers."""
+    # fixed values: what passes for a section mark and for a ruler
     text = F.regexp_replace(column(text), "[#＃]{2,}", "# # #")
     return F.regexp_replace(text, r"(?md)^[-*=]{3,}\s*$", "- - -")
 
 
 def neutralised(text: str | Column) -> Column:
     """Text in which nothing passes for the structure of a prompt: section marks, rulers, source heads, the no-answer mark."""
-    text = F.regexp_replace(hardened(text), r"(?iU)\[\s*(\d+)\s*\]\s*\(\s*Źródło\s*:", "[ $1 ] ( Źródło :")
-    return without_fixpoint(text, NO_ANSWER)
+    # the mark goes first, so that its removal can't build what is broken up after it; that in turn adds no mark
+    text = hardened(without_fixpoint(column(text), NO_ANSWER))
+    # fixed value: the head of a source in a prompt
+    return F.regexp_replace(text, r"(?iU)\[\s*(\d+)\s*\]\s*\(\s*Źródło\s*:", "[ $1 ] ( Źródło :")
 
 
 def escaped(text: str | Column) -> Column:

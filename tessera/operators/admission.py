@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,15 +11,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import question_hash
 
-SALTS = 8
 
+def told_join(rows: DataFrame, told: DataFrame, on: list[str]) -> DataFrame:
+    """rows left-joined with told, which has a row for each key at most; a null is a key like others.
 
-def salted_join(rows: DataFrame, told: DataFrame, on: list[str], spread: str) -> DataFrame:
-    """rows left-joined with told, which has a row for each key at most: told once for each salt, so that the rows of
-    one key come to several tasks, by the hash of their column `spread`."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    every = told.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(every, [*on, "_salt"], "left").drop("_salt")
+    Where told turns out small it goes to every task and rows stay where they are; else both are shuffled, and adaptive
+    execution splits the partition of a key that has much of the rows, which a left join allows.
+    """
+    named = told.select(*(F.col(c).alias(f"_on_{c}") for c in on), *(c for c in told.columns if c not in on))
+    matched = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on))
+    return rows.join(named, matched, "left").drop(*(f"_on_{c}" for c in on))
 
 
 def rate_limited(requests: DataFrame, limit: int, window: str = "hour", failed: str | None = None) -> DataFrame:
@@ -26,7 +28,8 @@ def rate_limited(requests: DataFrame, limit: int, window: str = "hour", failed:
 
     failed: a boolean column of requests whose provider call failed; these are refunded before the next request, so
     they don't count. The limit-th request that counts is found by ranks cut before the shuffle and told to the
-    address's rows by salted keys, so an address with much of the rows is no single task's.
+    address's rows, so an address with much of the rows is no single task's. Requests of a null address share its
+    limit, those of a null time a window of their own; null times and ids come first.
     """
     if limit <= 0:
         return requests.withColumn("admitted", F.lit(True))
@@ -35,7 +38,7 @@ def rate_limited(requests: DataFrame, limit: int, window: str = "hour", failed:
     rank = F.row_number().over(Window.partitionBy("ip_hash", "_window").orderBy("created_at", "id"))
     last = counted.select("ip_hash", "_window", "created_at", "id").withColumn("_rank", rank).where(F.col("_rank") <= limit)
     last = last.groupBy("ip_hash", "_window").agg(F.count("*").alias("n"), F.max(F.struct("created_at", "id")).alias("_last")).where(F.col("n") == limit)
-    joined = salted_join(keyed, last.select("ip_hash", "_window", "_last"), ["ip_hash", "_window"], "id")
+    joined = told_join(keyed, last.select("ip_hash", "_window", "_last"), ["ip_hash", "_window"])
     admitted = F.col("_last").isNull() | (F.struct("created_at", "id") <= F.col("_last"))
     return joined.select(*requests.columns, admitted.alias("admitted"))
 
@@ -101,7 +104,8 @@ def log_once(requests: DataFrame, seconds: int = 3600) -> DataFrame:
 
 
 def timeout_streaks(fetches: DataFrame, block: Column | None = None) -> DataFrame:
-    """fetches(id, queue, at, outcome: ok, timeout or failed) with `streak`: timeouts since the last success; other failures don't count.
+    """fetches(id, queue, at, outcome: ok, timeout or failed) with `streak`: timeouts since the last success; other failures
+    don't count. Fetches of a null queue are a queue's; a null time is before all others.
 
     block: an expression that grows with `at` and cuts a queue's time into parts of bounded size, as a queue may hold
     much of the rows. Each part counts for itself, and a window over the few parts of a queue tells what it starts with.
@@ -115,15 +119,15 @@ def timeout_streaks(fetches: DataFrame, block: Column | None = None) -> DataFram
     counted = islands.withColumn("_own", F.sum(timeout).over(inside))
     if block is not None:
         ends = rows.groupBy("queue", "_part").agg(F.max(F.when(F.col("outcome") == "ok", F.struct("at", "id"))).alias("_ok"))
-        since = salted_join(rows, ends, ["queue", "_part"], "id").where(F.col("_ok").isNull() | (F.struct("at", "id") > F.col("_ok")))
-        parts = ends.join(since.groupBy("queue", "_part").agg(F.sum(timeout).alias("_tail")), ["queue", "_part"], "left")
+        since = told_join(rows, ends, ["queue", "_part"]).where(F.col("_ok").isNull() | (F.struct("at", "id") > F.col("_ok")))
+        parts = told_join(ends, since.groupBy("queue", "_part").agg(F.sum(timeout).alias("_tail")), ["queue", "_part"])
         # a part with a success starts the count anew for those after it
         over = Window.partitionBy("queue").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         run = parts.withColumn("_runs", F.sum(F.when(F.col("_ok").isNotNull(), 1).otherwise(0)).over(over))
         within = Window.partitionBy("queue", "_runs").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         after = run.withColumn("_after", F.sum(F.coalesce("_tail", F.lit(0))).over(within))
         start = after.withColumn("_start", F.coalesce(F.lag("_after").over(Window.partitionBy("queue").orderBy("_part")), F.lit(0)))
-        counted = salted_join(counted, start.select("queue", "_part", "_start"), ["queue", "_part"], "id")
+        counted = told_join(counted, start.select("queue", "_part", "_start"), ["queue", "_part"])
         counted = counted.withColumn("_own", F.when(F.col("_island") == 0, F.col("_start") + F.col("_own")).otherwise(F.col("_own")))
     return counted.select(*fetches.columns, F.col("_own").alias("streak"), (F.col("_own") >= 3).alias("pause"))
 

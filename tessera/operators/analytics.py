@@ -67,15 +67,18 @@ def retained(rows: DataFrame, now: Column, keep_days: int = 0, keep_rows: int =
 
 
 def nearest_rank(rows: DataFrame, value: str, percents: list[int], by: list[str]) -> DataFrame:
-    """The value at rank ceil(p / 100 * n) of each group's n values that aren't null, for each p.
+    """The value at rank ceil(p / 100 * n) of each group's n values that aren't null, for each p. NaN is above all numbers.
 
     A sketch, whose error in ranks is bounded, brackets each; values below a bracket are only counted, and those inside
     it are ordered. So no group is collected or ordered whole.
     """
     slack = 2 / ACCURACY
     marks = [min(1.0, max(0.0, p / 100 + side)) for p in percents for side in (-slack, slack)]
-    kept = rows.where(F.col(value).isNotNull()).select(*by, F.to_json(F.struct(*by)).alias("_g"), F.col(value).alias("_v"))
-    groups = kept.groupBy("_g", *by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", marks, ACCURACY).alias("_marks"))
+    inexact = rows.schema[value].dataType.typeName() in ("float", "double")
+    number = F.nanvl(F.col(value), F.lit(float("inf"))) if inexact else F.col(value)
+    none = F.isnan(value) if inexact else F.lit(False)
+    kept = rows.where(F.col(value).isNotNull()).select(*by, F.to_json(F.struct(*by)).alias("_g"), number.alias("_v"), none.alias("_nan"))
+    groups = kept.groupBy("_g", *by).agg(F.count("*").alias("_n"), F.count(F.when(F.col("_nan"), 1)).alias("_nans"), F.percentile_approx("_v", marks, ACCURACY).alias("_marks"))
     counts = kept.groupBy("_g", "_v").agg(F.count("*").alias("_c")).join(groups.select("_g", "_n", "_marks"), "_g")
     low, high = (lambda k: F.element_at("_marks", 2 * k + 1)), (lambda k: F.element_at("_marks", 2 * k + 2))
     rank = lambda p: F.greatest(F.ceil(F.lit(p) / 100.0 * F.col("_n")), F.lit(1))
@@ -85,7 +88,9 @@ def nearest_rank(rows: DataFrame, value: str, percents: list[int], by: list[str]
     seen = F.sum("_c").over(Window.partitionBy("_g", "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = reduce(DataFrame.unionByName, inside).join(below, "_g").withColumn("_seen", seen + before).where("_seen >= _rank")
     found = placed.groupBy("_g").agg(*(F.min(F.when(F.col("_k") == k, F.col("_v"))).alias(f"p{p}") for k, p in enumerate(percents)))
-    return groups.join(found, "_g").select(*by, *(f"p{p}" for p in percents))
+    # infinity stood for NaN in the sketch: ranks in the last _nans places are NaN
+    told = lambda p: F.when(rank(p) > F.col("_n") - F.col("_nans"), F.lit(float("nan"))).otherwise(F.col(f"p{p}")) if inexact else F.col(f"p{p}")
+    return groups.join(found, "_g").select(*by, *(told(p).alias(f"p{p}") for p in percents))
 
 
 def import_legacy(history: DataFrame) -> DataFrame:

@@ -29,22 +29,27 @@ def cosine(vector: Column, query: Column) -> Column:
 
 
 def top_k(chunks: DataFrame, query: list[float] | Column, k: int = 5) -> DataFrame:
-    """(id, post_id, score) of the k best chunks; ties go to the smaller id. An empty, null or zero query finds nothing.
+    """(id, post_id, score) of the k best chunks; ties go to the smaller id. An empty, null or zero query finds nothing, and
+    vectors whose score isn't a finite number aren't found, as in the batch form.
 
     The query is a list of numbers or a column that is the same for all rows, such as a scalar subquery.
     """
     wanted = query if isinstance(query, Column) else F.array(*(F.lit(float(q)) for q in query)).cast("array<double>")
     rows = chunks.select("id", "post_id", "embedding", wanted.alias("_wanted")).where(F.col("embedding").isNotNull() & (norm(F.col("_wanted")) > 0))
-    scored = rows.select("id", "post_id", cosine(F.col("embedding"), F.col("_wanted")).alias("score")).where("score IS NOT NULL")
+    finite = F.abs("score") < F.lit(float("inf"))  # false for NaN too, which is above all numbers
+    scored = rows.select("id", "post_id", cosine(F.col("embedding"), F.col("_wanted")).alias("score")).where(finite)
     return scored.orderBy(F.desc("score"), "id").limit(max(1, k))
 
 
 def _ranked(a: np.ndarray, asked: np.ndarray, b: np.ndarray, ids: np.ndarray, posts: np.ndarray, k: int) -> pd.DataFrame:
     """The k best rows of b for each of the queries a, itself left out; ties go to the smaller id."""
     na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
-    scores = np.divide(a @ b.T, na[:, None] * nb[None, :], out=np.zeros((len(a), len(b))), where=(na[:, None] > 0) & (nb[None, :] > 0))
+    lengths = na[:, None] * nb[None, :]
+    with np.errstate(invalid="ignore"):
+        scores = np.divide(a @ b.T, lengths, out=np.zeros((len(a), len(b))), where=~(lengths <= 0))
     scores[asked[:, None] == ids[None, :]] = -np.inf
     scores[na <= 0] = -np.inf
+    scores[~np.isfinite(scores)] = -np.inf
     most = min(k, len(b))
     least = np.partition(scores, len(b) - most, axis=1)[:, len(b) - most]
     q, j = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))

@@ -92,3 +92,16 @@ def test_topics(spark, value, want):
 def test_editor_text_is_cut_at_a_space(spark):
     got = one(spark, "<p>" + "word " * 2000 + "</p>", profile.editor_text("v"))
     assert len(got) <= 6000 and got.endswith("word")
+
+
+def test_removing_the_mark_builds_no_structure(spark):
+    mark = text.NO_ANSWER
+    assert one(spark, f"#{mark}#", text.neutralised("v")) == "# # #"
+    assert one(spark, f"--{mark}-", text.neutralised("v")) == "- - -"
+    assert one(spark, f"[1]{mark} (Źródło: x)", text.neutralised("v")) == "[ 1 ] ( Źródło : x)"
+
+
+def test_removing_marks_takes_linear_time(spark):
+    nested = "__NO_ANSW" * 40_000 + "__NO_ANSWER__" + "ER__" * 40_000
+    assert one(spark, nested + "W" * 200_000, text.neutralised("v")) == "W" * 200_000
+    assert text.without_needle("aXbXXabX", "XX") == "aXbabX" and text.without_needle("aabbab", "ab") == ""

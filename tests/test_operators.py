@@ -262,3 +262,40 @@ def test_settings_stay_within_bounds(spark):
     rows = [(0.1, 0.9, 99, 5, "fr", 0.149), (1.5, 0.9, 0, 99_999, "en", 7.0), (None, None, None, -5, None, None)]
     got = [tuple(r) for r in clamped(spark.createDataFrame(rows, schema)).collect()]
     assert got == [(0.7, 0.7, 10, 128, None, 0.1), (1.0, 0.9, 1, 24_576, "en", 1.0), (None, None, None, -1, None, None)]
+
+
+def test_limits_of_null_addresses_times_and_ids(spark):
+    at = T0
+    rows = [(1, at, None), (2, at, None), (3, at, "a"), (None, at, "a"), (4, None, None), (5, None, None)]
+    frame = spark.createDataFrame(rows, "id long, created_at timestamp, ip_hash string")
+    got = {(r.id, r.ip_hash, r.created_at is None): r.admitted for r in admission.rate_limited(frame, 1).collect()}
+    assert got == {(1, None, False): True, (2, None, False): False, (None, "a", False): True, (3, "a", False): False, (4, None, True): True, (5, None, True): False}
+
+
+def test_streaks_of_a_null_queue(spark):
+    rows = [(1, None, 10, "timeout"), (2, None, 20, "timeout"), (3, None, 30, "timeout"), (4, None, 41, "ok"), (5, None, 42, "timeout"), (6, "q", None, "timeout")]
+    frame = spark.createDataFrame(rows, "id long, queue string, at long, outcome string")
+    for block in (None, F.floor(F.col("at") / 10)):
+        got = {r.id: (r.streak, r.pause) for r in admission.timeout_streaks(frame, block).collect()}
+        assert got == {1: (1, False), 2: (2, False), 3: (3, True), 4: (0, False), 5: (1, False), 6: (1, False)}
+
+
+def test_vectors_without_finite_numbers_are_not_found(spark):
+    nan, inf = float("nan"), float("inf")
+    chunks = spark.createDataFrame([(1, 1, [nan, 1.0]), (2, 1, [1.0, 0.0]), (3, 1, [inf, 1.0]), (4, 1, [0.5, 0.5]), (5, 1, None)], "id long, post_id long, embedding array<float>")
+    want = [(2, 1.0), (4, 0.7071)]
+    assert [(r.id, round(r.score, 4)) for r in retrieval.top_k(chunks, [1.0, 0.0], 5).collect()] == want
+    asked = spark.createDataFrame([(9, [1.0, 0.0]), (8, [nan, 0.0])], "query_id long, embedding array<float>")
+    for most in (1 << 20, 0):
+        for k in (5, 1):
+            got = retrieval.top_k_batch(chunks, asked, k, most_bytes=most).orderBy("rank").collect()
+            assert [(r.query_id, r.id, round(r.score, 4)) for r in got] == [(9, *w) for w in want[:k]]
+
+
+def test_ranks_with_values_that_are_no_numbers(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", v) for v in (1.0, 2.0, nan, nan)] + [("b", nan)] + [("c", v) for v in (inf, nan, 1.0, None)] + [(None, 3.0)]
+    got = {r.g: tuple(r)[1:] for r in analytics.nearest_rank(spark.createDataFrame(rows, "g string, v double"), "v", [1, 50, 60, 99], ["g"]).collect()}
+    assert repr(got["a"]) == repr((1.0, 2.0, nan, nan)) and repr(got["b"]) == repr((nan,) * 4) and repr(got["c"]) == repr((1.0, inf, inf, nan)) and got[None] == (3.0,) * 4
+    whole = spark.createDataFrame([("a", 1), ("a", 2)], "g string, v long")
+    assert [tuple(r) for r in analytics.nearest_rank(whole, "v", [50, 100], ["g"]).collect()] == [("a", 1, 2)]
