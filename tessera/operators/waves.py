@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder
+from .ranks import numbered
+
+#: Chunks of a wave, seconds from one wave to the next, seconds that a run may take.
+WAVE, PACE, BUDGET = 500, 13, 45
+PROGRESS = "post_id long, run int, state string, chunks long"
+
 #: Fixed value: the longest delay that a provider's hint may ask for, in seconds.
 MOST_DELAY = 60
 
@@ -14,6 +23,56 @@ def outcomes(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("post_id").agg(F.count("*").alias("chunks"), F.max("wave_failed").alias("failed"))
 
 
+def waves_in(budget: float, seconds: float) -> int | None:
+    """How many waves start within a budget if each takes so many seconds: one always does; None is no limit."""
+    return None if budget <= 0 or seconds <= 0 else max(1, -int(-budget // seconds))
+
+
+def planned(chunks: DataFrame, progress: DataFrame, size: int = WAVE) -> DataFrame:
+    """chunks(post_id, chunk_index, ...) of the documents that progress doesn't name as indexed, with `wave` from 0.
+
+    Waves hold `size` chunks in the order of documents and chunks; a document may lie in several. Null ids come first and
+    are one document; repeated chunks are chunks of their own.
+    """
+    done = progress.where("state = 'indexed'").select(F.col("post_id").alias("_done")).distinct()
+    left = chunks.join(done, F.col("post_id").eqNullSafe(F.col("_done")), "left_anti")
+    placed = numbered(left, [F.asc("post_id"), F.asc("chunk_index")], "_number")
+    return placed.withColumn("wave", F.floor(F.col("_number") / size).cast("long")).drop("_number")
+
+
+def index_run(
+    chunks: DataFrame, progress: DataFrame, run: int, embed: Callable[[DataFrame], DataFrame], size: int = WAVE, budget: float = BUDGET, seconds: float = PACE
+) -> tuple[DataFrame, DataFrame]:
+    """One run of the index: (chunks with wave, embedding and failed; progress after the run).
+
+    Only waves that start within the budget go to `embed`, which adds `embedding` and `failed`; a wave with a failed chunk
+    fails whole, and with it its documents. A document is indexed once all of its chunks are; one that the budget
+    has cut is left for the next run whole, as it is written whole or not at all. progress(post_id, run, state,
+    chunks) has a row for each document that a run has touched, the last run's; the next run takes up whatever isn't
+    indexed there, so runs go on until `left_over` is 0.
+    """
+    spark = chunks.sparkSession
+    waves = planned(chunks, progress, size)
+    most = waves_in(budget, seconds)
+    inside = F.lit(True) if most is None else F.col("wave") < most
+    folder = new_folder(spark, f"run-{run}")
+    sent = embed(waves.where(inside))
+    sent.write.parquet(folder)
+    sent = spark.read.schema(sent.schema).parquet(folder)
+    failed = sent.groupBy("wave").agg(F.max(F.coalesce("failed", F.lit(False))).alias("_failed"))
+    both = sent.select("post_id", "wave").unionByName(waves.where(~inside).select("post_id", "wave")).join(failed, "wave", "left")
+    state = F.when(F.max(F.coalesce("_failed", F.lit(False))), "failed").when(F.count("_failed") < F.count("*"), "budget").otherwise("indexed")
+    touched = both.groupBy("post_id").agg(F.lit(run).cast("int").alias("run"), state.alias("state"), F.count("*").alias("chunks"), F.count("_failed").alias("_sent")).where("_sent > 0").drop("_sent")
+    before = progress.join(touched.select(F.col("post_id").alias("_now")), F.col("post_id").eqNullSafe(F.col("_now")), "left_anti")
+    return sent, before.unionByName(touched)
+
+
+def left_over(chunks: DataFrame, progress: DataFrame) -> int:
+    """Documents that aren't indexed yet."""
+    done = progress.where("state = 'indexed'").select(F.col("post_id").alias("_done")).distinct()
+    return chunks.select("post_id").distinct().join(done, F.col("post_id").eqNullSafe(F.col("_done")), "left_anti").count()
+
+
 def retry_seconds(hint: Column) -> Column:
     """The leading number of a hint if it is from 1 to MOST_DELAY, else 0."""
     number = F.regexp_extract(hint, r"^\s*(\d+)", 1).try_cast("int")

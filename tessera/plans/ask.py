@@ -133,9 +133,11 @@ def cache_probe(spark, sf):
     return M.cache_probe(asked, M.cache_upsert(writes)).select("conv_id", "turn", "hit", "cached_answer")
 
 
-@query(f"WITH {LOG} SELECT id, row_number() OVER (PARTITION BY ip_hash, created_at::DATE ORDER BY created_at, id) <= 3 AS admitted FROM log")
+@query(f"WITH {LOG} SELECT id, row_number() OVER (PARTITION BY CASE WHEN user_id % 10 > 0 THEN ip_hash END, created_at::DATE ORDER BY created_at, id) <= 3 AS admitted FROM log")
 def rate_limit(spark, sf):
-    return M.rate_limited(log(spark, sf), 3, "day").select("id", "admitted")
+    """A tenth of the addresses is unknown: null is an address like others."""
+    rows = log(spark, sf).withColumn("ip_hash", F.when(F.col("user_id") % 10 > 0, F.col("ip_hash")))
+    return M.rate_limited(rows, 3, "day").select("id", "admitted")
 
 
 @query(f"WITH {LOG}, c AS (SELECT id, count(*) FILTER (status <> 'error') OVER (PARTITION BY ip_hash, created_at::DATE ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (status <> 'error')::INT AS used FROM log) SELECT id, used < 2 AS admitted FROM c")
@@ -164,10 +166,11 @@ def log_once(spark, sf):
     return M.log_once(log(spark, sf).withColumnRenamed("status", "bucket"), 86_400).select("id", "written")
 
 
-@query(f"WITH {LOG}, f AS (SELECT id, user_id AS queue, created_at AS t, CASE status WHEN 'error' THEN 'timeout' WHEN 'refused' THEN 'failed' ELSE 'ok' END AS outcome FROM log), i AS (SELECT *, sum((outcome = 'ok')::INT) OVER (PARTITION BY queue ORDER BY t, id) AS island FROM f), s AS (SELECT id, sum((outcome = 'timeout')::INT) OVER (PARTITION BY queue, island ORDER BY t, id)::BIGINT AS streak FROM i) SELECT id, streak, streak >= 3 AS pause FROM s")
+@query(f"WITH {LOG}, f AS (SELECT id, CASE WHEN user_id % 10 > 0 THEN user_id END AS queue, created_at AS t, CASE status WHEN 'error' THEN 'timeout' WHEN 'refused' THEN 'failed' ELSE 'ok' END AS outcome FROM log), i AS (SELECT *, sum((outcome = 'ok')::INT) OVER (PARTITION BY queue ORDER BY t, id) AS island FROM f), s AS (SELECT id, sum((outcome = 'timeout')::INT) OVER (PARTITION BY queue, island ORDER BY t, id)::BIGINT AS streak FROM i) SELECT id, streak, streak >= 3 AS pause FROM s")
 def timeout_streak(spark, sf):
     outcome = F.when(F.col("status") == "error", "timeout").when(F.col("status") == "refused", "failed").otherwise("ok")
-    rows = log(spark, sf).select("id", F.col("user_id").alias("queue"), F.col("created_at").alias("at"), outcome.alias("outcome"))
+    queue = F.when(F.col("user_id") % 10 > 0, F.col("user_id"))  # null is a queue like others
+    rows = log(spark, sf).select("id", queue.alias("queue"), F.col("created_at").alias("at"), outcome.alias("outcome"))
     return M.timeout_streaks(rows, F.date_trunc("day", "at")).select("id", "streak", "pause")
 
 
@@ -425,6 +428,28 @@ def wave_outcome(spark, sf):
     return outcomes(rows)
 
 
+_FLAT = "c AS (SELECT doc_id AS post_id, unnest(range(1 + greatest(0, n_chars - 1) // 1000)) AS chunk_index FROM documents)"
+
+
+@query(f"""WITH {_FLAT}, w1 AS (SELECT *, (row_number() OVER (ORDER BY post_id, chunk_index) - 1) // 100 AS w FROM c),
+b1 AS (SELECT DISTINCT w FROM w1 WHERE w < 3 AND post_id % 97 = 5), r1 AS (SELECT post_id, bool_or(w IN (SELECT w FROM b1)) AS bad, min(w) AS low, max(w) AS high, count(*) AS chunks FROM w1 GROUP BY 1),
+p1 AS (SELECT post_id, 1 AS run, CASE WHEN bad THEN 'failed' WHEN high >= 3 THEN 'budget' ELSE 'indexed' END AS state, chunks FROM r1 WHERE low < 3),
+w2 AS (SELECT *, (row_number() OVER (ORDER BY post_id, chunk_index) - 1) // 100 AS w FROM c WHERE post_id NOT IN (SELECT post_id FROM p1 WHERE state = 'indexed')),
+r2 AS (SELECT post_id, min(w) AS low, max(w) AS high, count(*) AS chunks FROM w2 GROUP BY 1),
+p2 AS (SELECT post_id, 2 AS run, CASE WHEN high >= 4 THEN 'budget' ELSE 'indexed' END AS state, chunks FROM r2 WHERE low < 4)
+SELECT * FROM p2 UNION ALL SELECT * FROM p1 WHERE post_id NOT IN (SELECT post_id FROM p2)""")
+def index_waves(spark, sf):
+    """Two runs over all documents, a chunk for each 1,000 characters: the first has time for three waves, of which some fail,
+    the second, in which all succeed, for four. A wave takes 13 seconds."""
+    from ..operators.waves import PROGRESS, index_run
+
+    last = F.floor((F.greatest(F.lit(1), "n_chars") - 1) / 1000)
+    chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("post_id"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk_index"))
+    sent = lambda failed: lambda rows: rows.withColumns({"embedding": F.array(F.lit(1.0)), "failed": failed})
+    _, first = index_run(chunks, spark.createDataFrame([], PROGRESS), 1, sent(F.col("post_id") % 97 == 5), 100, 39)
+    return index_run(chunks, first, 2, sent(F.lit(False)), 100, 40)[1]
+
+
 @query("SELECT event_id, CASE WHEN event_id % 3 < 2 AND floor(value) BETWEEN 1 AND 60 THEN floor(value) ELSE 0 END::INTEGER AS seconds FROM events")
 def retry_delay(spark, sf):
     from ..operators.waves import retry_seconds
