@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..operators import knowledge as K
+from ..operators.machines import circuit_breaker as broken
+from ..sources.chunk_table import ChunkTable
+from ..sources.ordered_log import OrderedLog
+from ..sources.shared import new_folder
 from .bindings import KNOWLEDGE, LOG, NOW, knowledge, log, now, sql_trim, table
 
 QUERIES, ORACLE = {}, {}
@@ -90,6 +94,34 @@ def replace_docs(spark, sf):
     return K.replace_documents(knowledge(spark, sf).select(columns), _new(spark, sf).where("post_id = 3").select(columns))
 
 
+@query(ORACLE["replace_docs"])
+def replace_docs_table(spark, sf):
+    """The same through a table on disk, of which only the buckets of replaced documents are written anew."""
+    columns = ["post_id", "chunk_index", "content_hash"]
+    old = knowledge(spark, sf).select(columns)
+    chunks = ChunkTable(spark, new_folder(spark, "chunks"), old.schema, buckets=16)
+    chunks.change(new=old)
+    chunks.replace(_new(spark, sf).where("post_id = 3").select(columns))
+    return chunks.read()
+
+
+@query("""SELECT l_orderkey AS post_id, l_linenumber AS chunk_index, CASE WHEN o_orderpriority = '2-HIGH' THEN TIMESTAMP '2024-01-31 00:00:00' ELSE l_shipdate END AS updated_at,
+CASE WHEN o_orderpriority = '1-URGENT' THEN l_quantity + 1 ELSE l_quantity END AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+WHERE o_orderstatus <> 'P' AND (o_orderpriority <> '1-URGENT' OR l_linenumber < 3)""")
+def rewrite_chunks(spark, sf):
+    """Line items as the chunks of their orders, in three changes: urgent orders' chunks are replaced by their first two with
+    other contents, high ones are touched, and those of pending orders are deleted."""
+    chunks = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("post_id"), F.col("l_linenumber").alias("chunk_index"), F.col("l_shipdate").alias("updated_at"), F.col("l_quantity").alias("quantity"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("post_id"), "o_orderpriority", "o_orderstatus")
+    urgent, high, pending = orders.where("o_orderpriority = '1-URGENT'"), orders.where("o_orderpriority = '2-HIGH'"), orders.where("o_orderstatus = 'P'")
+    kept = ChunkTable(spark, new_folder(spark, "chunks"), chunks.schema, buckets=16)
+    kept.change(new=chunks)
+    kept.change(new=chunks.where("chunk_index < 3").join(urgent.select("post_id"), "post_id", "left_semi").withColumn("quantity", F.col("quantity") + 1), replaced=urgent)
+    kept.touch(high, {"updated_at": now()})
+    kept.delete(pending)
+    return kept.read()
+
+
 @query(f"WITH {KNOWLEDGE} SELECT post_id, chunk_index, content, content_hash, len(embedding)::INTEGER AS dims FROM knowledge UNION ALL SELECT conv_id, turn::INTEGER, text, CASE WHEN turn = 1 THEN 'given' ELSE sha256({sql_trim('text')}) END, CASE WHEN turn % 2 = 0 THEN 2 END FROM conversations")
 def insert_chunk(spark, sf):
     e = F.expr
@@ -174,6 +206,38 @@ def log_page(spark, sf):
     return A.page(log(spark, sf), 20, 40, "answered").select("id", "created_at", "status", "source", "score")
 
 
+@query(ORACLE["log_page"])
+def log_page_seek(spark, sf):
+    """The same page, reached by going on after the marks of the two pages before it, over files in the order of pages."""
+    kept = OrderedLog(spark, new_folder(spark, "log"))
+    kept.append(log(spark, sf))
+    mark = None
+    for _ in range(2):
+        mark = kept.mark(kept.page(20, mark, "answered"))
+    return kept.page(20, mark, "answered").select("id", "created_at", "status", "source", "score")
+
+
+_ROWS = """e AS (SELECT event_id AS id, user_id % 7 AS queue, ts AS t, CASE event_type WHEN 'purchase' THEN 'probe' WHEN 'click' THEN 'resume' ELSE 'fetch' END AS kind,
+  CASE WHEN event_type = 'signup' THEN 'failed' WHEN event_type = 'error' OR value < 60 THEN 'timeout' ELSE 'ok' END AS outcome, event_id % 3 = 0 AS slow FROM events)"""
+_STEP = """CASE WHEN kind = 'fetch' AND state < 3 AND outcome = 'ok' THEN 0 WHEN kind = 'fetch' AND state < 3 AND outcome = 'timeout' THEN state + 1 WHEN kind = 'probe' AND state = 3 THEN CASE WHEN outcome = 'ok' OR slow THEN 4 ELSE 5 END
+  WHEN kind = 'resume' AND state > 3 THEN 0 ELSE state END"""
+
+
+@query(f"""WITH RECURSIVE {_ROWS}, n AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY t, id) AS n FROM e),
+r AS (SELECT id, queue, n, kind, 0 AS before, {_STEP.replace("state", "0")} AS state FROM n WHERE n = 1
+  UNION ALL SELECT n.id, n.queue, n.n, n.kind, r.state, {_STEP.replace("kind", "n.kind").replace("state", "r.state")} FROM r JOIN n ON n.queue = r.queue AND n.n = r.n + 1)
+SELECT id, CASE WHEN state < 3 THEN 'running' WHEN state = 3 THEN 'probing' ELSE 'paused' END AS status, least(state, 3)::INTEGER AS streak, CASE state WHEN 4 THEN 'concurrency' WHEN 5 THEN 'unreachable' ELSE '' END AS verdict,
+  CASE kind WHEN 'fetch' THEN before < 3 WHEN 'probe' THEN before = 3 ELSE before > 3 END AS counted FROM r""")
+def circuit_breaker(spark, sf):
+    """Events as fetches, probes and resumes of seven queues."""
+    e = F.expr
+    rows = table(spark, sf, "events").select(
+        F.col("event_id").alias("id"), e("user_id % 7").alias("queue"), F.col("ts").alias("at"), e("CASE event_type WHEN 'purchase' THEN 'probe' WHEN 'click' THEN 'resume' ELSE 'fetch' END").alias("kind"),
+        e("CASE WHEN event_type = 'signup' THEN 'failed' WHEN event_type = 'error' OR value < 60 THEN 'timeout' ELSE 'ok' END").alias("outcome"), e("event_id % 3 = 0").alias("slow"),
+    )
+    return broken(rows).select("id", "status", "streak", "verdict", "counted")
+
+
 @query("SELECT conv_id AS id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * (conv_id % 17) AS created_at, text AS topic FROM conversations WHERE turn = 0 ORDER BY 2 DESC, 1 DESC LIMIT 20 OFFSET 20")
 def gen_page(spark, sf):
     rows = table(spark, sf, "conversations").where("turn = 0")
