@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import question_hash
+from . import machines
 
 
 def told_join(rows: DataFrame, told: DataFrame, on: list[str]) -> DataFrame:
@@ -81,26 +80,28 @@ def recently_refused(requests: DataFrame, seconds: int = 3600) -> DataFrame:
     return marked.where("NOT _carried").select(*requests.columns, "cached_refusal")
 
 
-def log_once(requests: DataFrame, seconds: int = 3600) -> DataFrame:
+def log_once(requests: DataFrame, seconds: int = 3600, block: int = machines.BLOCK) -> DataFrame:
     """requests(id, ip_hash, bucket, created_at) with `written`: none less than `seconds` after the key's last written one.
 
-    Whether a row is written depends on the one written before, so a key's rows are read in order; a task streams
-    its sorted rows and remembers one mark.
+    Whether a row is written depends on the one written before. A key's rows are cut into blocks, each of which tells for
+    every time that it may be entered with which one it is left with; so a key with much of the rows is many tasks.
     """
-    keyed = requests.select("id", "ip_hash", "bucket", "created_at", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"))
-    ordered = keyed.repartition("ip_hash", "bucket").sortWithinPartitions("ip_hash", "bucket", "at", "id")
-
-    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, 0
-        for frame in frames:
-            written = []
-            for row in zip(frame["ip_hash"], frame["bucket"], frame["at"]):
-                new = row[:2] != key or row[2] - last >= seconds * 1_000_000
-                key, last = row[:2], row[2] if new else last
-                written.append(new)
-            yield frame[["id", "ip_hash", "bucket", "created_at"]].assign(written=written)
-
-    return ordered.mapInPandas(mark, keyed.drop("at").withColumn("written", F.lit(True)).schema)
+    keyed = requests.select("id", "ip_hash", "bucket", "created_at", F.to_json(F.struct("ip_hash", "bucket")).alias("_log_key"))
+    marked = machines.held_marks(keyed, "_log_key", "created_at", ["created_at", "id"], F.lit(seconds * 1_000_000), block)
+    return marked.select("id", "ip_hash", "bucket", "created_at", F.col("marked").alias("written"))
+
+
+#: Seconds that a model isn't asked after it has refused for a quota a day, and for others.
+DAY_COOLDOWN, COOLDOWN = 3600, 60
+
+
+def cooled_down(calls: DataFrame, block: int = machines.BLOCK) -> DataFrame:
+    """calls(id, at, pool, model, refused, scope) with `skipped` and `starts`: a call that is refused for a quota starts a
+    cooldown of its pool's model, a long one if the quota is a day's; calls inside of it are skipped, so that what they
+    would have got doesn't count."""
+    lasts = F.when(F.coalesce("refused", F.lit(False)), F.when(F.col("scope") == "day", F.lit(DAY_COOLDOWN)).otherwise(F.lit(COOLDOWN)).cast("long") * 1_000_000)
+    keyed = calls.withColumn("_pool", F.to_json(F.struct("pool", "model")))
+    return machines.held_marks(keyed, "_pool", "at", ["at", "id"], lasts, block).select(*calls.columns, F.col("held").alias("skipped"), F.col("marked").alias("starts"))
 
 
 def timeout_streaks(fetches: DataFrame, block: Column | None = None) -> DataFrame:

@@ -1,12 +1,17 @@
-"""State machines with a few states over the ordered rows of a key, folded block by block.
+"""State machines over the ordered rows of a key, folded block by block.
 
-A row's transition says for each state which one follows. Transitions compose, and composition is associative: so
-the rows of a block make one transition, blocks of blocks make one, until few are left, and the states that these begin with
-are handed down again. A key with much of the rows is as many tasks as it has blocks.
+A row's step says which state follows each. Steps compose, and composition is associative: so the rows of a block make
+one step, blocks of blocks make one, until few are left, and the states that these begin with are handed down again.
+A key with much of the rows is as many tasks as it has blocks.
+
+Two kinds of machines: with a few states, whose steps are arrays; and with a time until which the key is held, whose
+steps are ascending times with what each leads to.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,60 +33,150 @@ def _written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def _composed(frame: pd.DataFrame) -> np.ndarray:
-    whole = None
-    for step in frame["_step"]:
-        whole = np.asarray(step) if whole is None else np.asarray(step)[whole]
-    return whole
-
-
-def _begins(steps: DataFrame, key: str, start: int, block: int) -> DataFrame:
+class Few:
+    """A few states, numbered: a step is an array of the states that follow."""
+
+    state, step = "int", "array<int>"
+
+    @staticmethod
+    def apply(step, state: int) -> int:
+        return int(step[state])
+
+    @staticmethod
+    def compose(steps: list) -> np.ndarray:
+        whole = np.asarray(steps[0])
+        for step in steps[1:]:
+            whole = np.asarray(step)[whole]
+        return whole
+
+
+class Held:
+    """A time until which a key is held. A step is (times, until): held until s or earlier, the key's next mark is at the
+    first of times that isn't before s, and after all marks it is held until that entry of `until`; without such a time it
+    is held until s as before."""
+
+    state, step = "long", "struct<times: array<long>, until: array<long>>"
+
+    @staticmethod
+    def apply(step, state: int) -> int:
+        at = int(np.searchsorted(np.asarray(step["times"], np.int64), state))
+        return state if at == len(step["times"]) else int(step["until"][at])
+
+    @staticmethod
+    def compose(steps: list) -> dict:
+        times, until = np.empty(0, np.int64), np.empty(0, np.int64)
+        for step in reversed(steps):
+            leads = np.asarray(step["until"], np.int64)
+            at = np.searchsorted(times, leads)
+            leads = np.where(at == len(times), leads, np.append(until, 0)[at])
+            times, until = np.concatenate([np.asarray(step["times"], np.int64), times]), np.concatenate([leads, until])
+            last = np.append(until[1:] != until[:-1], True)[: len(until)]  # of times that lead to the same, the last is enough
+            times, until = times[last], until[last]
+        return {"times": times.tolist(), "until": until.tolist()}
+
+    @staticmethod
+    def marks(times: np.ndarray, lasts: np.ndarray, state: int) -> list[int]:
+        """The rows that become marks: the first that isn't before the state, then the first after each mark's time, and so on."""
+        found, at = [], int(np.searchsorted(times, state))
+        while at < len(times):
+            found.append(at)
+            at = max(at + 1, int(np.searchsorted(times, times[at] + lasts[at])))
+        return found
+
+    @staticmethod
+    def of_rows(times: np.ndarray, lasts: np.ndarray) -> dict:
+        ends = times + lasts
+        then = np.maximum(np.searchsorted(times, ends), np.arange(len(times)) + 1)
+        until = ends.copy()
+        for k in range(len(times) - 1, -1, -1):
+            if then[k] < len(times):
+                until[k] = until[then[k]]
+        return Held.compose([{"times": times, "until": until}])
+
+
+def _begins(steps: DataFrame, key: str, kind, start: int, block: int) -> DataFrame:
     """(key, _block, _state): the state that each block of steps(key, _block, _step) begins with."""
-    kind = steps.schema[key].dataType.simpleString()
+    named = f"`{key}` {steps.schema[key].dataType.simpleString()}"
     most = steps.agg(F.max("_block")).first()[0]
 
     def fold(frame: pd.DataFrame, state: int) -> pd.DataFrame:
         frame, states = frame.sort_values("_block"), []
         for step in frame["_step"]:
             states.append(state)
-            state = int(step[state])
+            state = kind.apply(step, state)
         return frame[[key, "_block"]].assign(_state=states)
 
-    told = f"`{key}` {kind}, _block long, _state int"
+    told = f"{named}, _block long, _state {kind.state}"
     if most is None or most < block:
         return steps.groupBy(key).applyInPandas(lambda frame: fold(frame, start), told)
     above = steps.withColumn("_above", F.floor(F.col("_block") / block).cast("long"))
-    upper = above.groupBy(key, "_above").applyInPandas(lambda f: pd.DataFrame({key: [f[key].iloc[0]], "_block": [f["_above"].iloc[0]], "_step": [_composed(f.sort_values("_block")).tolist()]}), f"`{key}` {kind}, _block long, _step array<int>")
-    begun = _begins(_written(upper, "blocks"), key, start, block).select(F.col(key).alias("_key"), F.col("_block").alias("_over"), F.col("_state").alias("_first"))
+    upper = above.groupBy(key, "_above").applyInPandas(lambda f: pd.DataFrame({key: [f[key].iloc[0]], "_block": [f["_above"].iloc[0]], "_step": [kind.compose(f.sort_values("_block")["_step"].to_list())]}), f"{named}, _block long, _step {kind.step}")
+    begun = _begins(_written(upper, "blocks"), key, kind, start, block).select(F.col(key).alias("_key"), F.col("_block").alias("_over"), F.col("_state").alias("_first"))
     both = above.join(begun, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_above") == F.col("_over"))).drop("_key", "_over")
     return both.groupBy(key, "_above").applyInPandas(lambda f: fold(f, int(f["_first"].iloc[0])), told)
 
 
+def _folded(rows: DataFrame, key: str, order: list[str], given: list[str], kind, start: int, block: int, compose: Callable[[pd.DataFrame], object], run: Callable[[pd.DataFrame, int], dict[str, list]], told: str) -> DataFrame:
+    """rows with the columns `told` that run gives for each block and the state that it begins with."""
+    placed = _written(numbered(rows, [F.asc(key), *(F.asc(c) for c in order)], "_number"), "numbered").withColumn("_block", F.floor(F.col("_number") / block).cast("long"))
+    named = f"`{key}` {rows.schema[key].dataType.simpleString()}"
+    one = lambda f: pd.DataFrame({key: [f[key].iloc[0]], "_block": [f["_block"].iloc[0]], "_step": [compose(f.sort_values("_number"))]})
+    seen = placed.select(key, "_block", "_number", *given)
+    steps = _written(seen.groupBy(key, "_block").applyInPandas(one, f"{named}, _block long, _step {kind.step}"), "blocks")
+    begins = _begins(steps, key, kind, start, block).select(F.col(key).alias("_key"), F.col("_block").alias("_of"), "_state")
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_number")
+        return pd.DataFrame({"_number": frame["_number"], **run(frame, int(frame["_state"].iloc[0]))})
+
+    both = seen.join(begins, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_of"))).drop("_key", "_of")
+    found = both.groupBy(key, "_block").applyInPandas(work, f"_number long, {told}")
+    return placed.join(found, "_number")
+
+
 def states_after(rows: DataFrame, key: str, order: list[str], step: Column, start: int = 0, block: int = BLOCK) -> DataFrame:
-    """rows with `state_before` and `state` of their key's machine, which starts in `start`.
+    """rows with `state_before` and `state` of their key's machine of a few states, which starts in `start`.
 
     step: for each state the next one, as an array of ints. A null key is a key like others; nulls in the order come first.
     The rows of a key are read in the order given, which should tell them apart.
     """
-    placed = _written(numbered(rows.withColumn("_step", step.cast("array<int>")), [F.asc(key), *(F.asc(c) for c in order)], "_number"), "numbered")
-    placed = placed.withColumn("_block", F.floor(F.col("_number") / block).cast("long"))
-    kind = rows.schema[key].dataType.simpleString()
-    compose = lambda f: pd.DataFrame({key: [f[key].iloc[0]], "_block": [f["_block"].iloc[0]], "_step": [_composed(f.sort_values("_number")).tolist()]})
-    steps = placed.select(key, "_block", "_number", "_step").groupBy(key, "_block").applyInPandas(compose, f"`{key}` {kind}, _block long, _step array<int>")
-    begins = _begins(_written(steps, "blocks"), key, start, block).select(F.col(key).alias("_key"), F.col("_block").alias("_of"), "_state")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_number")
-        state, before = int(frame["_state"].iloc[0]), []
-        for s in frame["_step"]:
-            before.append(state)
-            state = int(s[state])
-        after = [*before[1:], state]
-        return frame[["_number"]].assign(state_before=before, state=after)
-
-    both = placed.join(begins, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_of")))
-    told = both.select(key, "_block", "_number", "_step", "_state").groupBy(key, "_block").applyInPandas(run, "_number long, state_before int, state int")
-    return placed.join(told, "_number").select(*rows.columns, "state_before", "state")
+
+    def run(frame: pd.DataFrame, state: int) -> dict[str, list]:
+        states = [state]
+        for step in frame["_step"]:
+            states.append(int(step[states[-1]]))
+        return {"state_before": states[:-1], "state": states[1:]}
+
+    stepped = rows.withColumn("_step", step.cast("array<int>"))
+    told = _folded(stepped, key, order, ["_step"], Few, start, block, lambda f: Few.compose(f["_step"].to_list()).tolist(), run, "state_before int, state int")
+    return told.select(*rows.columns, "state_before", "state")
+
+
+def held_marks(rows: DataFrame, key: str, at: str, order: list[str], lasts: Column, block: int = BLOCK) -> DataFrame:
+    """rows with `marked` and `held`: a row becomes a mark if its `lasts` (microseconds from its time `at`, null for none)
+    isn't null and its key isn't held by the mark before; then the key is held until that time is over.
+
+    Whether a row is a mark depends on all before it, so the rows are folded in blocks. A null key is a key like others;
+    null times come before all others, as one time.
+    """
+
+    def able(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        where = np.flatnonzero(frame["_lasts"].notna().to_numpy())
+        return where, frame["_at"].to_numpy(np.int64)[where], frame["_lasts"].to_numpy(float)[where].astype(np.int64)
+
+    def run(frame: pd.DataFrame, state: int) -> dict[str, list]:
+        where, times, lasts = able(frame)
+        found = Held.marks(times, lasts, state)
+        marked = np.zeros(len(frame), bool)
+        until = np.full(len(frame), state, np.int64)
+        marked[where[found]] = True
+        for k in found:
+            until[where[k] + 1 :] = times[k] + lasts[k]
+        return {"marked": marked, "held": frame["_at"].to_numpy(np.int64) < until}
+
+    timed = rows.withColumns({"_at": F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(1 << 61))), "_lasts": lasts.cast("long")})
+    told = _folded(timed, key, order, ["_at", "_lasts"], Held, -(1 << 62), block, lambda f: Held.of_rows(*able(f)[1:]), run, "marked boolean, held boolean")
+    return told.select(*rows.columns, "marked", "held")
 
 
 def breaker_step() -> Column:

@@ -17,12 +17,12 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "number") -> Data
     the partitions' sizes, a row each, meet in one place.
     """
     folder = new_folder(rows.sparkSession, "ranges")
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
     sorted_rows.write.parquet(folder)
     placed = rows.sparkSession.read.schema(sorted_rows.schema).parquet(folder)
-    part = F.shiftrightunsigned("_at", BITS)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).agg(F.collect_list(F.struct("_part", "_n")).alias("parts"))
-    before = F.transform("parts", lambda p: F.struct(p["_part"].alias("_part"), F.aggregate(F.filter("parts", lambda q: q["_part"] < p["_part"]), F.lit(0).cast("long"), lambda a, q: a + q["_n"]).alias("_before")))
+    part = F.shiftrightunsigned("__place", BITS)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).agg(F.collect_list(F.struct("__part", "__n")).alias("parts"))
+    before = F.transform("parts", lambda p: F.struct(p["__part"].alias("__part"), F.aggregate(F.filter("parts", lambda q: q["__part"] < p["__part"]), F.lit(0).cast("long"), lambda a, q: a + q["__n"]).alias("__before")))
     offsets = sizes.select(F.explode(before).alias("o")).select("o.*")
-    met = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part", "left")
-    return met.select(*rows.columns, (F.col("_before") + F.col("_at").bitwiseAND((1 << BITS) - 1)).alias(name))
+    met = placed.withColumn("__part", part).join(F.broadcast(offsets), "__part", "left")
+    return met.select(*rows.columns, (F.col("__before") + F.col("__place").bitwiseAND((1 << BITS) - 1)).alias(name))
