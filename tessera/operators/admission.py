@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,15 +82,32 @@ def recently_refused(requests: DataFrame, seconds: int = 3600) -> DataFrame:
     return marked.where("NOT _carried").select(*requests.columns, "cached_refusal")
 
 
-def log_once(requests: DataFrame, seconds: int = 3600, block: int = machines.BLOCK) -> DataFrame:
+def log_once(requests: DataFrame, seconds: int = 3600, block: int = machines.BLOCK, most: int = 1_000_000) -> DataFrame:
     """requests(id, ip_hash, bucket, created_at) with `written`: none less than `seconds` after the key's last written one.
 
-    Whether a row is written depends on the one written before. A key's rows are cut into blocks, each of which tells for
-    every time that it may be entered with which one it is left with; so a key with much of the rows is many tasks.
+    Whether a row is written depends on the one written before. Where a count shows that no key has more than `most` rows,
+    a task streams its keys' sorted rows and remembers one mark. Else rows are cut into blocks, each of which tells for
+    every time that a key may enter it with which one it leaves; so a key with much of the rows is many tasks.
     """
+    micros = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(-(1 << 61)))
     keyed = requests.select("id", "ip_hash", "bucket", "created_at", F.to_json(F.struct("ip_hash", "bucket")).alias("_log_key"))
-    marked = machines.held_marks(keyed, "_log_key", "created_at", ["created_at", "id"], F.lit(seconds * 1_000_000), block)
-    return marked.select("id", "ip_hash", "bucket", "created_at", F.col("marked").alias("written"))
+    hottest = keyed.groupBy("_log_key").count().agg(F.max("count")).first()[0] or 0
+    if hottest > most:
+        marked = machines.held_marks(keyed, "_log_key", "created_at", ["created_at", "id"], F.lit(seconds * 1_000_000), block)
+        return marked.select("id", "ip_hash", "bucket", "created_at", F.col("marked").alias("written"))
+    ordered = keyed.withColumn("_micros", micros).repartition("_log_key").sortWithinPartitions("_log_key", "_micros", "id")
+
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, until = None, 0
+        for frame in frames:
+            written = []
+            for own, at in zip(frame["_log_key"].tolist(), frame["_micros"].tolist()):
+                new = own != key or at >= until
+                key, until = own, at + seconds * 1_000_000 if new else until
+                written.append(new)
+            yield frame[["id", "ip_hash", "bucket", "created_at"]].assign(written=written)
+
+    return ordered.mapInPandas(mark, keyed.drop("_log_key").withColumn("written", F.lit(True)).schema)
 
 
 #: Seconds that a model isn't asked after it has refused for a quota a day, and for others.

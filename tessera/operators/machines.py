@@ -86,12 +86,12 @@ class Held:
     @staticmethod
     def of_rows(times: np.ndarray, lasts: np.ndarray) -> dict:
         ends = times + lasts
-        then = np.maximum(np.searchsorted(times, ends), np.arange(len(times)) + 1)
-        until = ends.copy()
-        for k in range(len(times) - 1, -1, -1):
-            if then[k] < len(times):
+        then = np.maximum(np.searchsorted(times, ends), np.arange(len(times)) + 1).tolist()
+        until = ends.tolist()
+        for k in range(len(until) - 1, -1, -1):
+            if then[k] < len(until):
                 until[k] = until[then[k]]
-        return Held.compose([{"times": times, "until": until}])
+        return Held.compose([{"times": times, "until": np.array(until, np.int64)}])
 
 
 def _begins(steps: DataFrame, key: str, kind, start: int, block: int) -> DataFrame:
@@ -116,22 +116,53 @@ def _begins(steps: DataFrame, key: str, kind, start: int, block: int) -> DataFra
     return both.groupBy(key, "_above").applyInPandas(lambda f: fold(f, int(f["_first"].iloc[0])), told)
 
 
-def _folded(rows: DataFrame, key: str, order: list[str], given: list[str], kind, start: int, block: int, compose: Callable[[pd.DataFrame], object], run: Callable[[pd.DataFrame, int], dict[str, list]], told: str) -> DataFrame:
-    """rows with the columns `told` that run gives for each block and the state that it begins with."""
+Rows = dict[str, np.ndarray]
+
+
+def _parts(frame: pd.DataFrame, key: str, given: list[str]) -> tuple[np.ndarray, list[Rows]]:
+    """The first row of each key in a block of rows that is ordered by keys, and each key's rows."""
+    keys, none = frame[key].to_numpy(object), frame[key].isna().to_numpy()
+    new = (keys[1:] != keys[:-1]) & ~(none[1:] & none[:-1])
+    begins = np.concatenate([[0], np.flatnonzero(new) + 1])
+    columns = {c: frame[c].to_numpy() for c in given}
+    return begins, [{c: v[b:e] for c, v in columns.items()} for b, e in zip(begins, [*begins[1:], len(frame)])]
+
+
+def _folded(rows: DataFrame, key: str, order: list[str], given: list[str], kind, start: int, block: int, compose: Callable[[Rows], object], run: Callable[[Rows, int], tuple], told: list[str]) -> DataFrame:
+    """rows with the columns `told` (name and type) that run gives for a key's rows in a block and the state that they begin with.
+
+    Rows are numbered by key and order and cut into blocks of as many. Only the first and the last key of a block reach
+    into others, so only their steps are handed up and their states down.
+    """
     placed = _written(numbered(rows, [F.asc(key), *(F.asc(c) for c in order)], "_number"), "numbered").withColumn("_block", F.floor(F.col("_number") / block).cast("long"))
     named = f"`{key}` {rows.schema[key].dataType.simpleString()}"
-    one = lambda f: pd.DataFrame({key: [f[key].iloc[0]], "_block": [f["_block"].iloc[0]], "_step": [compose(f.sort_values("_number"))]})
     seen = placed.select(key, "_block", "_number", *given)
-    steps = _written(seen.groupBy(key, "_block").applyInPandas(one, f"{named}, _block long, _step {kind.step}"), "blocks")
-    begins = _begins(steps, key, kind, start, block).select(F.col(key).alias("_key"), F.col("_block").alias("_of"), "_state")
+
+    def ends(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_number")
+        begins, parts = _parts(frame, key, given)
+        which = [0] if len(parts) == 1 else [0, len(parts) - 1]
+        keys = frame[key].to_numpy(object)
+        return pd.DataFrame({key: pd.Series([keys[begins[k]] for k in which], dtype=frame[key].dtype), "_block": [frame["_block"].iloc[0]] * len(which), "_last": [k > 0 for k in which], "_step": [compose(parts[k]) for k in which]})
+
+    steps = _written(seen.groupBy("_block").applyInPandas(ends, f"{named}, _block long, _last boolean, _step {kind.step}"), "blocks")
+    found = _begins(steps.drop("_last"), key, kind, start, block).select(F.col(key).alias("_key"), F.col("_block").alias("_of"), "_state")
+    states = steps.drop("_step").join(found, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_of")))
+    begins = states.groupBy("_of").agg(F.max(F.when(~F.col("_last"), F.col("_state"))).alias("_first_state"), F.max(F.when(F.col("_last"), F.col("_state"))).alias("_last_state"))
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_number")
-        return pd.DataFrame({"_number": frame["_number"], **run(frame, int(frame["_state"].iloc[0]))})
+        _, parts = _parts(frame, key, given)
+        states = [start] * len(parts)
+        states[0] = int(frame["_first_state"].iloc[0])
+        if len(parts) > 1:
+            states[-1] = int(frame["_last_state"].iloc[0])
+        columns = zip(*(run(part, state) for part, state in zip(parts, states)))
+        return pd.DataFrame({"_number": frame["_number"].to_numpy(), **{t.split(" ")[0]: np.concatenate(c) for t, c in zip(told, columns)}})
 
-    both = seen.join(begins, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_of"))).drop("_key", "_of")
-    found = both.groupBy(key, "_block").applyInPandas(work, f"_number long, {told}")
-    return placed.join(found, "_number")
+    both = seen.join(begins, F.col("_block") == F.col("_of")).drop("_of")
+    marked = both.groupBy("_block").applyInPandas(work, ", ".join(["_number long", *told]))
+    return placed.join(marked, "_number")
 
 
 def states_after(rows: DataFrame, key: str, order: list[str], step: Column, start: int = 0, block: int = BLOCK) -> DataFrame:
@@ -141,14 +172,14 @@ def states_after(rows: DataFrame, key: str, order: list[str], step: Column, star
     The rows of a key are read in the order given, which should tell them apart.
     """
 
-    def run(frame: pd.DataFrame, state: int) -> dict[str, list]:
+    def run(part: Rows, state: int) -> tuple:
         states = [state]
-        for step in frame["_step"]:
+        for step in part["_step"]:
             states.append(int(step[states[-1]]))
-        return {"state_before": states[:-1], "state": states[1:]}
+        return states[:-1], states[1:]
 
     stepped = rows.withColumn("_step", step.cast("array<int>"))
-    told = _folded(stepped, key, order, ["_step"], Few, start, block, lambda f: Few.compose(f["_step"].to_list()).tolist(), run, "state_before int, state int")
+    told = _folded(stepped, key, order, ["_step"], Few, start, block, lambda part: Few.compose(list(part["_step"])).tolist(), run, ["state_before int", "state int"])
     return told.select(*rows.columns, "state_before", "state")
 
 
@@ -160,22 +191,22 @@ def held_marks(rows: DataFrame, key: str, at: str, order: list[str], lasts: Colu
     null times come before all others, as one time.
     """
 
-    def able(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        where = np.flatnonzero(frame["_lasts"].notna().to_numpy())
-        return where, frame["_at"].to_numpy(np.int64)[where], frame["_lasts"].to_numpy(float)[where].astype(np.int64)
+    def able(part: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        where = np.flatnonzero(part["_lasts"] >= 0)
+        return where, part["_micros"][where], part["_lasts"][where]
 
-    def run(frame: pd.DataFrame, state: int) -> dict[str, list]:
-        where, times, lasts = able(frame)
+    def run(part: Rows, state: int) -> tuple:
+        where, times, lasts = able(part)
         found = Held.marks(times, lasts, state)
-        marked = np.zeros(len(frame), bool)
-        until = np.full(len(frame), state, np.int64)
-        marked[where[found]] = True
+        marked, until = np.zeros(len(part["_micros"]), bool), np.full(len(part["_micros"]), state, np.int64)
         for k in found:
+            marked[where[k]] = True
             until[where[k] + 1 :] = times[k] + lasts[k]
-        return {"marked": marked, "held": frame["_at"].to_numpy(np.int64) < until}
+        return marked, part["_micros"] < until
 
-    timed = rows.withColumns({"_at": F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(1 << 61))), "_lasts": lasts.cast("long")})
-    told = _folded(timed, key, order, ["_at", "_lasts"], Held, -(1 << 62), block, lambda f: Held.of_rows(*able(f)[1:]), run, "marked boolean, held boolean")
+    micros = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(1 << 61)))
+    timed = rows.withColumns({"_micros": micros, "_lasts": F.when(lasts.isNotNull(), F.greatest(lasts.cast("long"), F.lit(0))).otherwise(F.lit(-1))})
+    told = _folded(timed, key, order, ["_micros", "_lasts"], Held, -(1 << 62), block, lambda part: Held.of_rows(*able(part)[1:]), run, ["marked boolean", "held boolean"])
     return told.select(*rows.columns, "marked", "held")
 
 
