@@ -41,7 +41,7 @@ class ChunkTable:
         if not 0 < buckets <= MOST_BUCKETS:
             raise ValueError(f"buckets must be from 1 to {MOST_BUCKETS}")
         if schema is not None:
-            made = {"schema": schema.jsonValue(), "key": key, "buckets": buckets, "spread": spread, "fence": 0, "hit": [], "folders": {}}
+            made = {"schema": schema.jsonValue(), "key": key, "buckets": buckets, "spread": spread, "fence": 0, "batches": {}, "hit": [], "folders": {}}
             create_exclusively(spark, self._manifest(0), json.dumps(made))
         first = self.manifest(0)
         self.schema, self.key, self.buckets, self.spread = T.StructType.fromJson(first["schema"]), first["key"], first["buckets"], first["spread"]
@@ -79,14 +79,18 @@ class ChunkTable:
 
     def change(
         self, new: DataFrame | None = None, replaced: DataFrame | None = None, touched: DataFrame | None = None, touch: dict[str, Column] | None = None,
-        base: int | None = None, lease: Lease | None = None,
+        base: int | None = None, lease: Lease | None = None, batch: tuple[str, int] | None = None,
     ) -> Commit:
         """One transaction: documents of `replaced`(key) lose their chunks, those of `touched`(key) get the columns of
         `touch`, rows of `new` are added; then it is committed upon the version `base`, the newest if none is named.
 
-        With a lease, its holder must still have it, and a table that has seen a later holder refuses it.
+        With a lease, its holder must still have it, and a table that has seen a later holder refuses it. With a batch
+        (a writer's name, number), the change is made once: if the table has seen this number or a later one of the
+        writer, nothing is done.
         """
         base = self.version() if base is None else base
+        if batch and self.manifest(base)["batches"].get(batch[0], -1) >= batch[1]:
+            return Commit(base, [])
         keys = [f.select(self.key) for f in (new, replaced, touched) if f is not None]
         if not keys:
             return Commit(base, [])
@@ -109,17 +113,20 @@ class ChunkTable:
         dealt.write.partitionBy("_bucket").parquet(f"{self.folder}/{name}")
         fs, path = _file_system(self.spark, f"{self.folder}/{name}")
         written = {int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(path) if f.isDirectory()}
-        return self._commit(base, hit, {str(b): f"{name}/_bucket={b}" for b in written}, lease)
+        return self._commit(base, hit, {str(b): f"{name}/_bucket={b}" for b in written}, lease, batch)
 
-    def _commit(self, base: int, hit: list[int], folders: dict[str, str], lease: Lease | None) -> Commit:
+    def _commit(self, base: int, hit: list[int], folders: dict[str, str], lease: Lease | None, batch: tuple[str, int] | None = None) -> Commit:
         version = base
         seen = self.manifest(version)
         while True:
             fence = lease.check() if lease else seen["fence"]
             if fence < seen["fence"]:
                 raise Conflict(f"{self.folder} has a later holder")
+            if batch and seen["batches"].get(batch[0], -1) >= batch[1]:
+                return Commit(version, [])
+            batches = {**seen["batches"], **({batch[0]: batch[1]} if batch else {})}
             carried = {b: f for b, f in seen["folders"].items() if int(b) not in hit}
-            if create_exclusively(self.spark, self._manifest(version + 1), json.dumps({**seen, "fence": fence, "hit": hit, "folders": {**carried, **folders}})):
+            if create_exclusively(self.spark, self._manifest(version + 1), json.dumps({**seen, "fence": fence, "batches": batches, "hit": hit, "folders": {**carried, **folders}})):
                 return Commit(version + 1, hit)
             version += 1
             seen = self.manifest(version)
