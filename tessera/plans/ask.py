@@ -10,6 +10,8 @@ from ..functions import vectors as V
 from ..operators import admission as M
 from ..operators import faq as Q
 from ..operators import retrieval as R
+from ..sources.answer_cache import AnswerCache
+from ..sources.shared import new_folder
 from .bindings import KNOWLEDGE, LOG, PAIRS, POSTS, SPACE, knowledge, log, pairs, posts, sql_trim, table
 from .ingest import unescaped_sql, without_elements_sql
 
@@ -166,6 +168,30 @@ def log_once(spark, sf):
     return M.log_once(log(spark, sf).withColumnRenamed("status", "bucket"), 86_400).select("id", "written")
 
 
+_CALLS = "k AS (SELECT id, created_at AS t, user_id % 5 AS pool, source AS model, status = 'error' AS refused, CASE WHEN id % 4 = 0 THEN 3600 ELSE 60 END AS lasts FROM log)"
+
+
+@query(f"""WITH RECURSIVE {LOG}, {_CALLS}, n AS (SELECT *, row_number() OVER (PARTITION BY pool, model ORDER BY t, id) AS n FROM k),
+r AS (SELECT id, pool, model, n, false AS skipped, CASE WHEN refused THEN t + lasts * INTERVAL 1 SECOND END AS until FROM n WHERE n = 1
+  UNION ALL SELECT n.id, n.pool, n.model, n.n, coalesce(n.t < r.until, false), CASE WHEN n.refused AND coalesce(n.t >= r.until, true) THEN n.t + n.lasts * INTERVAL 1 SECOND ELSE r.until END FROM r JOIN n ON n.pool = r.pool AND n.model = r.model AND n.n = r.n + 1)
+SELECT id, skipped FROM r""")
+def cooldown(spark, sf):
+    """The log as calls of ten models: a refused one starts a cooldown, a quarter of them for a day's quota."""
+    scope = F.when(F.col("id") % 4 == 0, "day").otherwise("minute")
+    calls = log(spark, sf).select("id", F.col("created_at").alias("at"), (F.col("user_id") % 5).alias("pool"), F.col("source").alias("model"), (F.col("status") == "error").alias("refused"), scope.alias("scope"))
+    return M.cooled_down(calls).select("id", "skipped")
+
+
+@query(ORACLE["cache_upsert"])
+def cache_batches(spark, sf):
+    """The same cache, kept up on disk by three batches in no order of time."""
+    writes = log(spark, sf).withColumn("answer", F.concat(F.lit("answer "), "id"))
+    kept = AnswerCache(spark, new_folder(spark, "cache"), 16)
+    for number, part in enumerate((2, 0, 1)):
+        kept.write(writes.where(F.col("id") % 3 == part), "s", number)
+    return kept.read("s").select("question_hash", "id", "question", "answer", "score", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+
+
 @query(f"WITH {LOG}, f AS (SELECT id, CASE WHEN user_id % 10 > 0 THEN user_id END AS queue, created_at AS t, CASE status WHEN 'error' THEN 'timeout' WHEN 'refused' THEN 'failed' ELSE 'ok' END AS outcome FROM log), i AS (SELECT *, sum((outcome = 'ok')::INT) OVER (PARTITION BY queue ORDER BY t, id) AS island FROM f), s AS (SELECT id, sum((outcome = 'timeout')::INT) OVER (PARTITION BY queue, island ORDER BY t, id)::BIGINT AS streak FROM i) SELECT id, streak, streak >= 3 AS pause FROM s")
 def timeout_streak(spark, sf):
     outcome = F.when(F.col("status") == "error", "timeout").when(F.col("status") == "refused", "failed").otherwise("ok")
