@@ -402,6 +402,39 @@ def embedding_codec(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.size(back).alias("dims"), (back == F.col("embedding")).alias("same"))
 
 
+@query("""SELECT conv_id, turn, CASE WHEN conv_id % 11 = 0 THEN 'parse' WHEN conv_id % 7 = 0 THEN 'blocked' WHEN turn % 4 = 2 THEN 'blocked' WHEN role <> 'system' AND conv_id % 5 > 0 THEN 'ok' WHEN turn % 4 = 1 THEN 'truncated' ELSE 'parse' END AS outcome,
+CASE WHEN conv_id % 11 > 0 AND conv_id % 7 > 0 AND turn % 4 <> 2 AND role <> 'system' AND conv_id % 5 > 0 THEN text END AS text, CASE WHEN conv_id % 11 = 0 THEN '' ELSE CASE turn % 4 WHEN 0 THEN 'STOP' WHEN 1 THEN 'MAX_TOKENS' WHEN 2 THEN 'SAFETY' ELSE '' END END AS finish,
+conv_id % 11 > 0 AND turn % 4 = 1 AS truncated, CASE WHEN conv_id % 11 = 0 THEN 0 ELSE length(text) END::BIGINT AS prompt_tokens FROM conversations""")
+def reply_outcome(spark, sf):
+    """Turns as a provider's responses: some broken, some refused, some stopped for a reason, some without a text."""
+    from ..operators.replies import reply
+
+    e = F.expr
+    finish = e("CASE turn % 4 WHEN 0 THEN 'STOP' WHEN 1 THEN 'MAX_TOKENS' WHEN 2 THEN 'SAFETY' END")
+    part = F.when(e("role <> 'system' AND conv_id % 5 > 0"), F.col("text"))
+    body = F.to_json(F.struct(
+        F.array(F.struct(finish.alias("finishReason"), F.struct(F.array(F.struct(part.alias("text"))).alias("parts")).alias("content"))).alias("candidates"),
+        F.struct(F.when(e("conv_id % 7 = 0"), "OTHER").alias("blockReason")).alias("promptFeedback"), F.struct(F.length("text").alias("promptTokenCount")).alias("usageMetadata"),
+    ))
+    broken = F.when(e("conv_id % 11 = 0"), F.substring(body, 1, 20)).otherwise(body)
+    return table(spark, sf, "conversations").select("conv_id", "turn", reply(broken).alias("r")).select("conv_id", "turn", "r.outcome", "r.text", "r.finish", "r.truncated", "r.prompt_tokens")
+
+
+@query("""WITH a AS (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN 400 ELSE 200 END AS s1, CASE WHEN event_id % 5 > 2 THEN 400 ELSE 200 END AS s2, CASE WHEN event_id % 7 > 3 THEN 503 ELSE 200 END AS s3, value AS t1, value / 4 AS t2, CASE WHEN user_id % 4 > 0 THEN 1024 END AS thinking, (event_id % 4 * 1000)::INTEGER AS tokens FROM events),
+b AS (SELECT *, thinking IS NOT NULL AND s1 = 400 AND 100 - t1 >= 5 AS two FROM a), c AS (SELECT *, two AND s2 = 400 AND 100 - (t1 + t2) >= 5 AS three FROM b)
+SELECT event_id, CASE WHEN three THEN 3 WHEN two THEN 2 ELSE 1 END AS sent, CASE WHEN three THEN s3 WHEN two THEN s2 ELSE s1 END AS status, CASE WHEN three THEN -2 WHEN two THEN 128 ELSE thinking END AS thinking_sent, CASE WHEN three THEN greatest(tokens, 2048) ELSE tokens END AS tokens_sent FROM c""")
+def provider_attempts(spark, sf):
+    """Events as generations of which each attempt would get and take so much."""
+    from ..operators.replies import attempts
+
+    e = F.expr
+    rows = table(spark, sf, "events").select(
+        "event_id", e("array(if(event_id % 3 > 0, 400, 200), if(event_id % 5 > 2, 400, 200), if(event_id % 7 > 3, 503, 200))").alias("statuses"), e("array(value, value / 4, 1.0D)").alias("seconds"),
+        e("CASE WHEN user_id % 4 > 0 THEN 1024 END").alias("thinking"), e("cast(event_id % 4 * 1000 AS int)").alias("max_tokens"),
+    )
+    return attempts(rows).select("event_id", "sent", "status", "thinking_sent", "tokens_sent")
+
+
 @query()
 def embed_batches(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "text")
