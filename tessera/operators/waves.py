@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.leases import Lease
 from ..sources.shared import new_folder
+from ..sources.tables import Conflict, Snapshots
 from .ranks import numbered
 
 #: Chunks of a wave, seconds from one wave to the next, seconds that a run may take.
@@ -90,3 +92,35 @@ def published(before: DataFrame, new: DataFrame, key: list[str], pairs: str) ->
     """The published table: new pairs, and as `previous` what they replace if it wasn't empty."""
     old = before.select(*key, F.when(F.size(pairs) > 0, F.col(pairs)).alias("previous"))
     return new.join(old, key, "left")
+
+
+def publish(store: Snapshots, new: DataFrame, key: list[str], pairs: str, lease: Lease | None = None, tries: int = 20) -> int:
+    """Publish new pairs into a stored table and give its version: each key of new replaces what it had, which stays as
+    `previous`; other keys stay as they are. If another writer was first, it is done again upon what that one wrote, so
+    no publication is lost. With a lease, its holder must still have it."""
+    spark = new.sparkSession
+    for _ in range(tries):
+        if lease:
+            lease.check()
+        version = (store.versions() or [0])[-1]
+        before = store.current() if version else spark.createDataFrame([], published(new.limit(0), new, key, pairs).schema)
+        mine = published(before.select(*key, pairs), new, key, pairs)
+        others = before.join(new.select(*key).distinct(), key, "left_anti")
+        try:
+            return store.commit(others.unionByName(mine.select(others.columns)), after=version)
+        except Conflict:
+            continue
+    raise Conflict(f"{store.folder} was written by others {tries} times")
+
+
+def unpublish(store: Snapshots, gone: DataFrame, key: list[str], tries: int = 20) -> int:
+    """Take the keys of gone out of a stored table; its version."""
+    for _ in range(tries):
+        version = (store.versions() or [0])[-1]
+        if not version:
+            return 0
+        try:
+            return store.commit(store.current().join(gone.select(*key).distinct(), key, "left_anti"), after=version)
+        except Conflict:
+            continue
+    raise Conflict(f"{store.folder} was written by others {tries} times")

@@ -24,8 +24,12 @@ def hourly_counts(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
     return counted.select(F.col("w.start").alias("hour"), "status", "n")
 
 
-def rate_limited(requests: DataFrame, limit: int, window: str = "hour", late: str = "10 minutes") -> DataFrame:
-    """requests(id, ip_hash, created_at) with `admitted`; an address's window is one integer of state, dropped after it."""
+def rate_limited(requests: DataFrame, limit: int, window: str = "hour", late: str = "10 minutes", failed: str | None = None) -> DataFrame:
+    """requests(id, ip_hash, created_at) with `admitted`; an address's window is one integer of state, dropped after it.
+
+    0 or less is no limit. failed: a boolean column of requests whose provider call failed, which are refunded before the
+    next one. Both are as in the batch form.
+    """
 
     def admit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -33,12 +37,16 @@ def rate_limited(requests: DataFrame, limit: int, window: str = "hour", late: st
             return
         used = state.get[0] if state.exists else 0
         frame = pd.concat(list(frames)).sort_values(["created_at", "id"])
-        order = range(used, used + len(frame))
-        state.update((used + len(frame),))
+        admitted = []
+        for refunded in frame["_failed"]:
+            admitted.append(limit <= 0 or used < limit)
+            used += not refunded
+        state.update((used,))
         state.setTimeoutTimestamp(max(int(pd.Timestamp(key[1]).timestamp() * 1000), state.getCurrentWatermarkMs()) + 86_400_000)
-        yield frame[["id", "ip_hash", "created_at"]].assign(admitted=[limit == 0 or k < limit for k in order])
+        yield frame[["id", "ip_hash", "created_at"]].assign(admitted=admitted)
 
-    keyed = requests.withWatermark("created_at", late).withColumn("at", F.date_trunc(window, "created_at"))
+    refunded = F.lit(False) if failed is None else F.coalesce(F.col(failed), F.lit(False))
+    keyed = requests.withWatermark("created_at", late).withColumn("at", F.date_trunc(window, "created_at")).withColumn("_failed", refunded)
     return keyed.groupBy("ip_hash", "at").applyInPandasWithState(admit, MARKED, "used long", "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -41,6 +41,15 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert {r.hour: r.n for r in hours}.items() <= counted.items()
 
 
+def test_refunds_and_no_limit_as_in_batches(spark, tmp_path):
+    path, rows = folder(spark, tmp_path)
+    one = spark.readStream.schema(SCHEMA).json(path).withColumn("failed", F.col("id") % 3 == 0)
+    for limit, failed in ((2, "failed"), (-1, None), (0, None)):
+        want = {r.id: r.admitted for r in admission.rate_limited(rows.withColumn("failed", F.col("id") % 3 == 0), limit, failed=failed).collect()}
+        got = {r.id: r.admitted for r in drained(spark, state.rate_limited(one, limit, late="2 days", failed=failed), f"refunded{limit + 1}", tmp_path)}
+        assert got == want and (limit > 0) == (len(set(want.values())) == 2)
+
+
 def test_batches_go_on_where_they_ended(spark, tmp_path):
     path, _ = folder(spark, tmp_path)
     seen = []

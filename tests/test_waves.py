@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import threading
+
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import ranks, waves
+from tessera.sources.leases import Lease, Lost
+from tessera.sources.tables import Snapshots
 
 
 def chunks(spark, sizes):
@@ -67,3 +72,25 @@ def test_the_first_wave_always_goes(spark):
     assert sent.count() == 3 and {r.post_id: r.state for r in progress.collect()} == {1: "indexed", 2: "budget"}
     sent, progress = waves.index_run(frame.limit(0), progress, 2, embed(), 3)
     assert sent.count() == 0 and progress.count() == 2
+
+
+def test_no_publication_is_lost(spark, tmp_path):
+    store = lambda: Snapshots(spark, f"file://{tmp_path}/published")
+    new = lambda k, n: spark.createDataFrame([(k, [f"q{i}" for i in range(n)])], "id long, pairs array<string>")
+    failed = []
+
+    def one(k):
+        try:
+            waves.publish(store(), new(k, 2), ["id"], "pairs")
+        except Exception as error:  # told by the assertion below
+            failed.append(error)
+
+    threads = [threading.Thread(target=one, args=(k,)) for k in range(5)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    assert not failed and {r.id for r in store().current().collect()} == set(range(5)) and store().versions() == [1, 2, 3, 4, 5]
+    assert waves.publish(store(), new(3, 1), ["id"], "pairs") == 6
+    assert {r.id: (len(r.pairs), r.previous and len(r.previous)) for r in store().current().collect()} == {**{k: (2, None) for k in range(5)}, 3: (1, 2)}
+    assert waves.unpublish(store(), new(4, 1), ["id"]) == 7 and store().current().count() == 4
+    late = Lease(spark, f"file://{tmp_path}/lease", "late")
+    with pytest.raises(Lost):
+        waves.publish(store(), new(9, 1), ["id"], "pairs", late)
