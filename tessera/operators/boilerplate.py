@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import line_key, lines, trim
-from ..sources.shared import new_folder
+from ..sources.shared import written
 
 #: Documents from which on lines are counted, documents and share that make a line boilerplate, share of a document that protects it.
 LEAST_DOCUMENTS, LEAST_FREQUENCY, RATIO, PROTECTED = 5, 3, 0.30, 0.60
@@ -70,10 +70,7 @@ def without_boilerplate(docs: DataFrame, ratio: float = RATIO, sink: int | None
     shared ones, few and checked, are found by counting in place; a last pass rewrites each document by itself. The lines
     for the sink, one for each shared key, come together in its row only.
     """
-    spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "line-keys")
-    keyed = docs.select("post_id", "text", F.coalesce(F.transform(lines("text"), line_key), F.array().cast("array<string>")).alias("keys"))
-    keyed.write.parquet(folder)
-    keyed = spark.read.schema(keyed.schema).parquet(folder)
+    keyed = written(docs.select("post_id", "text", F.coalesce(F.transform(lines("text"), line_key), F.array().cast("array<string>")).alias("keys")), "line-keys")
     n, least = keyed.agg(F.count("*"), F.min("post_id")).first()
     target = sink if sink is not None else least
     keys = shared_keys(keyed, n, ratio)

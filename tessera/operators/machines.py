@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import new_folder
+from ..sources.shared import written
 from .ranks import numbered
 
 BLOCK = 4096
@@ -27,12 +27,6 @@ RUNNING, PROBING, CONCURRENCY, UNREACHABLE = 0, 3, 4, 5
 STATES = ["running", "running", "running", "probing", "paused", "paused"]
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    folder = new_folder(df.sparkSession, label)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 class Few:
     """A few states, numbered: a step is an array of the states that follow."""
 
@@ -111,7 +105,7 @@ def _begins(steps: DataFrame, key: str, kind, start: int, block: int) -> DataFra
         return steps.groupBy(key).applyInPandas(lambda frame: fold(frame, start), told)
     above = steps.withColumn("_above", F.floor(F.col("_block") / block).cast("long"))
     upper = above.groupBy(key, "_above").applyInPandas(lambda f: pd.DataFrame({key: [f[key].iloc[0]], "_block": [f["_above"].iloc[0]], "_step": [kind.compose(f.sort_values("_block")["_step"].to_list())]}), f"{named}, _block long, _step {kind.step}")
-    begun = _begins(_written(upper, "blocks"), key, kind, start, block).select(F.col(key).alias("_key"), F.col("_block").alias("_over"), F.col("_state").alias("_first"))
+    begun = _begins(written(upper, "blocks"), key, kind, start, block).select(F.col(key).alias("_key"), F.col("_block").alias("_over"), F.col("_state").alias("_first"))
     both = above.join(begun, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_above") == F.col("_over"))).drop("_key", "_over")
     return both.groupBy(key, "_above").applyInPandas(lambda f: fold(f, int(f["_first"].iloc[0])), told)
 
@@ -134,7 +128,7 @@ def _folded(rows: DataFrame, key: str, order: list[str], given: list[str], kind,
     Rows are numbered by key and order and cut into blocks of as many. Only the first and the last key of a block reach
     into others, so only their steps are handed up and their states down.
     """
-    placed = _written(numbered(rows, [F.asc(key), *(F.asc(c) for c in order)], "_number"), "numbered").withColumn("_block", F.floor(F.col("_number") / block).cast("long"))
+    placed = written(numbered(rows, [F.asc(key), *(F.asc(c) for c in order)], "_number"), "numbered").withColumn("_block", F.floor(F.col("_number") / block).cast("long"))
     named = f"`{key}` {rows.schema[key].dataType.simpleString()}"
     seen = placed.select(key, "_block", "_number", *given)
 
@@ -145,7 +139,7 @@ def _folded(rows: DataFrame, key: str, order: list[str], given: list[str], kind,
         keys = frame[key].to_numpy(object)
         return pd.DataFrame({key: pd.Series([keys[begins[k]] for k in which], dtype=frame[key].dtype), "_block": [frame["_block"].iloc[0]] * len(which), "_last": [k > 0 for k in which], "_step": [compose(parts[k]) for k in which]})
 
-    steps = _written(seen.groupBy("_block").applyInPandas(ends, f"{named}, _block long, _last boolean, _step {kind.step}"), "blocks")
+    steps = written(seen.groupBy("_block").applyInPandas(ends, f"{named}, _block long, _last boolean, _step {kind.step}"), "blocks")
     found = _begins(steps.drop("_last"), key, kind, start, block).select(F.col(key).alias("_key"), F.col("_block").alias("_of"), "_state")
     states = steps.drop("_step").join(found, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_of")))
     begins = states.groupBy("_of").agg(F.max(F.when(~F.col("_last"), F.col("_state"))).alias("_first_state"), F.max(F.when(F.col("_last"), F.col("_state"))).alias("_last_state"))

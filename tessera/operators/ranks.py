@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import new_folder
+from ..sources.shared import written
 
 BITS = 33  # of monotonically_increasing_id: the position in the partition
 
@@ -16,10 +16,7 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "number") -> Data
     The sorted rows are written to the shared folder, so that a lost executor can't sort them anew in other ranges. Only
     the partitions' sizes, a row each, meet in one place.
     """
-    folder = new_folder(rows.sparkSession, "ranges")
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
-    sorted_rows.write.parquet(folder)
-    placed = rows.sparkSession.read.schema(sorted_rows.schema).parquet(folder)
+    placed = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id()), "ranges")
     part = F.shiftrightunsigned("__place", BITS)
     sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).agg(F.collect_list(F.struct("__part", "__n")).alias("parts"))
     before = F.transform("parts", lambda p: F.struct(p["__part"].alias("__part"), F.aggregate(F.filter("parts", lambda q: q["__part"] < p["__part"]), F.lit(0).cast("long"), lambda a, q: a + q["__n"]).alias("__before")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.leases import Lease
-from ..sources.shared import new_folder
+from ..sources.shared import written
 from ..sources.tables import Conflict, Snapshots
 from .ranks import numbered
 
@@ -53,14 +53,10 @@ def index_run(
     chunks) has a row for each document that a run has touched, the last run's; the next run takes up whatever isn't
     indexed there, so runs go on until `left_over` is 0.
     """
-    spark = chunks.sparkSession
     waves = planned(chunks, progress, size)
     most = waves_in(budget, seconds)
     inside = F.lit(True) if most is None else F.col("wave") < most
-    folder = new_folder(spark, f"run-{run}")
-    sent = embed(waves.where(inside))
-    sent.write.parquet(folder)
-    sent = spark.read.schema(sent.schema).parquet(folder)
+    sent = written(embed(waves.where(inside)), f"run-{run}")
     failed = sent.groupBy("wave").agg(F.max(F.coalesce("failed", F.lit(False))).alias("_failed"))
     both = sent.select("post_id", "wave").unionByName(waves.where(~inside).select("post_id", "wave")).join(failed, "wave", "left")
     state = F.when(F.max(F.coalesce("_failed", F.lit(False))), "failed").when(F.count("_failed") < F.count("*"), "budget").otherwise("indexed")

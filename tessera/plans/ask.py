@@ -11,7 +11,7 @@ from ..operators import admission as M
 from ..operators import faq as Q
 from ..operators import retrieval as R
 from ..sources.answer_cache import AnswerCache
-from ..sources.shared import new_folder
+from ..sources.shared import new_folder, written
 from .bindings import KNOWLEDGE, LOG, PAIRS, POSTS, SPACE, knowledge, log, pairs, posts, sql_trim, table
 from .ingest import unescaped_sql, without_elements_sql
 
@@ -94,10 +94,10 @@ def ask_batch(spark, sf):
     v = table(spark, sf, "embeddings")
     asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("Question "), "vec_id").alias("question"), "embedding")
     cache = M.cache_upsert(asked.where(_CACHED).select(F.col("query_id").alias("id"), F.upper("question").alias("question"), F.lit("known").alias("answer"), F.lit(1.0).alias("score"), F.lit(0).alias("created_at"), F.lit("answered").alias("status")))
-    probed = M.cache_probe(asked, cache)
+    probed = written(M.cache_probe(asked, cache), "probed")  # searched and joined
     rows = v.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("post_id"), "embedding")
     found = R.top_k_batch(rows, probed.where("NOT hit").select("query_id", "embedding"), 5)
-    decided = R.guard(found, 0.4, 0.35, floor=0.0)
+    decided = written(R.guard(found, 0.4, 0.35, floor=0.0), "decided")  # for contexts and for statuses
     used = decided.select("query_id", F.posexplode("ids").alias("rank", "id"))
     told = R.context(used, knowledge(spark, sf), posts(spark, sf)).withColumn("question", F.lit(""))
     replies = P.generated(told.select("query_id", "context", R.prompt("question", "context").alias("prompt")), "prompt", P.Offline())
