@@ -204,7 +204,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", percent: int = 75) -> DataFrame:
     """The rows of docs, all columns as they are, whose text has no window that similar to an item.
 
-    Null and empty texts stay; repeated rows stay or go together; without items all rows stay.
+    Null and empty texts stay; repeated rows stay or go together; without items all rows stay; no rows give none. Every window
+    of a text is looked at, however long it is.
     """
 
     def worker(items, at):
@@ -222,6 +223,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best window of each document and item that are alike, over whole tables."""
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.round("similarity", 9).alias("similarity"), "begin", "end")
 

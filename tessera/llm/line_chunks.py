@@ -94,7 +94,8 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A null text is an empty one. Chunks with fewer than two lines with words always stay. Rows with a null id
     rank last; rows that repeat an id and a text count as one occurrence and get the same result; rows that
-    share an id only are ranked by the digest of their text. Further columns are ignored.
+    share an id only are ranked by the digest of their text. Further columns are ignored. No rows give none. Long texts are
+    cut whole; a task holds the chunks of one text at a time.
 
     With pairs, repeated pairs of neighbouring lines go too, so every passage of two or more whole lines with words
     that stands earlier goes whole, wherever chunks end; n_removed then counts the chunks that lose a line. Each line
@@ -143,7 +144,8 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def without_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, divisor: int = 3, pairs: bool = False) -> DataFrame:
     """docs, all columns, with the text that is left (chars_col: its length); rows of which nothing is left go.
 
-    Rows whose text was null or empty before stay as they were.
+    Rows whose text was null or empty before stay as they were. Of ties the least id keeps the passage, as in
+    dedup_line_chunks; repeated rows stay or go together; no rows give none; long texts are handled whole.
     """
     others = [c for c in docs.columns if c != text_col]
     null = max([*others, ""], key=len) + "_null"  # longer than any name there, so none of them
@@ -157,4 +159,5 @@ def without_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def op10_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated chunks and pairs of lines of all documents removed."""
     return dedup_line_chunks(spark.read.parquet(f"{sf_dir}/documents.parquet"), pairs=True)

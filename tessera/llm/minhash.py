@@ -232,13 +232,15 @@ def settle(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, that are kept: a row goes for its own text's component. A row
-    without an id stays, and so does one without text or words. Of repeated rows all stay or go."""
+    without an id stays, and so does one without text or words. Of repeated rows all stay or go. Long texts count by their
+    full sets; no rows give none."""
     dropped = near_duplicates(docs, id_col, text_col).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_dropped_id"), F.col("text_key").alias("_dropped_key")).distinct()
     key = F.unhex(F.md5(F.coalesce(docs[text_col].cast("string").cast("binary"), F.lit(b""))))
     return docs.join(dropped, (docs[id_col].cast("long") == dropped["_dropped_id"]) & (key == dropped["_dropped_key"]), "left_anti")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates of all documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
 
 

@@ -215,6 +215,7 @@ def apply_rules(stats: DataFrame, rules: list[tuple[list[Test], float]]) -> Data
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and the verdict of the rules that the labelled ones give."""
     stats = written(text_statistics(table(spark, sf_dir, "documents")), "statistics")
     rules = learn(*labelled_sample(stats, table(spark, sf_dir, "labels")))
     return apply_rules(stats, rules).select("doc_id", *BASE, "base_failed", "kept", "rule")

@@ -70,6 +70,7 @@ SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, whose whole row is carried."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     placed = assign_shards(docs, "doc_id", SHARDS)
     return placed.select("doc_id", "slot", "shard", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))

@@ -138,6 +138,7 @@ def dedup_units(docs: DataFrame, unit: str = "line", id_col: str = "doc_id", tex
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and sentences of all documents that stand earlier removed."""
     found = dedup_units(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     told = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["begin"], s["end"])), ",")
     return found.select("doc_id", "n_units", "n_removed", "removed_chars", told.alias("removed_spans"), "kept_text")

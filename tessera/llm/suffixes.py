@@ -368,6 +368,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents removed that long strings of earlier ones cover."""
     found = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     told = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["begin"], s["end"])), ",")
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", told.alias("removed_spans"))

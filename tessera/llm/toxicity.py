@@ -408,7 +408,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", limit: float = 0.7) -> DataFrame:
     """The rows of docs, all columns as they are, whose score is under limit. Null and empty texts have a score like
-    others; repeated rows stay or go together; without labels all rows stay. Labels are found by the column doc_id."""
+    others; repeated rows stay or go together; without labels all rows stay; no rows give none; long texts are scored whole.
+    Labels are found by the column doc_id."""
     model, at = fit(docs, labels), docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,6 +429,7 @@ def held_out(doc_id: str) -> Column:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every document, by a field that is fitted on the labelled ones that aren't held out."""
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id"))
     scored = score_documents(table(spark, sf_dir, "documents"), labels)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_tokens", "spans")

@@ -289,6 +289,7 @@ def read_warc(spark: SparkSession, folder: str, columns: str = SCHEMA) -> DataFr
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back."""
     folder = new_folder(spark, "warc")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     return read_warc(spark, folder, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
