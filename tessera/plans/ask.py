@@ -495,18 +495,21 @@ b1 AS (SELECT DISTINCT w FROM w1 WHERE w < 3 AND post_id % 97 = 5), r1 AS (SELEC
 p1 AS (SELECT post_id, 1 AS run, CASE WHEN bad THEN 'failed' WHEN high >= 3 THEN 'budget' ELSE 'indexed' END AS state, chunks FROM r1 WHERE low < 3),
 w2 AS (SELECT *, (row_number() OVER (ORDER BY post_id, chunk_index) - 1) // 100 AS w FROM c WHERE post_id NOT IN (SELECT post_id FROM p1 WHERE state = 'indexed')),
 r2 AS (SELECT post_id, min(w) AS low, max(w) AS high, count(*) AS chunks FROM w2 GROUP BY 1),
-p2 AS (SELECT post_id, 2 AS run, CASE WHEN high >= 4 THEN 'budget' ELSE 'indexed' END AS state, chunks FROM r2 WHERE low < 4)
-SELECT * FROM p2 UNION ALL SELECT * FROM p1 WHERE post_id NOT IN (SELECT post_id FROM p2)""")
+p2 AS (SELECT post_id, 2 AS run, CASE WHEN high >= 4 THEN 'budget' ELSE 'indexed' END AS state, chunks FROM r2 WHERE low < 4),
+p AS (SELECT * FROM p2 UNION ALL SELECT * FROM p1 WHERE post_id NOT IN (SELECT post_id FROM p2))
+SELECT post_id, coalesce(run, 0)::INTEGER AS run, coalesce(state, 'waiting') AS state, n.chunks FROM (SELECT post_id, count(*) AS chunks FROM c GROUP BY 1) n LEFT JOIN p USING (post_id)""")
 def index_waves(spark, sf):
-    """Two runs over all documents, a chunk for each 1,000 characters: the first has time for three waves, of which some fail,
-    the second, in which all succeed, for four. A wave takes 13 seconds."""
+    """Every document's state after two runs over all of them, a chunk for each 1,000 characters: the first has time for three
+    waves, of which some fail, the second, in which all succeed, for four. A wave takes 13 seconds."""
     from ..operators.waves import PROGRESS, index_run
 
     last = F.floor((F.greatest(F.lit(1), "n_chars") - 1) / 1000)
     chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("post_id"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk_index"))
     sent = lambda failed: lambda rows: rows.withColumns({"embedding": F.array(F.lit(1.0)), "failed": failed})
     _, first = index_run(chunks, spark.createDataFrame([], PROGRESS), 1, sent(F.col("post_id") % 97 == 5), 100, 39)
-    return index_run(chunks, first, 2, sent(F.lit(False)), 100, 40)[1]
+    progress = index_run(chunks, first, 2, sent(F.lit(False)), 100, 40)[1].select("post_id", "run", "state")
+    told = chunks.groupBy("post_id").agg(F.count("*").alias("chunks")).join(progress, "post_id", "left")
+    return told.select("post_id", F.coalesce("run", F.lit(0)).alias("run"), F.coalesce("state", F.lit("waiting")).alias("state"), "chunks")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 < 2 AND floor(value) BETWEEN 1 AND 60 THEN floor(value) ELSE 0 END::INTEGER AS seconds FROM events")
