@@ -23,6 +23,7 @@ def repaired(text: str | None):
     there is one) to the last; else None."""
     text = text or ""
     tries = [text]
+    # fixed values: how a fenced block and a list of objects begin and end
     if fenced := re.search(r"```(?:json)?\s*(.+?)\s*```", text, re.S | re.I | re.A):
         tries.append(fenced[1].strip(" \t\n\r\0\x0b"))
     listed = re.search(r"\[\s*\{", text, re.A)
