@@ -310,7 +310,7 @@ def test_labels_without_rows_give_no_rules(spark):
     assert quality.apply_rules(stats, []).where(F.col("kept").isNull()).count() == 0
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the provided tables aren't here")
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the provided tables aren't here")
 def test_the_quality_query_equals_plain_rules_over_the_whole_table(spark):
     sf_dir = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
