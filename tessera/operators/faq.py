@@ -4,36 +4,47 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clip, column, escaped, hardened, trim
+from ..functions.text import clip, column, escaped, hardened, once, trim
 
 # Lengths and number of pairs, keys that wrap a list of pairs.
 QUESTION_CHARS, ANSWER_CHARS, MOST_PAIRS = 400, 4000, 50
 WRAPPERS = ["faqs", "faq", "items", "questions", "pairs", "data", "results"]
+# A fenced block, and how a list of objects begins.
+FENCED, LISTED = r"```(?:json)?\s*(.+?)\s*```", r"\[\s*\{"
 PAIR_LIST = T.ArrayType(T.StructType([T.StructField("question", T.StringType()), T.StructField("answer", T.StringType())]))
 
+#: What JSON's texts begin and end with, and its other texts; an escape of half a surrogate pair; a mark behind decoded texts.
+JSON_ENDS, JSON_SCALAR = ("{}", "[]", '""'), r"^(?:-?[0-9][0-9.eE+-]*|true|false|null)$"
+SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
+DECODED = "reply ends here"
+#: The schema of a list of flat objects that have one of each two names at most, with strings or whole numbers there.
+FLAT = r"^ARRAY<OBJECT<(?!.*\bquestion: .*\bq: |.*\bq: .*\bquestion: |.*\banswer: .*\ba: |.*\ba: .*\banswer: )(?!.*\b(?:question|q|answer|a): (?!STRING\b|BIGINT\b))\w+: [A-Z]+(?:\(\d+,\d+\))?(?:, \w+: [A-Z]+(?:\(\d+,\d+\))?)*>>$"
+
 
 def repaired(text: str | None):
     """The JSON of a model's reply: as it is, from a fenced block, or from the first bracket (of a list of objects, if
-    there is one) to the last; else None."""
+    there is one) to the last; else None. Halves of surrogate pairs and nesting too deep to decode are no JSON."""
     text = text or ""
     tries = [text]
-    # fixed values: how a fenced block and a list of objects begin and end
-    if fenced := re.search(r"```(?:json)?\s*(.+?)\s*```", text, re.S | re.I | re.A):
+    if fenced := re.search(FENCED, text, re.S | re.I | re.A):
         tries.append(fenced[1].strip(" \t\n\r\0\x0b"))
-    listed = re.search(r"\[\s*\{", text, re.A)
+    listed = re.search(LISTED, text, re.A)
     begin, end = listed.start() if listed else text.find("["), text.rfind("]")
     if 0 <= begin < end:
         tries.append(text[begin : end + 1])
     for some in tries:
         try:
             found = json.loads(some, parse_constant=_no_constant)
-        except ValueError:
+            if SURROGATE.search(some):
+                json.dumps(found, ensure_ascii=False).encode()
+        except (ValueError, RecursionError):
             continue
         if found is not None:
             return found
@@ -88,8 +99,82 @@ def json_repaired(texts: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(PAIR_LIST)
-def pairs_of(texts: pd.Series) -> pd.Series:
-    return texts.map(parsed_pairs)
+def _pairs_by_python(texts: pd.Series, counts: pd.Series) -> pd.Series:
+    return pd.Series([parsed_pairs(text, count) for text, count in zip(texts, counts, strict=True)], dtype=object)
+
+
+def pairs_of(text: str | Column, count: int = MOST_PAIRS) -> Column:
+    """parsed_pairs of a reply, by Python in batches."""
+    return _pairs_by_python(column(text), F.lit(count))
+
+
+def _decoded(text: Column) -> Column:
+    """The JSON of a whole text as VARIANT; null for JSON's null and for what is none. Spark's parser passes over what
+    follows a value, so the text is decoded as the first of two items: it must leave the second one."""
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{DECODED}"]')))
+    return once(both, lambda v: F.when(F.try_variant_get(v, "$[1]", "string") == DECODED, F.try_variant_get(v, "$[0]", "variant")))
+
+
+def _between_brackets(text: Column) -> Column:
+    """From the first bracket (of a list of objects, if there is one) to the last; null if there is no such part."""
+
+    def cut(after: Column) -> Column:
+        head = F.substring(text, F.lit(1), F.length(text) - F.length(after))
+        plain = lambda head: F.when(~after.rlike(LISTED), F.substring(head, F.locate("[", head), F.length(head)))
+        begin = lambda parts: F.when(F.size(parts) == 2, F.length(parts[0]) + 1)
+        from_list = lambda head: once(once(F.split(head, LISTED, 2), begin), lambda k: F.when(k.isNotNull(), F.substring(head, k, F.length(head))).otherwise(plain(head)))
+        return once(head, from_list)
+
+    return F.when(text.contains("]"), once(F.substring_index(text, "]", -1), cut))
+
+
+def native_pairs(text: str | Column, count: int = MOST_PAIRS) -> Column:
+    """parsed_pairs of a reply by built-in functions; null where they can't be sure to find what it finds.
+
+    Sure are: replies of which the first part that could be JSON (all of it, its fenced block, what is between
+    brackets) is some, and holds a list of flat objects with strings or whole numbers as questions and answers, bare or
+    under a known key; scalars; and replies without such a part. The others are lists under other keys or of other
+    items, single pairs, repeated keys, escaped surrogates, fractions as texts and broken JSON.
+    """
+    ends = lambda t: reduce(Column.__or__, (t.startswith(a) & t.endswith(z) for a, z in JSON_ENDS)) | F.when(F.length(t) < 1000, t.rlike(JSON_SCALAR)).otherwise(t.startswith("-") | t.substr(1, 1).between("0", "9"))
+    like_json = lambda part: F.when(once(F.btrim(part, F.lit(" \t\n\r")), ends), part)
+    get = lambda v, path: F.try_variant_get(v, path, "variant")
+    fields = "array<struct<question: string, q: string, answer: string, a: string>>"
+
+    def part(text: Column) -> Column:
+        found = F.coalesce(like_json(text), once(trim(F.regexp_extract(text, f"(?is){FENCED}", 1)), like_json), once(_between_brackets(text), like_json))
+        return F.when(~text.contains(DECODED) & ~text.contains("\\ud") & ~text.contains("\\uD"), once(found, lambda c: F.when(c.isNull(), none).otherwise(once(_decoded(c), listed))))
+
+    def listed(found: Column) -> Column:
+        known = [F.when(F.coalesce(get(found, f"$.{key}[0].question"), get(found, f"$.{key}[0].q")).isNotNull(), get(found, f"$.{key}")) for key in WRAPPERS]
+        kind = lambda k: F.when(k.startswith("ARRAY"), pairs(found, k)).when(k.startswith("OBJECT"), once(F.coalesce(*known), lambda v: pairs(v, F.schema_of_variant(v)))).when(k != "VOID", none)
+        return once(F.schema_of_variant(found), kind)
+
+    def pairs(found: Column, kind: Column) -> Column:
+        text_of = lambda p, *names: trim(F.coalesce(*(p[name] for name in names), F.lit("")))
+        pair = lambda p: F.struct(text_of(p, "question", "q").alias("question"), text_of(p, "answer", "a").alias("answer"))
+        told = F.filter(F.transform(F.try_variant_get(found, "$", fields), pair), lambda p: (p["question"] != "") & (p["answer"] != ""))
+        return F.when(kind.rlike(FLAT), once(told, distinct))
+
+    def distinct(told: Column) -> Column:
+        firsts = lambda keys: F.transform(F.slice(F.array_distinct(keys), 1, count), lambda key: F.get(told, (F.array_position(keys, key) - 1).cast("int")))
+        return once(F.transform(told, lambda p: F.lower(p["question"])), firsts)
+
+    none = F.array().cast(PAIR_LIST)
+    return once(F.coalesce(column(text).cast("string"), F.lit("")), part)
+
+
+def with_pairs(rows: DataFrame, text: str, name: str = "pairs", count: int = MOST_PAIRS, python: bool = True) -> DataFrame:
+    """rows with the pairs of their replies: those with a question and an answer, each question once, count at most.
+
+    The same as pairs_of, which takes less time; here only replies that native_pairs isn't sure about
+    go to Python, and with python=False none does: they get null. A null or empty reply, and one without JSON, has no pairs.
+    """
+    native = max([*rows.columns, name], key=len) + "_native"  # longer than any name there, so none of them
+    found = rows.withColumn(native, native_pairs(text, count))
+    if python:
+        return found.withColumn(name, F.coalesce(native, pairs_of(F.when(F.col(native).isNull(), F.col(text)), count))).drop(native)
+    return found.withColumn(name, F.col(native)).drop(native)
 
 
 def deduped(pairs: DataFrame, by: list[str], order: str, count: int = MOST_PAIRS) -> DataFrame:

@@ -308,11 +308,20 @@ def json_repair(spark, sf):
     return replies(spark, sf).select("conv_id", Q.json_repaired("reply").alias("json"))
 
 
-@query(f"WITH {PAIRS}, d AS (SELECT conv_id, turn, {sql_trim('question')} AS question, {sql_trim('answer')} AS answer, row_number() OVER (PARTITION BY conv_id, lower({sql_trim('question')}) ORDER BY turn) AS n FROM pairs WHERE {sql_trim('question')} <> '' AND {sql_trim('answer')} <> '') SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS place, question, answer FROM d WHERE n = 1")
+_PARSED = f"WITH {PAIRS}, d AS (SELECT conv_id, turn, {sql_trim('question')} AS question, {sql_trim('answer')} AS answer, row_number() OVER (PARTITION BY conv_id, lower({sql_trim('question')}) ORDER BY turn) AS n FROM pairs WHERE {sql_trim('question')} <> '' AND {sql_trim('answer')} <> '') SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS place, question, answer FROM d WHERE n = 1"
+
+
+@query(_PARSED)
 def pair_parse(spark, sf):
     return replies(spark, sf).select("conv_id", F.posexplode(Q.pairs_of("reply")).alias("place", "p")).select("conv_id", "place", "p.question", "p.answer")
 
 
+@query(_PARSED)
+def pair_parse_native(spark, sf):
+    found = Q.with_pairs(replies(spark, sf), "reply")
+    return found.select("conv_id", F.posexplode("pairs").alias("place", "p")).select("conv_id", "place", "p.question", "p.answer")
+
+
 @query(f"WITH {PAIRS}, d AS (SELECT DISTINCT conv_id, lower({sql_trim('question')}) AS q FROM pairs WHERE {sql_trim('question')} <> '' AND {sql_trim('answer')} <> '') SELECT conv_id, (SELECT count(*) FROM d WHERE d.conv_id = p.conv_id)::INTEGER AS found FROM (SELECT DISTINCT conv_id FROM pairs) p")
 def pair_extract(spark, sf):
     return replies(spark, sf).select("conv_id", F.size(Q.pairs_of("reply")).alias("found"))
