@@ -29,9 +29,9 @@ TOKEN = re.compile(r"[^\W_]+(?:[*@$!'’-][^\W_]+)*")
 #: Tokens in a chain at most.
 CHAIN = 64
 BEGINNINGS = (4, 5, 6, 7, 8)
-#: What is fitted on, about: labelled documents, chosen by hash; and how many marks (those with the most evidence)
-#: and from how many toxic documents on each the model holds.
-MOST_LABELLED, MOST_EVIDENCE, LEAST_TOXIC = 20_000, 50_000, 3
+#: What `fit` is given by default: about how many labelled documents, chosen by hash; how many marks (those with the most
+#: evidence) the model holds; from how many toxic documents on a mark counts; how many different chains the driver takes.
+MOST_LABELLED, MOST_EVIDENCE, LEAST_TOXIC, MOST_CHAINS = 20_000, 50_000, 3, 10_000_000
 #: Labelled documents are dealt to so many folds; in fitting, a document's evidence comes from the other folds.
 FOLDS = 4
 #: Evidence is the lower bound of a log odds ratio; these limits cut it into levels, and below the first is none.
@@ -263,9 +263,9 @@ def fold_of(doc_id: str) -> Column:
     return F.pmod(F.xxhash64(F.lit("fold"), doc_id), F.lit(FOLDS)).cast("int")
 
 
-def evidence_levels(sample: DataFrame) -> tuple[dict[str, int], list[dict[str, int]]]:
-    """Levels of the marks with the most evidence in sample(text, toxic, fold): MOST_EVIDENCE at most, each in
-    LEAST_TOXIC toxic documents at least; and the like from the documents outside each fold, for those in it."""
+def evidence_levels(sample: DataFrame, most: int = MOST_EVIDENCE, least_toxic: int = LEAST_TOXIC) -> tuple[dict[str, int], list[dict[str, int]]]:
+    """Levels of the marks with the most evidence in sample(text, toxic, fold): `most` at most, each in
+    `least_toxic` toxic documents at least; and the like from the documents outside each fold, for those in it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,19 +285,20 @@ def evidence_levels(sample: DataFrame) -> tuple[dict[str, int], list[dict[str, i
         n = {y: sum(docs.get((k, y), 0) for k in folds) for y in (0, 1)}
         clean, toxic = (sum((F.col(f"{kind}{k}") for k in folds), F.lit(0)) for kind in ("clean", "toxic"))
         c, a = clean + 0.5, toxic + 0.5
-        return F.when(toxic >= LEAST_TOXIC, F.log(a / F.lit(n[1] + 1.0)) - F.log(c / F.lit(n[0] + 1.0)) - F.sqrt(1 / a + 1 / c))
+        return F.when(toxic >= least_toxic, F.log(a / F.lit(n[1] + 1.0)) - F.log(c / F.lit(n[0] + 1.0)) - F.sqrt(1 / a + 1 / c))
 
     every = list(range(FOLDS))
     named = [odds(every).alias("all"), *(odds([j for j in every if j != k]).alias(f"without{k}") for k in every)]
     told = counted.select("mark", *named).withColumn("most", F.greatest("all", *(f"without{k}" for k in every)))
-    best = told.where(F.col("most") >= float(LEVELS[0])).orderBy(F.desc("most"), "mark").limit(MOST_EVIDENCE).collect()
+    best = told.where(F.col("most") >= float(LEVELS[0])).orderBy(F.desc("most"), "mark").limit(most).collect()
     level = lambda name: {r["mark"]: int(np.searchsorted(LEVELS, r[name], side="right")) for r in best if r[name] is not None and r[name] >= LEVELS[0]}
     return level("all"), [level(f"without{k}") for k in every]
 
 
-def labelled_chains(sample: DataFrame, levels: list[dict[str, int]]) -> list[Chains]:
+def labelled_chains(sample: DataFrame, levels: list[dict[str, int]], most: int = MOST_CHAINS) -> list[Chains]:
     """All chains of the sample with their labelled tokens, by length; equal ones of a class stand once, with their
-    number. Evidence is that from outside a document's fold, so that a document doesn't tell about itself."""
+    number. Evidence is that from outside a document's fold, so that a document doesn't tell about itself. More than
+    `most` different ones are an error, as the driver takes them all; a smaller sample has fewer."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evidence = [Evidence(level) for level in levels]
@@ -309,6 +310,9 @@ def labelled_chains(sample: DataFrame, levels: list[dict[str, int]]) -> list[Cha
 
     counted = sample.select("text", "toxic", "fold").mapInArrow(work, "toxic long, levels binary, n long").groupBy("toxic", "levels").agg(F.sum("n").alias("n"))
     groups: dict[int, list] = {}
+    counted = written(counted, "chains")
+    if (found := counted.count()) > most:
+        raise ValueError(f"{found} different chains of labelled documents, more than {most}: give fewer documents or a higher bound")
     for r in counted.orderBy("toxic", "levels").collect():
         groups.setdefault((len(r["levels"]) - 1).bit_length(), []).append(r)
     done = []
@@ -376,16 +380,19 @@ class Model:
         return float(1 / (1 + np.exp(-(x @ self.weights))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_evidence: int = MOST_EVIDENCE, least_toxic: int = LEAST_TOXIC, most_chains: int = MOST_CHAINS) -> Model:
     """A model from the labelled documents among docs, from about most_labelled of them. Without labels, or with one
     class only, it knows a share.
 
+    The model holds the most_evidence marks with the most evidence, each from least_toxic toxic documents at least.
+    Different chains of those documents come to the driver; more than most_chains of them raise a ValueError.
+
     Null labels and null ids tell nothing. Of repeated labels of an id the highest counts; rows that repeat an id
     each count with its label. Null, empty and very long texts count whole, with what tokens they have.
     """
     sample = labelled_sample(docs, labels, most_labelled)
-    level, without = evidence_levels(sample)
-    groups = labelled_chains(sample, without)
+    level, without = evidence_levels(sample, most_evidence, least_toxic)
+    groups = labelled_chains(sample, without, most_chains)
     field = fit_field(groups) if groups else Field.zero()
     parts = [tag_documents(sample.where(F.col("fold") == k), without[k], field, told="toxic") for k in range(FOLDS)]
     fitted = reduce(DataFrame.unionByName, parts).selectExpr(*(f"{f} AS f{k}" for k, f in enumerate(FEATURES)), "toxic").toPandas()

@@ -210,6 +210,19 @@ def brute_log_likelihood(field, levels, tags):
     return score(tags) - math.log(sum(math.exp(score(y)) for y in itertools.product((0, 1), repeat=len(levels))))
 
 
+def test_bounds_of_what_is_fitted_are_parameters(spark):
+    rows, docs, labels = labelled(spark)
+    sample = toxicity.labelled_sample(docs, labels)
+    level, without = toxicity.evidence_levels(sample)
+    few, _ = toxicity.evidence_levels(sample, most=2)
+    rare, _ = toxicity.evidence_levels(sample, least_toxic=len(rows) + 1)
+    assert set(few) < set(level) and len(few) <= 2 and rare == {}
+    n = sum(len(g.sizes) for g in toxicity.labelled_chains(sample, without))
+    assert sum(len(g.sizes) for g in toxicity.labelled_chains(sample, without, n)) == n
+    with pytest.raises(ValueError, match="different chains"):
+        toxicity.labelled_chains(sample, without, n - 1)
+
+
 def test_the_field_is_the_most_likely_one():
     dice = np.random.default_rng(6)
     groups = []
