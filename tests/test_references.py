@@ -29,7 +29,7 @@ def small(spark, tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["html_to_text", "clean_content", "clean_html", "merge_all_pages", "merge_sources"])
+@pytest.mark.parametrize("name", ["html_to_text", "clean_content", "clean_html", "merge_all_pages", "merge_sources", "open_merge_all_pages"])
 def test_references_without_a_semicolon_stay(spark, small, name):
     folder, con = small
     found = con.execute({**ask.ORACLE, **ingest.ORACLE}[name])
