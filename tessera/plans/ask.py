@@ -401,7 +401,7 @@ _PARAMS = "SELECT event_id, substr(props, 1, 500) AS topic, event_type AS descri
 
 @query(_PARAMS)
 def gen_params(spark, sf):
-    rows = table(spark, sf, "events").select("event_id", F.col("props").alias("topic"), F.col("event_type").alias("description"), (F.round(F.col("value") / 20).cast("long") - 3).alias("count"), F.expr("CASE event_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' END").alias("language"))
+    rows = table(spark, sf, "events").select("event_id", F.col("props").alias("topic"), F.col("event_type").alias("description"), (F.rint(F.col("value") / 20).cast("long") - 3).alias("count"), F.expr("CASE event_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' END").alias("language"))
     return Q.generator_params(rows)
 
 
