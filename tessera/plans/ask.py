@@ -237,7 +237,9 @@ def refusal_msg(spark, sf):
 @query(f"WITH {_GUARD} SELECT query_id, printf('stage=guard cov=%s best=%.4f hard=%.4f soft=%.4f topk=5 used=%d', coverage, score, 0.35::DOUBLE, 0.4::DOUBLE, CASE WHEN ids = '' THEN 0 ELSE len(string_split(ids, ',')) END) AS line FROM d")
 def debug_line(spark, sf):
     rows = guarded(spark, sf)
-    line = F.format_string("stage=guard cov=%s best=%.4f hard=%.4f soft=%.4f topk=5 used=%d", "coverage", F.round("score", 6), F.lit(0.35), F.lit(0.4), F.size("ids"))
+    # format_number rounds the double itself, as C does; %.4f its shortest decimal form, which may be a tie
+    best = F.expr("format_number(round(score, 6), '0.0000')")
+    line = F.format_string("stage=guard cov=%s best=%s hard=%.4f soft=%.4f topk=5 used=%d", "coverage", best, F.lit(0.35), F.lit(0.4), F.size("ids"))
     return rows.select("query_id", line.alias("line"))
 
 

@@ -29,7 +29,7 @@ TABLES = {
 }
 
 
-@pytest.mark.parametrize("name", ["gen_params", "generate_faq"])
+@pytest.mark.parametrize("name", ["gen_params", "generate_faq", "debug_line"])
 def test_ties_as_in_sql(spark, tmp_path, name):
     con = duckdb.connect()
     for table, (schema, rows) in TABLES.items():
