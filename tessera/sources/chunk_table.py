@@ -12,6 +12,7 @@ import json
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,8 @@ from .leases import Lease
 from .tables import Conflict, _file_system, create_exclusively, file_names, file_text
 
 MOST_BUCKETS = 10_000
+#: Rows that a task sorts and writes, about: a bucket that has more is written as several files.
+ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -31,13 +34,13 @@ class Commit:
 class ChunkTable:
     """Chunks in a folder, keyed by `key`; schema, key and the number of buckets are fixed when the table is made.
 
-    spread: files of a bucket, dealt by the hash of the whole row, so that one document with much of the rows isn't one
-    task's. Rows with a null key are a bucket's like others, and a null key replaces, deletes and touches rows of a
+    spread: files of a bucket at least, dealt by the hash of the whole row, so that one document with much of the rows isn't one
+    task's; a bucket of more than `rows` rows gets as many files more as these fill. Rows with a null key are a bucket's like others, and a null key replaces, deletes and touches rows of a
     null key. Extra columns of what is written are left out, missing ones are null.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType | None = None, key: str = "post_id", buckets: int = 64, spread: int = 1):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType | None = None, key: str = "post_id", buckets: int = 64, spread: int = 1, rows: int = ROWS):
+        self.spark, self.folder, self.rows = spark, folder.rstrip("/"), rows
         if not 0 < buckets <= MOST_BUCKETS:
             raise ValueError(f"buckets must be from 1 to {MOST_BUCKETS}")
         if schema is not None:
@@ -77,6 +80,18 @@ class ChunkTable:
     def _fit(self, rows: DataFrame) -> DataFrame:
         return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema))
 
+    def _files(self, base: int, added: dict[int, int]) -> np.ndarray:
+        """Files to write for each bucket; added: rows that the buckets hit get besides those that they hold."""
+        held = self.read(base, sorted(added))
+        many = dict(added)
+        if held.count() + sum(added.values()) > self.rows:
+            for b, n in held.groupBy(self.bucket(F.col(self.key)).alias("b")).count().collect():
+                many[b] += n
+        files = np.zeros(self.buckets, dtype="int64")
+        for b, n in many.items():
+            files[b] = max(self.spread, -(-n // self.rows))
+        return files
+
     def change(
         self, new: DataFrame | None = None, replaced: DataFrame | None = None, touched: DataFrame | None = None, touch: dict[str, Column] | None = None,
         base: int | None = None, lease: Lease | None = None, batch: tuple[str, int] | None = None,
@@ -91,13 +106,14 @@ class ChunkTable:
         base = self.version() if base is None else base
         if batch and self.manifest(base)["batches"].get(batch[0], -1) >= batch[1]:
             return Commit(base, [])
-        keys = [f.select(self.key) for f in (new, replaced, touched) if f is not None]
-        if not keys:
+        told = [f.select(self.bucket(F.col(self.key)).alias("b"), F.lit(n).alias("n")) for f, n in ((new, 1), (replaced, 0), (touched, 0)) if f is not None]
+        if not told:
             return Commit(base, [])
-        every = keys[0]
-        for other in keys[1:]:
+        every = told[0]
+        for other in told[1:]:
             every = every.unionByName(other)
-        hit = sorted(r[0] for r in every.select(self.bucket(F.col(self.key))).distinct().collect())  # as many as there are buckets at most
+        added = {b: n for b, n in every.groupBy("b").agg(F.sum("n")).collect()}  # as many as there are buckets at most
+        hit = sorted(added)
         rows = self.read(base, hit)
         if replaced is not None:
             rows = rows.join(replaced.select(F.col(self.key).alias("_key")).distinct(), F.col(self.key).eqNullSafe(F.col("_key")), "left_anti")
@@ -108,8 +124,11 @@ class ChunkTable:
         if new is not None:
             rows = rows.unionByName(self._fit(new))
         name = f"data-{uuid.uuid4().hex}"
-        dealt = rows.withColumn("_bucket", self.bucket(F.col(self.key))).withColumn("_part", F.pmod(F.xxhash64(*self.schema.names), F.lit(self.spread)))
-        dealt = dealt.repartition(max(1, len(hit) * self.spread), "_bucket", "_part").sortWithinPartitions("_bucket", self.key).drop("_part")
+        files = self._files(base, added)
+        starts = np.cumsum(files) - files
+        part = F.pmod(F.xxhash64(*self.schema.names), F.get(F.lit(files), F.col("_bucket")))
+        dealt = rows.withColumn("_bucket", self.bucket(F.col(self.key)))
+        dealt = dealt.repartitionById(max(1, int(files.sum())), (F.get(F.lit(starts), F.col("_bucket")) + part).cast("int")).sortWithinPartitions("_bucket", self.key)
         dealt.write.partitionBy("_bucket").parquet(f"{self.folder}/{name}")
         fs, path = _file_system(self.spark, f"{self.folder}/{name}")
         written = {int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(path) if f.isDirectory()}

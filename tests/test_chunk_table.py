@@ -135,3 +135,14 @@ def test_a_late_holder_cannot_write(spark, tmp_path):
     table.replace(rows(spark, [3], "by new"), lease=new)
     assert {r.content.split(" ")[0] for r in table.read().where("post_id IN (1, 2, 3)").collect()} == {"by", "old"}
     assert table.read().where("content LIKE 'late%'").count() == 0 and first.count() == table.read().count()
+
+
+def test_a_task_writes_a_bounded_number_of_rows_however_many_a_bucket_has(spark, tmp_path):
+    first = spark.range(4000).select(F.when(F.col("id") < 1500, 1).otherwise(F.col("id")).alias("post_id"), F.col("id").alias("chunk_index"))
+    table = ChunkTable(spark, f"file://{tmp_path}/large", first.schema, buckets=4, rows=200)
+    table.change(new=first)
+    table.touch(first.where("post_id < 2500").select("post_id"), {"chunk_index": F.col("chunk_index") + 1})
+    assert seen(table.read()) == seen(first.withColumn("chunk_index", F.col("chunk_index") + F.when(F.col("post_id") < 2500, 1).otherwise(0)))
+    for version in (1, 2):
+        files = [r["count"] for r in table.read(version).groupBy(F.input_file_name()).count().collect()]
+        assert sum(files) == 4000 and max(files) < 300
